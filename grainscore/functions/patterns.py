@@ -7,11 +7,6 @@ those tokens are replaced by explicit character classes with Python's meaning.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Characters Python treats as white space, as one string and as class bodies.
 WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f " + "".join(
     map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -68,8 +63,17 @@ def any_of(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def first_label(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Label of the first rule that matches, NULL when none does (case-insensitive)."""
-    (head, label), *tail = rules
-    start = F.when(text.rlike(java(head, True)), F.lit(label))
-    return reduce(lambda acc, r: acc.when(text.rlike(java(r[0], True)), F.lit(r[1])), tail, start)
+def literal(text: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matches(text: str, pattern: str, ignore_case: bool = False) -> str:
+    """SQL test: the pattern occurs somewhere in ``text``."""
+    return f"rlike({text}, {literal(java(pattern, ignore_case))})"
+
+
+def first_label(text: str, rules: list[tuple[str, str]]) -> str:
+    """SQL: label of the first rule that matches, NULL when none does (case-insensitive)."""
+    branches = " ".join(f"WHEN {matches(text, p, True)} THEN {literal(label)}" for p, label in rules)
+    return f"CASE {branches} END"

@@ -1,62 +1,61 @@
-"""Scores as columns: weighted file score, label bands, repository score."""
+"""Scores: weighted file score, label bands, repository score."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainscore import fixed_values as fixed
+from grainscore.functions import text as tx
+from grainscore.functions.patterns import literal
 
 
-def to_final(normalized: Column) -> Column:
-    """0-1 to an integer 0-100, rounded half-even."""
-    return F.least(F.lit(100), F.greatest(F.lit(0), F.rint(normalized * 100).cast("int")))
+def to_final(normalized: str) -> str:
+    """SQL: 0-1 to an integer 0-100, rounded half-even."""
+    return f"least(100, greatest(0, CAST(rint(({normalized}) * 100) AS INT)))"
 
 
-def weighted_score(scores: Mapping[str, Column], weights: Mapping[str, float] | None = None) -> Column:
-    """Final score of named detector scores; unknown names get the default weight.
+def weighted_score(scores: Mapping[str, str], weights: Mapping[str, float] | None = None) -> str:
+    """SQL: final score of named detector scores; unknown names get the default weight.
 
     Products are added in the order of ``scores`` and divided by the weight in use.
     """
     weights = {**fixed.DETECTOR_WEIGHTS, **(weights or {})}
-    total, used = F.lit(0.0), 0.0
+    total, used = "0.0D", 0.0
     for name, score in scores.items():
         weight = weights.get(name, fixed.DEFAULT_WEIGHT)
-        total, used = total + score * weight, used + weight
-    return to_final(total / used) if used > 0 else F.lit(0)
+        total, used = f"{total} + {score} * {weight!r}D", used + weight
+    return to_final(f"({total}) / {used!r}D") if used > 0 else "0"
 
 
-def weighted_contributions(scores: Mapping[str, Column], weights: Mapping[str, float] | None = None) -> Column:
-    """struct of score times weight per detector."""
+def weighted_contributions(scores: Mapping[str, str], weights: Mapping[str, float] | None = None) -> str:
+    """SQL: struct of score times weight per detector."""
     weights = {**fixed.DETECTOR_WEIGHTS, **(weights or {})}
-    return F.struct(*((s * weights.get(n, fixed.DEFAULT_WEIGHT)).alias(n) for n, s in scores.items()))
+    return tx.row({n: f"{s} * {weights.get(n, fixed.DEFAULT_WEIGHT)!r}D" for n, s in scores.items()})
 
 
-def _band(score: Column, field: int) -> Column:
-    chain = None
-    for band in fixed.SCORE_BANDS[:-1]:
-        value = F.lit(band[field])
-        chain = F.when(score >= band[0], value) if chain is None else chain.when(score >= band[0], value)
-    return F.when(score.isNotNull(), chain.otherwise(fixed.SCORE_BANDS[-1][field]))
+def _band(score: str, field: int) -> str:
+    branches = " ".join(f"WHEN {score} >= {b[0]} THEN {literal(b[field])}" for b in fixed.SCORE_BANDS[:-1])
+    return f"CASE WHEN {score} IS NULL THEN NULL {branches} ELSE {literal(fixed.SCORE_BANDS[-1][field])} END"
 
 
-def score_label(score: Column) -> Column:
+def score_label(score: str) -> str:
     return _band(score, 1)
 
 
-def score_color(score: Column) -> Column:
+def score_color(score: str) -> str:
     return _band(score, 2)
 
 
-def repo_score(score: Column) -> Column:
-    """Aggregate: half-even round of the mean of ``score ** 1.5`` on a 0-100 scale; 0 without files."""
-    return F.coalesce(F.rint(F.avg(F.pow(score, F.lit(1.5))) / 1000.0 * 100).cast("long"), F.lit(0))
+def repo_score(score: str) -> str:
+    """SQL aggregate: half-even round of the mean of ``score ** 1.5`` on a 0-100 scale; 0 without files."""
+    return f"coalesce(CAST(rint(avg(pow({score}, 1.5D)) / 1000.0D * 100) AS BIGINT), 0L)"
 
 
-def weights_table(spark, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """``(detector, ord, weight)`` in evaluation order."""
+def weights_table(spark: SparkSession, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """``(detector, ord, weight)`` in evaluation order; one row per known detector."""
     rows = [(n, i, w) for i, (n, w) in enumerate({**fixed.DETECTOR_WEIGHTS, **(weights or {})}.items())]
     return spark.createDataFrame(rows, "detector string, ord int, weight double")
 
@@ -67,18 +66,17 @@ def score_long_form(detector_scores: DataFrame, weights: DataFrame, *keys: str)
     One group holds one file's detectors, so the ordered sum stays small; it is
     ordered to make the floating-point result independent of arrival order.
     """
-    terms = detector_scores.join(F.broadcast(weights), "detector", "left").select(
-        *keys,
-        F.struct(
-            F.coalesce("ord", F.lit(len(fixed.DETECTORS))).alias("ord"),
-            "detector",
-            "score",
-            F.coalesce("weight", F.lit(fixed.DEFAULT_WEIGHT)).alias("weight"),
-        ).alias("term"),
-    )
-    ordered = terms.groupBy(*keys).agg(F.sort_array(F.collect_list("term")).alias("terms"))
-    total = lambda value: F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + value(t))
-    final = to_final(total(lambda t: t["score"] * t["weight"]) / total(lambda t: t["weight"]))
-    return ordered.withColumn("final_score", final).select(
-        *keys, "final_score", score_label(F.col("final_score")).alias("label")
+    term = tx.row(
+        {
+            "ord": f"coalesce(ord, {len(fixed.DETECTORS)})",
+            "detector": "detector",
+            "score": "score",
+            "weight": f"coalesce(weight, {fixed.DEFAULT_WEIGHT!r}D)",
+        }
     )
+    terms = detector_scores.join(weights, "detector", "left").selectExpr(*keys, f"{term} AS term")
+    ordered = terms.groupBy(*keys).agg(F.expr("sort_array(collect_list(term))").alias("terms"))
+    total = lambda value: f"aggregate(terms, 0.0D, (acc, t) -> acc + {value})"
+    final = to_final(f"{total('t.score * t.weight')} / {total('t.weight')}")
+    scored = ordered.selectExpr(*keys, f"{final} AS final_score")
+    return scored.selectExpr(*keys, "final_score", f"{score_label('final_score')} AS label")

@@ -1,143 +1,165 @@
-"""Text helpers with Python's string semantics, as built-in Spark expressions."""
+"""Text and list expressions with Python's semantics, as Spark SQL text.
 
-from __future__ import annotations
+Expressions are composed as text and reach the JVM once per projection; built
+from thousands of Column calls the same plan takes many seconds to set up.
+Arguments are SQL expressions, results are SQL expressions.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from grainscore.functions.patterns import WHITESPACE
+from grainscore.functions.patterns import WHITESPACE, literal
 
 # str.splitlines() boundaries
-LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+LINE_BREAK = literal(r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]")
+_WHITESPACE = literal(WHITESPACE)
+_REPLACEMENT = literal(chr(0xFFFD))
+
+EMPTY = "CAST(array() AS array<string>)"
+
+
+def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add computed columns that everything downstream uses as values.
+
+    Written as a one-element ``inline``.  With a plain projection the optimizer
+    would copy these large expressions into every filter set on them, running
+    them twice, and would carry each of them along as a constraint, which makes
+    planning slow.  Filters on other columns still pass to the scan.
+    """
+    return df.selectExpr("*", f"inline(array({row(columns)}))")
+
+
+def derive_from(df: DataFrame, value: str, name: str, columns: dict[str, str]) -> DataFrame:
+    """``derive`` columns that share ``value``, evaluated once and called ``name`` in them."""
+    return df.selectExpr("*", f"inline(transform(array({value}), {name} -> {row(columns)}))")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``.
+def row(columns: dict[str, str]) -> str:
+    """struct of named expressions."""
+    return "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in columns.items()) + ")"
 
-    A plain column reference inside a higher-order function can be replaced by
-    its defining expression during optimization and then run once per element;
-    binding it to a lambda variable keeps it at one evaluation per row.
+
+def let(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` in ``body``.
+
+    A plain column reference inside a lambda can be replaced by its defining
+    expression during optimization and then run once per element; a lambda
+    variable stays at one evaluation per row.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def strings(*items: Column) -> Column:
-    """array<string> of the given columns (possibly empty)."""
-    return F.array(*items).cast("array<string>")
+def strings(*items: str) -> str:
+    """array<string> of the given expressions."""
+    return f"array({', '.join(items)})" if items else EMPTY
 
 
-def listed(condition: Column, items: Column) -> Column:
+def listed(condition: str, items: str) -> str:
     """``items`` when the condition holds, otherwise an empty list."""
-    return F.when(condition, items).otherwise(strings())
+    return f"CASE WHEN {condition} THEN {items} ELSE {EMPTY} END"
+
 
+def joined(label: str, items: str) -> str:
+    """List with the one string ``label`` followed by the comma-separated items."""
+    return strings(f"concat({literal(label)}, array_join({items}, ', '))")
 
-def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
 
+def strip(text: str) -> str:
+    return f"trim(BOTH {_WHITESPACE} FROM {text})"
 
-def is_blank(text: Column) -> Column:
+
+def is_blank(text: str) -> str:
     """True for text of white space only; stops at the first other character."""
-    return F.ltrim(text, F.lit(WHITESPACE)) == ""
+    return f"(trim(LEADING {_WHITESPACE} FROM {text}) = '')"
 
 
-def unify_newlines(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+def unify_newlines(text: str) -> str:
+    return rf"replace(replace({text}, '\r\n', '\n'), '\r', '\n')"
 
 
-def decode_utf8(raw: Column) -> Column:
+def decode_utf8(raw: str) -> str:
     """Decode bytes as UTF-8 and drop invalid sequences.
 
     ``make_valid_utf8`` marks invalid bytes with U+FFFD.  Genuine U+FFFD
     characters are escaped around the call so that only the marks are removed.
     """
-    text = raw.cast("string")
-    bad, esc = F.lit(chr(0xFFFD)), F.lit("\x01")
-    escaped = F.replace(F.replace(text, esc, F.lit("\x01a")), bad, F.lit("\x01b"))
-    cleaned = F.replace(F.make_valid_utf8(escaped), bad, F.lit(""))
-    restored = F.replace(F.replace(cleaned, F.lit("\x01b"), bad), F.lit("\x01a"), esc)
-    return F.when(F.is_valid_utf8(text), text).otherwise(restored)
+    esc = literal("\x01")
+    escaped = f"replace(replace(t, {esc}, concat({esc}, 'a')), {_REPLACEMENT}, concat({esc}, 'b'))"
+    cleaned = f"replace(make_valid_utf8({escaped}), {_REPLACEMENT}, '')"
+    restored = f"replace(replace({cleaned}, concat({esc}, 'b'), {_REPLACEMENT}), concat({esc}, 'a'), {esc})"
+    return let(f"CAST({raw} AS STRING)", "t", f"CASE WHEN is_valid_utf8(t) THEN t ELSE {restored} END")
 
 
-def split_lines(text: Column) -> Column:
+def split_lines(text: str) -> str:
     """str.splitlines(): no element for the end of a final terminated line."""
-    return let(
-        F.split(text, LINE_BREAK, -1),
-        lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
-    )
+    trimmed = "CASE WHEN element_at(parts, -1) = '' THEN slice(parts, 1, size(parts) - 1) ELSE parts END"
+    return let(f"split({text}, {LINE_BREAK}, -1)", "parts", trimmed)
 
 
-def stripped_lines(text: Column) -> Column:
-    return F.transform(split_lines(text), strip)
+def stripped_lines(text: str) -> str:
+    return f"transform({split_lines(text)}, l -> {strip('l')})"
 
 
-def fold_case(text: Column) -> Column:
+def fold_case(text: str) -> str:
     """Lower-cased text in which every character that case-insensitively equals
     an ASCII letter is that letter (dotted/dotless i, long s; lower() folds the
     Kelvin sign), so substring tests on it never miss a case-insensitive match."""
-    for source, target in ((chr(0x130), "i"), (chr(0x131), "i"), (chr(0x17F), "s")):
-        text = F.replace(text, F.lit(source), F.lit(target))
-    return F.lower(text)
+    for source, target in ((0x130, "i"), (0x131, "i"), (0x17F, "s")):
+        text = f"replace({text}, {literal(chr(source))}, '{target}')"
+    return f"lower({text})"
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
-    test = F.contains(text, F.lit(words[0]))
-    for word in words[1:]:
-        test = test | F.contains(text, F.lit(word))
-    return test
+def contains_any(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {literal(w)})" for w in words) + ")"
 
 
-def percent(ratio: Column) -> Column:
+def percent(ratio: str) -> str:
     """``ratio`` as a percentage with one decimal, rounding the exact binary value half-even.
 
-    The scaled value ``ratio * 100 * 2**47`` is an integer for every double of
-    at least 1, so integer arithmetic decides the rounding exactly.
+    ``ratio * 100 * 2**47`` is an integer for every double of at least 1, so
+    integer arithmetic decides the rounding exactly.
     """
-    unit = 1 << 47
-
-    def tenths(scaled: Column) -> Column:
-        whole = F.lit(unit)
-        return let(
-            F.struct(F.call_function("div", scaled, whole).alias("q"), (scaled % whole).alias("r")),
-            lambda p: p["q"] + F.when((p["r"] * 2 > whole) | ((p["r"] * 2 == whole) & (p["q"] % 2 == 1)), 1).otherwise(0),
-        )
-
-    exact = let(
-        tenths((ratio * 100.0 * float(unit)).cast("long") * 10),
-        lambda q: F.concat(F.call_function("div", q, F.lit(10)).cast("string"), F.lit("."), (q % 10).cast("string"), F.lit("%")),
+    unit = f"{1 << 47}L"
+    quotient = (
+        f"p.q + CASE WHEN p.r * 2 > {unit} OR (p.r * 2 = {unit} AND p.q % 2 = 1) THEN 1 ELSE 0 END"
     )
-    return F.when(ratio < 65.0, exact).otherwise(F.format_string("%.1f%%", ratio * 100.0))
+    scaled = f"CAST(r * 100.0D * {float(1 << 47)!r}D AS BIGINT) * 10"
+    tenths = let(let(scaled, "s", f"named_struct('q', s div {unit}, 'r', s % {unit})"), "p", quotient)
+    exact = let(tenths, "t", "concat(t div 10, '.', t % 10, '%')")
+    return let(ratio, "r", f"CASE WHEN r < 65.0D THEN {exact} ELSE format_string('%.1f%%', r * 100.0D) END")
 
 
-def group_in_order(entries: Column, least: int) -> Column:
+def three_places(value: str) -> str:
+    """Round a score to three places as Python does: on the exact binary value, ties to even.
+
+    For doubles in [2**-10, 1], ``value * 2**62`` is an integer, so decimal
+    integer arithmetic decides exactly; smaller ones round to 0 or 0.001.
+    """
+    unit = f"CAST({1 << 62} AS DECIMAL(38, 0))"
+    scaled = f"CAST(v * {float(1 << 62)!r}D AS DECIMAL(38, 0)) * 1000"
+    parts = let(scaled, "s", f"named_struct('q', s div {unit}, 'r2', s % {unit} * 2)")
+    nearest = let(
+        parts, "p", f"p.q + CASE WHEN p.r2 > {unit} OR (p.r2 = {unit} AND p.q % 2 = 1) THEN 1 ELSE 0 END"
+    )
+    return let(
+        value,
+        "v",
+        f"CASE WHEN v < {2.0**-10!r}D THEN CASE WHEN v >= 0.0005D THEN 0.001D ELSE 0.0D END "
+        f"WHEN v = 1.0D THEN 1.0D ELSE {nearest} / 1000.0D END",
+    )
+
+
+def group_in_order(entries: str, least: int) -> str:
     """Group ``array<struct<key, pos, value>>`` by key inside the row.
 
     Returns ``array<struct<pos, values>>``, one element per key with at least
     ``least`` members, in order of first position; members keep their order.
     Sort plus run boundaries keeps the cost at O(n log n) per row.
     """
-
-    def runs(items: Column) -> Column:
-        starts = F.filter(
-            F.transform(
-                items,
-                lambda e, i: F.when(e["key"].eqNullSafe(F.get(items, i - 1)["key"]), F.lit(None)).otherwise(i + 1),
-            ),
-            lambda i: i.isNotNull(),
-        )
-        return let(
-            starts,
-            lambda s: F.transform(
-                s,
-                lambda begin, k: F.slice(items, begin, F.coalesce(F.get(s, k + 1), F.size(items) + 1) - begin),
-            ),
-        )
-
-    groups = F.filter(let(F.sort_array(entries), runs), lambda g: F.size(g) >= least)
-    return F.sort_array(
-        F.transform(
-            groups,
-            lambda g: F.struct(F.get(g, F.lit(0))["pos"].alias("pos"), F.transform(g, lambda e: e["value"]).alias("values")),
-        )
+    starts = "filter(transform(es, (e, i) -> CASE WHEN e.key <=> get(es, i - 1).key THEN NULL ELSE i + 1 END), i -> i IS NOT NULL)"
+    runs = let(
+        starts, "ss", "transform(ss, (b, k) -> slice(es, b, coalesce(get(ss, k + 1), size(es) + 1) - b))"
     )
+    groups = f"filter({let(f'sort_array({entries})', 'es', runs)}, g -> size(g) >= {least})"
+    return f"sort_array(transform({groups}, g -> named_struct('pos', g[0].pos, 'values', transform(g, e -> e.value))))"

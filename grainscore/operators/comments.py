@@ -2,107 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
-from grainscore.functions.patterns import any_of, first_label, java
+from grainscore.functions.patterns import any_of, first_label, matches
 from grainscore.operators import lines as ln
 
-OBVIOUS = java(any_of([p for p, _ in fixed.OBVIOUS_COMMENT_PATTERNS]), True)
-NARRATIVE = java(any_of(fixed.NARRATIVE_COMMENT_PATTERNS), True)
-
 
-def comment_text(line: Column) -> Column:
+def comment_text(line: str) -> str:
     """Comment of a stripped line that holds ``#``; an inline one is rebuilt as ``# text``."""
-    after = tx.strip(F.substr(line, F.instr(line, "#") + 1))
-    return F.when(F.startswith(line, F.lit("#")), line).otherwise(F.concat(F.lit("# "), after))
+    after = tx.strip(f"substr({line}, instr({line}, '#') + 1)")
+    return f"CASE WHEN startswith({line}, '#') THEN {line} ELSE concat('# ', {after}) END"
 
 
-def comment_lines(hash_lines: Column) -> Column:
+def comment_lines(hash_lines: str) -> str:
     """array<struct<line_no, text>> of all comments."""
-    return F.transform(
-        hash_lines, lambda s: F.struct(s["line_no"].alias("line_no"), comment_text(s["text"]).alias("text"))
-    )
+    return f"transform({hash_lines}, s -> named_struct('line_no', s.line_no, 'text', {comment_text('s.text')}))"
 
 
-def obvious_comments(comments: Column) -> Column:
-    return F.filter(comments, lambda c: c["text"].rlike(OBVIOUS))
+def is_obvious(comment: str) -> str:
+    return matches(comment, any_of([p for p, _ in fixed.OBVIOUS_COMMENT_PATTERNS]), True)
 
 
-def obvious_label(comment: Column) -> Column:
-    return first_label(comment, fixed.OBVIOUS_COMMENT_PATTERNS)
+def is_narrative(comment: str) -> str:
+    return matches(comment, any_of(fixed.NARRATIVE_COMMENT_PATTERNS), True)
 
 
-def narrative_count(comments: Column) -> Column:
-    return F.size(F.filter(comments, lambda c: c["text"].rlike(NARRATIVE)))
+def obvious_label(comment: str) -> str:
+    return first_label(comment, fixed.OBVIOUS_COMMENT_PATTERNS)
 
 
-def longest_run(lines: Column) -> Column:
+def longest_run(lines: str) -> str:
     """Most consecutive lines that start with ``#``."""
-    marks = F.array_join(
-        F.transform(lines, lambda l: F.when(F.startswith(l, F.lit("#")), F.lit("#")).otherwise(F.lit(" "))), ""
-    )
-    return F.array_max(F.transform(F.split(marks, " "), F.length))
-
-
-def density_penalty(comments: Column, nonblank: Column) -> Column:
-    ratio = comments / nonblank
-    return F.when((nonblank > 10) & (ratio > 0.4), F.least(F.lit(0.3), (ratio - 0.4) * 1.5)).otherwise(0.0)
-
-
-def measures() -> list[dict[str, Column]]:
-    comments = F.col("com_lines")
-    return [
-        {
-            "com_lines": comment_lines(F.col("hash_lines")),
-            "com_nonblank": ln.nonblank_count(F.col("lines")),
-            "com_run": F.when(F.size("hash_lines") > 0, longest_run(F.col("lines"))).otherwise(0),
-        },
-        {
-            "com_count": F.size(comments),
-            "com_obvious": obvious_comments(comments),
-            "com_narrative": narrative_count(comments),
-        },
-    ]
-
-
-def score() -> Column:
-    return F.least(
-        F.lit(1.0),
-        F.least(F.lit(0.5), F.size("com_obvious") * 0.05)
-        + F.least(F.lit(0.2), F.col("com_narrative") * 0.04)
-        + density_penalty(F.col("com_count"), F.col("com_nonblank"))
-        + F.least(F.lit(0.1), F.col("com_run") * 0.005),
-    )
-
-
-def findings() -> Column:
-    obvious, total = F.col("com_obvious"), F.size("com_obvious")
-    ratio = F.col("com_count") / F.col("com_nonblank")
-    restating = F.concat(
-        tx.strings(F.format_string("Code-restating comments found (%d instances):", total)),
-        F.transform(
-            F.slice(obvious, 1, 5),
-            lambda c: F.concat(
-                F.lit("  Line "), c["line_no"].cast("string"), F.lit(": "), obvious_label(c["text"]),
-                F.lit(" ("), F.left(c["text"], F.lit(60)), F.lit(")"),
+    marks = f"array_join(transform({lines}, l -> CASE WHEN startswith(l, '#') THEN '#' ELSE ' ' END), '')"
+    return f"array_max(transform(split({marks}, ' '), m -> length(m)))"
+
+
+MEASURES = [
+    {
+        "com_lines": comment_lines("hash_lines"),
+        "com_nonblank": ln.nonblank_count("lines"),
+        "com_run": f"CASE WHEN size(hash_lines) > 0 THEN {longest_run('lines')} ELSE 0 END",
+    },
+    {
+        "com_count": "size(com_lines)",
+        "com_obvious": f"filter(com_lines, c -> {is_obvious('c.text')})",
+        "com_narrative": f"size(filter(com_lines, c -> {is_narrative('c.text')}))",
+    },
+]
+
+_RATIO = "com_count / com_nonblank"
+_DENSE = f"com_nonblank > 10 AND {_RATIO} > 0.4D"
+
+SCORE = (
+    "least(1.0D, least(0.5D, size(com_obvious) * 0.05D) + least(0.2D, com_narrative * 0.04D) "
+    f"+ CASE WHEN {_DENSE} THEN least(0.3D, ({_RATIO} - 0.4D) * 1.5D) ELSE 0.0D END "
+    "+ least(0.1D, com_run * 0.005D))"
+)
+
+_SHOWN = (
+    "transform(slice(com_obvious, 1, 5), c -> "
+    f"concat('  Line ', c.line_no, ': ', {obvious_label('c.text')}, ' (', left(c.text, 60), ')'))"
+)
+_RESTATING = (
+    "concat(array(format_string('Code-restating comments found (%d instances):', size(com_obvious))), "
+    + _SHOWN + ", "
+    + tx.listed("size(com_obvious) > 5", "array(format_string('  ... and %d more', size(com_obvious) - 5))")
+    + ")"
+)
+
+FINDINGS = (
+    "concat("
+    + ", ".join(
+        [
+            tx.listed("size(com_obvious) > 0", _RESTATING),
+            tx.listed(
+                "com_narrative >= 3",
+                "array(format_string('Narrative/tutorial-style comments: %d instances "
+                "(step-by-step narration detected)', com_narrative))",
             ),
-        ),
-        tx.listed(total > 5, tx.strings(F.format_string("  ... and %d more", total - 5))),
-    )
-    narration = F.format_string(
-        "Narrative/tutorial-style comments: %d instances (step-by-step narration detected)", F.col("com_narrative")
-    )
-    density = F.concat(
-        F.lit("Very high comment density: "), tx.percent(ratio), F.lit(" of non-empty lines are comments "),
-        F.format_string("(%d comments / %d lines)", F.col("com_count"), F.col("com_nonblank")),
-    )
-    block = F.format_string("Large comment block found: %d consecutive comment lines", F.col("com_run"))
-    return F.concat(
-        tx.listed(total > 0, restating),
-        tx.listed(F.col("com_narrative") >= 3, tx.strings(narration)),
-        tx.listed((F.col("com_nonblank") > 10) & (ratio > 0.4), tx.strings(density)),
-        tx.listed(F.col("com_run") > 8, tx.strings(block)),
+            tx.listed(
+                _DENSE,
+                f"array(concat('Very high comment density: ', {tx.percent(_RATIO)}, "
+                "' of non-empty lines are comments ', "
+                "format_string('(%d comments / %d lines)', com_count, com_nonblank)))",
+            ),
+            tx.listed(
+                "com_run > 8",
+                "array(format_string('Large comment block found: %d consecutive comment lines', com_run))",
+            ),
+        ]
     )
+    + ")"
+)

@@ -9,22 +9,27 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
+from grainscore.functions.patterns import literal
 
 
 def known_modules() -> list[str]:
     return fixed.standard_library_modules() + fixed.KNOWN_THIRD_PARTY
 
 
-def looks_invented(module: Column) -> Column:
+def _among(module: str, modules: list[str]) -> str:
+    return f"{module} IN ({', '.join(map(literal, modules))})" if modules else "false"
+
+
+def looks_invented(module: str) -> str:
     """Name starts with a suspicious prefix, or ends with it less its final underscore."""
     starts = "|".join(fixed.SUSPICIOUS_MODULE_PREFIXES)
     ends = "|".join(p.rstrip("_") for p in fixed.SUSPICIOUS_MODULE_PREFIXES)
-    return F.lower(module).rlike(rf"^(?:{starts})|(?:{ends})\z")
+    pattern = literal(rf"^(?:{starts})|(?:{ends})\z")
+    return f"rlike(lower({module}), {pattern})"
 
 
 def unknown_imports(import_rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -37,38 +42,39 @@ def unknown_imports(import_rows: DataFrame, known: DataFrame) -> DataFrame:
     return import_rows.select(*keys, "module").distinct().join(known.select("module"), "module", "left_anti")
 
 
-def measures(known: Iterable[str] | None = None, installed: Iterable[str] = ()) -> list[dict[str, Column]]:
+def measures(known: Iterable[str] | None = None, installed: Iterable[str] = ()) -> list[dict[str, str]]:
+    """Measures against explicit module lists; ``installed`` modules count as resolvable."""
     known = list(known_modules() if known is None else known)
-    installed = list(installed)
-    applies = F.col("is_py") & (F.col("facts.parse_status") == "ok")
-    distinct = F.array_distinct(F.col("facts.imports"))
-    resolvable = (lambda m: m.isin(installed)) if installed else (lambda m: F.lit(False))
+    applies = "is_py AND facts.parse_status = 'ok'"
+    unresolvable = f"NOT {looks_invented('m')} AND NOT {_among('m', list(installed))}"
     return [
         {
-            "imp_total": F.when(applies, F.size(distinct)).otherwise(0),
-            "imp_unknown": F.when(applies, F.filter(distinct, lambda m: ~m.isin(known))).otherwise(tx.strings()),
+            "imp_total": f"CASE WHEN {applies} THEN size(array_distinct(facts.imports)) ELSE 0 END",
+            "imp_unknown": tx.listed(
+                applies, f"filter(array_distinct(facts.imports), m -> NOT {_among('m', known)})"
+            ),
         },
         {
-            "imp_suspicious": F.filter("imp_unknown", looks_invented),
-            "imp_unresolvable": F.filter("imp_unknown", lambda m: ~looks_invented(m) & ~resolvable(m)),
+            "imp_suspicious": f"filter(imp_unknown, m -> {looks_invented('m')})",
+            "imp_unresolvable": f"filter(imp_unknown, m -> {unresolvable})",
         },
     ]
 
 
-def score() -> Column:
-    share = lambda c: F.size(c) / F.col("imp_total")
-    return F.when(
-        F.col("imp_total") > 0, F.least(F.lit(1.0), share("imp_suspicious") * 0.8 + share("imp_unresolvable") * 0.3)
-    ).otherwise(0.0)
+SCORE = (
+    "CASE WHEN imp_total > 0 THEN least(1.0D, size(imp_suspicious) / imp_total * 0.8D "
+    "+ size(imp_unresolvable) / imp_total * 0.3D) ELSE 0.0D END"
+)
 
+_UNRESOLVABLE = "Unresolvable imports (not in stdlib/known packages, may be local or hallucinated): "
 
-def findings() -> Column:
-    joined = lambda label, c: tx.listed(
-        F.size(c) > 0, tx.strings(F.concat(F.lit(label), F.array_join(F.sort_array(c), ", ")))
-    )
-    return F.concat(
-        joined("Suspicious module names (likely hallucinated): ", "imp_suspicious"),
-        joined(
-            "Unresolvable imports (not in stdlib/known packages, may be local or hallucinated): ", "imp_unresolvable"
-        ),
+FINDINGS = (
+    "concat("
+    + tx.listed(
+        "size(imp_suspicious) > 0",
+        tx.joined("Suspicious module names (likely hallucinated): ", "sort_array(imp_suspicious)"),
     )
+    + ", "
+    + tx.listed("size(imp_unresolvable) > 0", tx.joined(_UNRESOLVABLE, "sort_array(imp_unresolvable)"))
+    + ")"
+)

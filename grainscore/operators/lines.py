@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from grainscore.functions import text as tx
 
 
-def with_lines(prepared: DataFrame) -> DataFrame:
+def with_lines(admitted: DataFrame) -> DataFrame:
     """Add ``lines`` (stripped, blank ones kept) and ``hash_lines`` (numbered, those holding ``#``)."""
-    return prepared.withColumn("lines", tx.stripped_lines(F.col("text"))).withColumn(
-        "hash_lines",
-        F.filter(
-            F.transform(F.col("lines"), lambda l, i: F.struct((i + 1).alias("line_no"), l.alias("text"))),
-            lambda s: F.contains(s["text"], F.lit("#")),
-        ),
+    return tx.derive_from(
+        admitted, tx.stripped_lines("text"), "ls", {"lines": "ls", "hash_lines": numbered_hash_lines("ls")}
     )
 
 
-def nonblank_count(lines: Column) -> Column:
-    return F.size(F.filter(lines, lambda l: l != ""))
+def numbered_hash_lines(lines: str) -> str:
+    """array<struct<line_no, text>> of the lines that hold ``#``."""
+    return (
+        f"filter(transform({lines}, (l, i) -> named_struct('line_no', i + 1, 'text', l)), s -> contains(s.text, '#'))"
+    )
+
 
+def nonblank_count(lines: str) -> str:
+    return f"size(filter({lines}, l -> l <> ''))"
 
-def hash_start_count(hash_lines: Column) -> Column:
+
+def hash_start_count(hash_lines: str) -> str:
     """Lines that are only a ``#`` comment."""
-    return F.size(F.filter(hash_lines, lambda s: F.startswith(s["text"], F.lit("#"))))
+    return f"size(filter({hash_lines}, s -> startswith(s.text, '#')))"
 
 
-def line_table(prepared: DataFrame, *keys: str) -> DataFrame:
+def line_table(admitted: DataFrame, *keys: str) -> DataFrame:
     """One row per line with its 1-based number."""
-    return prepared.select(*keys, F.posexplode(tx.split_lines(F.col("text"))).alias("_pos", "line")).select(
-        *keys, (F.col("_pos") + 1).alias("line_no"), "line"
-    )
+    rows = admitted.selectExpr(*keys, f"posexplode({tx.split_lines('text')}) AS (_pos, line)")
+    return rows.selectExpr(*keys, "_pos + 1 AS line_no", "line")

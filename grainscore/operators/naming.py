@@ -2,84 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
-from grainscore.functions.patterns import java
+from grainscore.functions.patterns import java, literal
 
 
-def is_generic_variable(name: Column) -> Column:
-    return F.lower(name).isin(fixed.GENERIC_VARIABLE_NAMES)
+def _among(name: str, words: list[str]) -> str:
+    return f"{name} IN ({', '.join(map(literal, words))})"
 
 
-def is_generic_function(name: Column) -> Column:
-    return F.lower(name).isin(fixed.GENERIC_FUNCTION_NAMES)
+def is_generic_variable(name: str) -> str:
+    return _among(f"lower({name})", fixed.GENERIC_VARIABLE_NAMES)
 
 
-def is_single_letter(name: Column) -> Column:
-    return (F.length(name) == 1) & ~name.isin(fixed.ACCEPTED_SINGLE_LETTERS)
+def is_generic_function(name: str) -> str:
+    return _among(f"lower({name})", fixed.GENERIC_FUNCTION_NAMES)
 
 
-def has_names() -> Column:
-    """Names come from the facts for Python files that parse."""
-    return (F.col("facts.parse_status") == "ok") & (F.col("is_py_ext") | F.col("is_py"))
+def is_single_letter(name: str) -> str:
+    return f"length({name}) = 1 AND NOT {_among(name, fixed.ACCEPTED_SINGLE_LETTERS)}"
 
 
-def text_matches(text: Column) -> list[Column]:
+def text_matches(text: str) -> list[str]:
     """Matched words per pattern family, in text order."""
-    return [F.regexp_extract_all(text, F.lit(java(p, True)), F.lit(1)) for p, _ in fixed.TEXT_NAMING_PATTERNS]
-
-
-def measures() -> list[dict[str, Column]]:
-    by_names = has_names()
-    by_text = F.col("text").isNotNull() & ~by_names
-    words = text_matches(F.col("text"))
-    return [
-        {
-            "nam_by_names": by_names,
-            "nam_variables": F.when(by_names, F.array_distinct(F.col("facts.names.name"))),
-            "nam_functions": F.when(by_names, F.col("facts.functions.name")),
-            **{f"nam_words_{k}": F.when(by_text, F.slice(w, 1, 5)) for k, w in enumerate(words)},
-        },
-        {
-            "nam_generic_variables": F.filter("nam_variables", is_generic_variable),
-            "nam_generic_functions": F.filter("nam_functions", is_generic_function),
-            "nam_single_letters": F.filter("nam_variables", is_single_letter),
-            "nam_total": F.size("nam_variables") + F.size(F.array_distinct("nam_functions")),
-        },
-    ]
+    return [f"regexp_extract_all({text}, {literal(java(p, True))}, 1)" for p, _ in fixed.TEXT_NAMING_PATTERNS]
 
 
-def score() -> Column:
-    families = sum((F.when(F.size(f"nam_words_{k}") > 0, 1).otherwise(0) for k in range(3)), F.lit(0))
-    generic = F.size("nam_generic_variables") + F.size("nam_generic_functions")
-    letters = F.least(F.lit(0.2), F.size("nam_single_letters") * 0.03)
-    return (
-        F.when(~F.col("nam_by_names"), F.least(F.lit(1.0), families * 0.1))
-        .when(F.col("nam_total") == 0, 0.0)
-        .otherwise(F.least(F.lit(1.0), generic / F.col("nam_total") * 0.8 + letters))
-    )
-
+# Names come from the facts for Python files that parse.
+_BY_NAMES = "(facts.parse_status = 'ok' AND (is_py_ext OR is_py))"
+_FAMILIES = range(len(fixed.TEXT_NAMING_PATTERNS))
 
-def findings() -> Column:
-    joined = lambda label, items: tx.strings(F.concat(F.lit(label + ": "), F.array_join(items, ", ")))
-    variables, functions, letters = (
-        F.col(c) for c in ("nam_generic_variables", "nam_generic_functions", "nam_single_letters")
-    )
-    from_names = F.concat(
-        tx.listed(F.size(variables) > 0, joined("Generic variable names", F.slice(variables, 1, 10))),
-        tx.listed(F.size(functions) > 0, joined("Generic function names", functions)),
-        tx.listed(F.size(letters) > 3, joined("Many single-letter variable names", F.sort_array(letters))),
-    )
-    from_text = F.concat(
-        *(
-            tx.listed(
-                F.size(f"nam_words_{k}") > 0,
-                joined(f"Found {label}", F.sort_array(F.array_distinct(f"nam_words_{k}"))),
-            )
-            for k, (_, label) in enumerate(fixed.TEXT_NAMING_PATTERNS)
-        )
+MEASURES = [
+    {
+        "nam_by_names": _BY_NAMES,
+        "nam_variables": f"CASE WHEN {_BY_NAMES} THEN array_distinct(facts.names.name) END",
+        "nam_functions": f"CASE WHEN {_BY_NAMES} THEN facts.functions.name END",
+        **{
+            f"nam_words_{k}": f"CASE WHEN NOT {_BY_NAMES} THEN slice({words}, 1, 5) END"
+            for k, words in enumerate(text_matches("text"))
+        },
+    },
+    {
+        "nam_generic_variables": f"filter(nam_variables, n -> {is_generic_variable('n')})",
+        "nam_generic_functions": f"filter(nam_functions, n -> {is_generic_function('n')})",
+        "nam_single_letters": f"filter(nam_variables, n -> {is_single_letter('n')})",
+        "nam_total": "size(nam_variables) + size(array_distinct(nam_functions))",
+    },
+]
+
+_HITS = " + ".join(f"CASE WHEN size(nam_words_{k}) > 0 THEN 1 ELSE 0 END" for k in _FAMILIES)
+
+SCORE = (
+    f"CASE WHEN NOT nam_by_names THEN least(1.0D, ({_HITS}) * 0.1D) WHEN nam_total = 0 THEN 0.0D ELSE "
+    "least(1.0D, (size(nam_generic_variables) + size(nam_generic_functions)) / nam_total * 0.8D "
+    "+ least(0.2D, size(nam_single_letters) * 0.03D)) END"
+)
+
+_FROM_NAMES = [
+    tx.listed(
+        "size(nam_generic_variables) > 0",
+        tx.joined("Generic variable names: ", "slice(nam_generic_variables, 1, 10)"),
+    ),
+    tx.listed("size(nam_generic_functions) > 0", tx.joined("Generic function names: ", "nam_generic_functions")),
+    tx.listed(
+        "size(nam_single_letters) > 3",
+        tx.joined("Many single-letter variable names: ", "sort_array(nam_single_letters)"),
+    ),
+]
+_FROM_TEXT = [
+    tx.listed(
+        f"size(nam_words_{k}) > 0", tx.joined(f"Found {label}: ", f"sort_array(array_distinct(nam_words_{k}))")
     )
-    return F.when(F.col("nam_by_names"), from_names).otherwise(from_text)
+    for k, (_, label) in enumerate(fixed.TEXT_NAMING_PATTERNS)
+]
+
+FINDINGS = f"CASE WHEN nam_by_names THEN concat({', '.join(_FROM_NAMES)}) ELSE concat({', '.join(_FROM_TEXT)}) END"

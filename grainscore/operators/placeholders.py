@@ -2,96 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
-from grainscore.functions.patterns import any_of, first_label, java
-
-MARKER = java(any_of([p for p, _ in fixed.MARKER_PATTERNS]), True)
+from grainscore.functions.patterns import any_of, first_label, matches
 
 
-def marker_lines(hash_lines: Column) -> Column:
+def marker_lines(hash_lines: str) -> str:
     """array<struct<line_no, text>>; every marker pattern needs a ``#``."""
-    return F.filter(hash_lines, lambda s: s["text"].rlike(MARKER))
+    test = matches("s.text", any_of([p for p, _ in fixed.MARKER_PATTERNS]), True)
+    return f"filter({hash_lines}, s -> {test})"
 
 
-def marker_label(line: Column) -> Column:
+def marker_label(line: str) -> str:
     return first_label(line, fixed.MARKER_PATTERNS)
 
 
-def label_counts(markers: Column) -> Column:
+def label_counts(markers: str) -> str:
     """array<struct<label, n>> in first-seen order."""
     return tx.let(
-        F.transform(markers, lambda s: marker_label(s["text"])),
-        lambda labels: F.transform(
-            F.array_distinct(labels),
-            lambda d: F.struct(d.alias("label"), F.size(F.filter(labels, lambda x: x == d)).alias("n")),
-        ),
+        f"transform({markers}, s -> {marker_label('s.text')})",
+        "labels",
+        "transform(array_distinct(labels), d -> named_struct('label', d, 'n', size(filter(labels, x -> x = d))))",
     )
 
 
-def _names(test) -> Column:
-    return F.transform(F.filter(F.col("facts.functions"), test), lambda f: f["name"])
+_PARSED = "is_py AND facts.parse_status = 'ok'"
 
 
-def docstring_only(f: Column) -> Column:
-    return f["only_stub"] & f["has_docstring"] & (f["n_body"] == 1)
+def _names(test: str) -> str:
+    return tx.listed(_PARSED, f"transform(filter(facts.functions, f -> {test}), f -> f.name)")
 
 
-def pass_only(f: Column) -> Column:
-    return f["only_stub"] & ~f["has_docstring"]
+MEASURES = [
+    {
+        "pla_markers": marker_lines("hash_lines"),
+        "pla_broken": "is_py AND facts.parse_status = 'syntax_error'",
+        "pla_docstring_only": _names("f.only_stub AND f.has_docstring AND f.n_body = 1"),
+        "pla_pass_only": _names("f.only_stub AND NOT f.has_docstring"),
+        "pla_not_implemented": _names("f.raises_nie"),
+    }
+]
 
+SCORE = (
+    "CASE WHEN pla_broken THEN least(1.0D, size(pla_markers) * 0.08D) ELSE "
+    "least(1.0D, least(0.5D, size(pla_markers) * 0.06D) + least(0.3D, size(pla_docstring_only) * 0.08D) "
+    "+ least(0.3D, size(pla_pass_only) * 0.1D) + least(0.2D, size(pla_not_implemented) * 0.07D)) END"
+)
 
-def measures() -> list[dict[str, Column]]:
-    parsed = F.col("is_py") & (F.col("facts.parse_status") == "ok")
-    when_parsed = lambda items: F.when(parsed, items).otherwise(tx.strings())
-    return [
-        {
-            "pla_markers": marker_lines(F.col("hash_lines")),
-            "pla_broken": F.col("is_py") & (F.col("facts.parse_status") == "syntax_error"),
-            "pla_docstring_only": when_parsed(_names(docstring_only)),
-            "pla_pass_only": when_parsed(_names(pass_only)),
-            "pla_not_implemented": when_parsed(_names(lambda f: f["raises_nie"])),
-        }
-    ]
+_SUMMARY = f"array_join(transform({label_counts('pla_markers')}, c -> concat(c.n, 'x ', c.label)), ', ')"
+_MARKED = (
+    f"concat(array(concat('Placeholder/incomplete markers: ', {_SUMMARY})), "
+    "transform(slice(pla_markers, 1, 5), s -> concat('  Line ', s.line_no, ': ', left(s.text, 80))), "
+    + tx.listed("size(pla_markers) > 5", "array(format_string('  ... and %d more', size(pla_markers) - 5))")
+    + ")"
+)
 
 
-def score() -> Column:
-    capped = lambda cap, column, factor: F.least(F.lit(cap), F.size(column) * factor)
-    return F.when(F.col("pla_broken"), F.least(F.lit(1.0), F.size("pla_markers") * 0.08)).otherwise(
-        F.least(
-            F.lit(1.0),
-            capped(0.5, "pla_markers", 0.06)
-            + capped(0.3, "pla_docstring_only", 0.08)
-            + capped(0.3, "pla_pass_only", 0.1)
-            + capped(0.2, "pla_not_implemented", 0.07),
-        )
-    )
+def _named(label: str, column: str) -> str:
+    return tx.listed(f"size({column}) > 0", tx.joined(label, column))
 
 
-def findings() -> Column:
-    markers, total = F.col("pla_markers"), F.size("pla_markers")
-    summary = F.array_join(
-        F.transform(label_counts(markers), lambda c: F.concat(c["n"].cast("string"), F.lit("x "), c["label"])), ", "
-    )
-    marked = F.concat(
-        tx.strings(F.concat(F.lit("Placeholder/incomplete markers: "), summary)),
-        F.transform(
-            F.slice(markers, 1, 5),
-            lambda s: F.concat(
-                F.lit("  Line "), s["line_no"].cast("string"), F.lit(": "), F.left(s["text"], F.lit(80))
-            ),
-        ),
-        tx.listed(total > 5, tx.strings(F.format_string("  ... and %d more", total - 5))),
-    )
-    joined = lambda label, c: tx.listed(
-        F.size(c) > 0, tx.strings(F.concat(F.lit(label + ": "), F.array_join(c, ", ")))
-    )
-    return F.concat(
-        tx.listed(total > 0, marked),
-        joined("Empty functions (docstring only)", "pla_docstring_only"),
-        joined("Empty function bodies (pass/... only)", "pla_pass_only"),
-        joined("Stub functions (raise NotImplementedError)", "pla_not_implemented"),
+FINDINGS = (
+    "concat("
+    + ", ".join(
+        [
+            tx.listed("size(pla_markers) > 0", _MARKED),
+            _named("Empty functions (docstring only): ", "pla_docstring_only"),
+            _named("Empty function bodies (pass/... only): ", "pla_pass_only"),
+            _named("Stub functions (raise NotImplementedError): ", "pla_not_implemented"),
+        ]
     )
+    + ")"
+)

@@ -2,131 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
-from grainscore.functions.patterns import any_of, java
+from grainscore.functions.patterns import any_of, literal, matches
 from grainscore.operators import lines as ln
 
-BOILERPLATE = java(any_of(fixed.BOILERPLATE_DOCSTRING_PATTERNS))
-TRIPLE = ('"""', "'''")
+_DOUBLE, _SINGLE = literal('"""'), literal("'''")
 
 
-def code_line_count(lines: Column) -> Column:
+def code_line_count(lines: str) -> str:
     """Lines that are neither blank, nor ``#`` comments, nor in a triple-quoted string.
 
     State: the delimiter of the string being skipped and the lines counted.  A
     line with one delimiter opens a string; a line that opens and closes one is
     not code.
     """
-
-    def step(state: Column, line: Column) -> Column:
-        counts = [(F.length(line) - F.length(F.replace(line, F.lit(q), F.lit("")))) for q in TRIPLE]
-        first = F.when(counts[0] > 0, F.lit(TRIPLE[0])).when(counts[1] > 0, F.lit(TRIPLE[1]))
-        opened = F.when(counts[0] > 0, counts[0] == 3).otherwise(counts[1] == 3)
-        outside = F.struct(
-            F.when(first.isNotNull() & opened, first).otherwise("").alias("quote"),
-            (state["n"] + F.when(first.isNull(), 1).otherwise(0)).alias("n"),
-        )
-        inside = F.struct(
-            F.when(F.contains(line, state["quote"]), F.lit("")).otherwise(state["quote"]).alias("quote"),
-            state["n"].alias("n"),
-        )
-        skipped = (line == "") | F.startswith(line, F.lit("#"))
-        return F.when(skipped, state).when(state["quote"] == "", outside).otherwise(inside)
-
-    start = F.struct(F.lit("").alias("quote"), F.lit(0).alias("n"))
-    return F.aggregate(lines, start, step, lambda s: s["n"])
-
-
-def is_boilerplate(docstring: Column) -> Column:
-    return F.lower(docstring).rlike(BOILERPLATE)
-
-
-def measures() -> list[dict[str, Column]]:
-    parsed = F.col("is_py") & (F.col("facts.parse_status") == "ok")
-    docstrings, functions = F.col("facts.docstrings"), F.col("facts.functions")
-    long_docs = F.filter(
-        functions,
-        lambda f: f["has_docstring"] & (f["doc_lines"] > (f["n_body"] - 1) * 2) & (f["doc_lines"] > 3),
+    removed = lambda quote: f"length(l) - length(replace(l, {quote}, ''))"  # three per delimiter
+    opened = (
+        f"CASE WHEN contains(l, {_DOUBLE}) THEN CASE WHEN {removed(_DOUBLE)} = 3 THEN {_DOUBLE} ELSE '' END "
+        f"WHEN {removed(_SINGLE)} = 3 THEN {_SINGLE} ELSE '' END"
     )
-    return [
-        {
-            "rat_mode": F.when(~F.col("is_py"), F.lit("text")).when(parsed, F.lit("docs")),
-            "rat_comments": ln.hash_start_count(F.col("hash_lines")),
-            "rat_nonblank": ln.nonblank_count(F.col("lines")),
-            "rat_doc_lines": F.when(parsed, F.aggregate(docstrings, F.lit(0), lambda n, d: n + d["n_lines"])),
-            "rat_docstrings": F.when(parsed, F.size(docstrings)),
-            "rat_boilerplate": F.when(parsed, F.size(F.filter(docstrings, lambda d: is_boilerplate(d["text"])))),
-            "rat_long_docs": F.when(parsed, F.size(long_docs)),
-        }
-    ]
-
-
-def doc_ratio() -> Column:
-    return (F.col("rat_doc_lines") + F.col("rat_comments")) / F.col("rat_nonblank")
-
-
-def comment_ratio() -> Column:
-    return F.col("rat_comments") / F.col("rat_nonblank")
-
-
-def score() -> Column:
-    documented = F.least(
-        F.lit(1.0),
-        F.greatest(F.lit(0.0), (doc_ratio() - 0.3) * 1.2)
-        + F.least(F.lit(0.3), F.col("rat_boilerplate") * 0.08)
-        + F.least(F.lit(0.2), F.col("rat_long_docs") * 0.07),
-    )
-    commented = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (comment_ratio() - 0.3) * 1.5))
-    return (
-        F.when(F.col("rat_nonblank") == 0, 0.0)
-        .when(F.col("rat_mode") == "text", commented)
-        .when(F.col("rat_mode") == "docs", documented)
-        .otherwise(0.0)
-    )
-
-
-def findings() -> Column:
-    lines_of = F.concat(
-        tx.percent(doc_ratio()),
-        F.format_string(
-            " (%d doc/comment lines vs %d code lines)",
-            F.col("rat_doc_lines") + F.col("rat_comments"),
-            code_line_count(F.col("lines")),
-        ),
-    )
-    level = F.when(doc_ratio() > 0.6, F.lit("Extremely high documentation ratio: ")).when(
-        doc_ratio() > 0.4, F.lit("High documentation ratio: ")
+    plain = f"CASE WHEN contains(l, {_DOUBLE}) OR contains(l, {_SINGLE}) THEN 0 ELSE 1 END"
+    state = lambda quote, n: f"named_struct('quote', {quote}, 'n', {n})"
+    closed = "CASE WHEN contains(l, st.quote) THEN '' ELSE st.quote END"
+    step = (
+        "CASE WHEN l = '' OR startswith(l, '#') THEN st "
+        f"WHEN st.quote = '' THEN {state(opened, f'st.n + {plain}')} "
+        f"ELSE {state(closed, 'st.n')} END"
     )
-    documented = F.concat(
-        tx.listed(level.isNotNull(), tx.strings(F.concat(level, lines_of))),
-        tx.listed(
-            F.col("rat_boilerplate") > 0,
-            tx.strings(
-                F.format_string(
-                    "Boilerplate/filler docstrings detected: %d out of %d total docstrings",
-                    F.col("rat_boilerplate"),
-                    F.col("rat_docstrings"),
-                )
+    return f"aggregate({lines}, {state(literal(''), '0')}, (st, l) -> {step}, st -> st.n)"
+
+
+def is_boilerplate(docstring: str) -> str:
+    return matches(f"lower({docstring})", any_of(fixed.BOILERPLATE_DOCSTRING_PATTERNS))
+
+
+_PARSED = "is_py AND facts.parse_status = 'ok'"
+_DOCS = "facts.docstrings"
+_LONG = "filter(facts.functions, f -> f.has_docstring AND f.doc_lines > (f.n_body - 1) * 2 AND f.doc_lines > 3)"
+
+MEASURES = [
+    {
+        "rat_mode": f"CASE WHEN NOT is_py THEN 'text' WHEN {_PARSED} THEN 'docs' END",
+        "rat_comments": ln.hash_start_count("hash_lines"),
+        "rat_nonblank": ln.nonblank_count("lines"),
+        "rat_doc_lines": f"CASE WHEN {_PARSED} THEN aggregate({_DOCS}, 0, (n, d) -> n + d.n_lines) END",
+        "rat_docstrings": f"CASE WHEN {_PARSED} THEN size({_DOCS}) END",
+        "rat_boilerplate": f"CASE WHEN {_PARSED} THEN size(filter({_DOCS}, d -> {is_boilerplate('d.text')})) END",
+        "rat_long_docs": f"CASE WHEN {_PARSED} THEN size({_LONG}) END",
+    }
+]
+
+_DOC_RATIO = "((rat_doc_lines + rat_comments) / rat_nonblank)"
+_COMMENT_RATIO = "(rat_comments / rat_nonblank)"
+
+SCORE = (
+    f"CASE WHEN rat_mode = 'text' THEN least(1.0D, greatest(0.0D, ({_COMMENT_RATIO} - 0.3D) * 1.5D)) "
+    f"WHEN rat_mode = 'docs' THEN least(1.0D, greatest(0.0D, ({_DOC_RATIO} - 0.3D) * 1.2D) "
+    "+ least(0.3D, rat_boilerplate * 0.08D) + least(0.2D, rat_long_docs * 0.07D)) ELSE 0.0D END"
+)
+
+_DOCUMENTED = (
+    "concat("
+    + ", ".join(
+        [
+            tx.listed(
+                f"{_DOC_RATIO} > 0.4D",
+                f"array(concat(CASE WHEN {_DOC_RATIO} > 0.6D THEN 'Extremely high' ELSE 'High' END, "
+                f"' documentation ratio: ', {tx.percent(_DOC_RATIO)}, "
+                "format_string(' (%d doc/comment lines vs %d code lines)', "
+                f"rat_doc_lines + rat_comments, {code_line_count('lines')})))",
             ),
-        ),
-        tx.listed(
-            F.col("rat_long_docs") > 0,
-            tx.strings(
-                F.format_string("Functions where docstring is longer than body: %d", F.col("rat_long_docs"))
+            tx.listed(
+                "rat_boilerplate > 0",
+                "array(format_string('Boilerplate/filler docstrings detected: %d out of %d total docstrings', "
+                "rat_boilerplate, rat_docstrings))",
             ),
-        ),
-    )
-    commented = tx.listed(
-        comment_ratio() > 0.5,
-        tx.strings(F.concat(F.lit("High comment ratio in non-Python file: "), tx.percent(comment_ratio()))),
-    )
-    return (
-        F.when(F.col("rat_nonblank") == 0, tx.strings())
-        .when(F.col("rat_mode") == "text", commented)
-        .when(F.col("rat_mode") == "docs", documented)
-        .otherwise(tx.strings())
+            tx.listed(
+                "rat_long_docs > 0",
+                "array(format_string('Functions where docstring is longer than body: %d', rat_long_docs))",
+            ),
+        ]
     )
+    + ")"
+)
+_COMMENTED = tx.listed(
+    f"{_COMMENT_RATIO} > 0.5D",
+    f"array(concat('High comment ratio in non-Python file: ', {tx.percent(_COMMENT_RATIO)}))",
+)
+
+FINDINGS = f"CASE WHEN rat_mode = 'text' THEN {_COMMENTED} WHEN rat_mode = 'docs' THEN {_DOCUMENTED} ELSE {tx.EMPTY} END"

@@ -1,16 +1,14 @@
 """Detectors by name.
 
-A detector contributes measure columns over the prepared file row, a score
-column and a findings column, all narrow: adding one never adds a shuffle.
+A detector contributes measures over the prepared file row, a score and
+findings, all as SQL expressions on that row: adding one never adds a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
 from grainscore.operators import comments, imports, naming, placeholders, ratio, repetitive, security
@@ -18,41 +16,39 @@ from grainscore.operators import comments, imports, naming, placeholders, ratio,
 
 @dataclass(frozen=True)
 class Detector:
-    """``score`` gives a 0-1 column, ``findings`` an array<string> column.
+    """``score`` is a 0-1 double expression, ``findings`` an array<string> expression.
 
     Available to both: ``repo_id, path, ext, size_bytes, is_py_ext, is_py, text,
-    facts, lines, hash_lines`` and the columns named in ``measures``, which are
-    added level by level.
+    facts, lines, hash_lines`` (the last two unless ``uses_lines`` is off) and
+    the columns named in ``measures``, which are added level by level.
     """
 
     name: str
-    score: Callable[[], Column]
-    findings: Callable[[], Column] = tx.strings
-    measures: list[dict[str, Column]] | Callable[[], list[dict[str, Column]]] = field(default_factory=list)
+    score: str
+    findings: str = tx.EMPTY
+    measures: list[dict[str, str]] = field(default_factory=list)
     weight: float | None = None
-
-    def levels(self) -> list[dict[str, Column]]:
-        return self.measures() if callable(self.measures) else self.measures
+    uses_lines: bool = True
 
     @property
     def effective_weight(self) -> float:
         return self.weight if self.weight is not None else fixed.DETECTOR_WEIGHTS.get(self.name, fixed.DEFAULT_WEIGHT)
 
 
-def builtin_detectors(known: Iterable[str] | None = None, installed: Iterable[str] = ()) -> list[Detector]:
-    """The seven built-in detectors in evaluation order."""
-    modules = {
-        "repetitive": repetitive,
-        "naming": naming,
-        "comments": comments,
-        "imports": imports,
-        "placeholders": placeholders,
-        "ratio": ratio,
-        "security": security,
+def builtin_detectors(
+    known: Iterable[str] | None = None, installed: Iterable[str] = (), only: Iterable[str] | None = None
+) -> list[Detector]:
+    """The built-in detectors in evaluation order, all seven or the named ones."""
+    built_in = {
+        "repetitive": Detector("repetitive", repetitive.SCORE, repetitive.FINDINGS, repetitive.MEASURES),
+        "naming": Detector("naming", naming.SCORE, naming.FINDINGS, naming.MEASURES, uses_lines=False),
+        "comments": Detector("comments", comments.SCORE, comments.FINDINGS, comments.MEASURES),
+        "imports": Detector(
+            "imports", imports.SCORE, imports.FINDINGS, imports.measures(known, installed), uses_lines=False
+        ),
+        "placeholders": Detector("placeholders", placeholders.SCORE, placeholders.FINDINGS, placeholders.MEASURES),
+        "ratio": Detector("ratio", ratio.SCORE, ratio.FINDINGS, ratio.MEASURES),
+        "security": Detector("security", security.SCORE, security.FINDINGS, security.MEASURES, uses_lines=False),
     }
-    found = []
-    for name in fixed.DETECTORS:
-        module = modules[name]
-        levels = (lambda: imports.measures(known, installed)) if name == "imports" else module.measures
-        found.append(Detector(name, module.score, module.findings, levels))
-    return found
+    chosen = set(built_in if only is None else only)
+    return [built_in[name] for name in fixed.DETECTORS if name in chosen]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainscore.functions import text as tx
@@ -10,66 +10,56 @@ from grainscore.functions import text as tx
 BLOCK = 5
 
 
-def _entries(functions: Column, key) -> Column:
-    return F.transform(functions, lambda f: F.struct(key(f).alias("key"), f["pos"].alias("pos"), f["name"].alias("value")))
+def _entries(functions: str, key: str) -> str:
+    return f"transform({functions}, f -> named_struct('key', {key}, 'pos', f.pos, 'value', f.name))"
 
 
-def duplicate_structures(functions: Column) -> Column:
+def duplicate_structures(functions: str) -> str:
     """array<struct<pos, values>>: names of functions that share a fingerprint, two or more."""
-    return tx.group_in_order(_entries(functions, lambda f: f["fingerprint"]), 2)
+    return tx.group_in_order(_entries(functions, "f.fingerprint"), 2)
 
 
-def same_body_patterns(functions: Column) -> Column:
+def same_body_patterns(functions: str) -> str:
     """Names of functions whose bodies have the same statement types, three or more."""
-    return tx.group_in_order(_entries(functions, lambda f: F.array_join(f["body_types"], "|")), 3)
+    return tx.group_in_order(_entries(functions, "array_join(f.body_types, '|')"), 3)
 
 
-def duplicated_count(functions: Column) -> Column:
+def duplicated_count(functions: str) -> str:
     """Functions that share their fingerprint with another one."""
     return tx.let(
-        F.sort_array(F.transform(functions, lambda f: f["fingerprint"])),
-        lambda s: F.size(
-            F.filter(s, lambda x, i: x.eqNullSafe(F.get(s, i - 1)) | x.eqNullSafe(F.get(s, i + 1)))
-        ),
+        f"sort_array(transform({functions}, f -> f.fingerprint))",
+        "s",
+        "size(filter(s, (x, i) -> x <=> get(s, i - 1) OR x <=> get(s, i + 1)))",
     )
 
 
-def block_entries(lines: Column) -> Column:
+def block_entries(lines: str) -> str:
     """array<struct<key, pos, value>> of every window of five non-blank lines.
 
     The window that ends on the last line is not looked at.
     """
     windows = tx.let(
         lines,
-        lambda ls: F.when(
-            F.size(ls) > BLOCK,
-            F.transform(
-                F.sequence(F.lit(1), F.size(ls) - BLOCK),
-                lambda i: F.struct(i.alias("pos"), F.slice(ls, i, BLOCK).alias("block")),
-            ),
-        ),
-    )
-    full = F.filter(windows, lambda w: ~F.array_contains(w["block"], ""))
-    entries = F.transform(
-        full,
-        lambda w: F.struct(
-            F.md5(F.array_join(w["block"], "\n")).alias("key"), w["pos"].alias("pos"), w["pos"].alias("value")
-        ),
+        "ls",
+        f"CASE WHEN size(ls) > {BLOCK} THEN transform(sequence(1, size(ls) - {BLOCK}), "
+        f"i -> named_struct('pos', i, 'block', slice(ls, i, {BLOCK}))) END",
     )
-    return F.coalesce(entries, F.array().cast("array<struct<key:string,pos:int,value:int>>"))
+    full = f"filter({windows}, w -> NOT array_contains(w.block, ''))"
+    entry = r"named_struct('key', md5(array_join(w.block, '\n')), 'pos', w.pos, 'value', w.pos)"
+    empty = "CAST(array() AS array<struct<key: string, pos: int, value: int>>)"
+    return f"coalesce(transform({full}, w -> {entry}), {empty})"
 
 
-def repeated_block_count(entries: Column) -> Column:
+def repeated_block_count(entries: str) -> str:
     """Distinct blocks that occur at two or more positions."""
     return tx.let(
-        F.sort_array(F.transform(entries, lambda e: e["key"])),
-        lambda s: F.size(
-            F.filter(s, lambda x, i: x.eqNullSafe(F.get(s, i + 1)) & ~x.eqNullSafe(F.get(s, i - 1)))
-        ),
+        f"sort_array(transform({entries}, e -> e.key))",
+        "s",
+        "size(filter(s, (x, i) -> x <=> get(s, i + 1) AND NOT x <=> get(s, i - 1)))",
     )
 
 
-def repeated_blocks(lines: Column) -> Column:
+def repeated_blocks(lines: str) -> str:
     """array<struct<pos, values>>: positions of each repeated block, in order of first position."""
     return tx.group_in_order(block_entries(lines), 2)
 
@@ -80,59 +70,69 @@ def repeated_block_table(line_rows: DataFrame, *keys: str) -> DataFrame:
     For line tables that exist as such; files are kept apart by their key, so
     the window partitions are as small as a file.
     """
-    per_file = Window.partitionBy(*keys).orderBy("line_no")
-    stripped = line_rows.withColumn("l1", tx.strip(F.col("line"))).withColumns(
-        {f"l{k}": F.lead(tx.strip(F.col("line")), k - 1).over(per_file) for k in range(2, BLOCK + 2)}
-    )
-    block = [F.col(f"l{k}") for k in range(1, BLOCK + 1)]
-    full = F.col(f"l{BLOCK + 1}").isNotNull()
-    for part in block:
-        full = full & (part != "")
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY line_no)"
+    leads = [f"lead(l0, {k}) {over} AS l{k}" for k in range(1, BLOCK + 1)]
+    block = [f"l{k}" for k in range(BLOCK)]
+    full = " AND ".join([f"l{BLOCK} IS NOT NULL", *(f"{part} <> ''" for part in block)])
     return (
-        stripped.where(full)
-        .select(*keys, "line_no", F.md5(F.concat_ws("\n", *block)).alias("block"))
+        line_rows.selectExpr(*keys, "line_no", f"{tx.strip('line')} AS l0")
+        .selectExpr("*", *leads)
+        .where(full)
+        .selectExpr(*keys, "line_no", rf"md5(concat_ws('\n', {', '.join(block)})) AS block")
         .groupBy(*keys, "block")
-        .agg(F.sort_array(F.collect_list("line_no")).alias("positions"))
-        .where(F.size("positions") >= 2)
+        .agg(F.expr("sort_array(collect_list(line_no))").alias("positions"))
+        .where("size(positions) >= 2")
     )
 
 
-def measures() -> list[dict[str, Column]]:
-    functions = F.col("facts.functions")
-    comparable = (F.col("facts.parse_status") == "ok") & (F.size(functions) >= 2)
-    return [
-        {
-            "rep_functions": F.when(comparable, F.size(functions)),
-            "rep_duplicated": F.when(comparable, duplicated_count(functions)),
-            "rep_blocks": F.when(comparable, repeated_block_count(block_entries(F.col("lines")))),
-        }
-    ]
+_FUNCTIONS = "facts.functions"
+_COMPARABLE = f"facts.parse_status = 'ok' AND size({_FUNCTIONS}) >= 2"
 
+MEASURES = [
+    {
+        "rep_functions": f"CASE WHEN {_COMPARABLE} THEN size({_FUNCTIONS}) END",
+        "rep_duplicated": f"CASE WHEN {_COMPARABLE} THEN {duplicated_count(_FUNCTIONS)} END",
+        "rep_blocks": f"CASE WHEN {_COMPARABLE} THEN {repeated_block_count(block_entries('lines'))} END",
+    }
+]
 
-def score() -> Column:
-    ratio = F.col("rep_duplicated") / F.col("rep_functions")
-    blocks = F.least(F.lit(1.0), F.col("rep_blocks") * 0.15)
-    return F.when(F.col("rep_functions").isNotNull(), F.least(F.lit(1.0), ratio * 0.7 + blocks * 0.3)).otherwise(0.0)
+SCORE = (
+    "CASE WHEN rep_functions IS NULL THEN 0.0D ELSE "
+    "least(1.0D, rep_duplicated / rep_functions * 0.7D + least(1.0D, rep_blocks * 0.15D) * 0.3D) END"
+)
 
 
-def findings() -> Column:
-    functions = F.col("facts.functions")
-    names = lambda g: F.array_join(g["values"], ", ")
-    identical = F.transform(
-        duplicate_structures(functions), lambda g: F.concat(F.lit("Structurally identical functions: "), names(g))
-    )
-    patterns = F.array_distinct(
-        F.transform(
-            same_body_patterns(functions),
-            lambda g: F.concat(F.lit("Functions with identical body statement patterns: "), names(g)),
-        )
-    )
-    blocks = F.transform(
-        repeated_blocks(F.col("lines")),
-        lambda g: F.concat(F.lit("Repeated code block found at lines: ["), names(g), F.lit("]")),
-    )
-    some = lambda count, items: tx.listed(F.col(count) > 0, items)
-    return tx.listed(
-        F.col("rep_functions").isNotNull(),
-        F.concat(some("rep_duplicated", identical), patterns, some("rep_blocks", blocks)),
+def _sentences(groups: str, text: str) -> str:
+    return f"transform({groups}, g -> concat({text}))"
+
+
+FINDINGS = tx.listed(
+    "rep_functions IS NOT NULL",
+    "concat("
+    + ", ".join(
+        [
+            tx.listed(
+                "rep_duplicated > 0",
+                _sentences(
+                    duplicate_structures(_FUNCTIONS),
+                    "'Structurally identical functions: ', array_join(g.values, ', ')",
+                ),
+            ),
+            "array_distinct("
+            + _sentences(
+                same_body_patterns(_FUNCTIONS),
+                "'Functions with identical body statement patterns: ', array_join(g.values, ', ')",
+            )
+            + ")",
+            tx.listed(
+                "rep_blocks > 0",
+                _sentences(
+                    repeated_blocks("lines"),
+                    "'Repeated code block found at lines: [', "
+                    "array_join(CAST(g.values AS array<string>), ', '), ']'",
+                ),
+            ),
+        ]
     )
+    + ")",
+)

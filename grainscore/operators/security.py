@@ -7,14 +7,11 @@ is missed and most files never reach the regular expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
-from grainscore.functions.patterns import java
+from grainscore.functions.patterns import java, literal
 
-# A word of each is part of every match of the pattern at the same position.
+# Every match of the pattern at the same position contains one of these words.
 SECRET_WORDS = [
     ["password", "passwd", "pwd"],
     ["api_key", "apikey", "api_secret"],
@@ -34,106 +31,98 @@ SECRET_WORDS = [
 SQL_WORDS = [["execute"], ["execute"], ["execute"], ["cursor.execute"], ["cursor.execute"], [".query"], ["raw"]]
 
 
-def pattern_counts(text: Column, folded: Column, rules: list[tuple[str, str]], words: list[list[str]]) -> list[Column]:
+def _counts(text: str, folded: str, rules: list[tuple[str, str]], words: list[list[str]]) -> list[str]:
     """Number of non-overlapping matches of each rule."""
     return [
-        F.when(tx.contains_any(folded, w), F.regexp_count(text, F.lit(java(p)))).otherwise(
-            F.when(text.isNotNull(), 0)
-        )
+        f"CASE WHEN {tx.contains_any(folded, w)} THEN regexp_count({text}, {literal(java(p))}) "
+        f"WHEN {text} IS NOT NULL THEN 0 END"
         for (p, _), w in zip(rules, words)
     ]
 
 
-def secret_counts(text: Column, folded: Column) -> list[Column]:
-    return pattern_counts(text, folded, fixed.SECRET_PATTERNS, SECRET_WORDS)
+def secret_counts(text: str, folded: str) -> list[str]:
+    return _counts(text, folded, fixed.SECRET_PATTERNS, SECRET_WORDS)
 
 
-def sql_counts(text: Column, folded: Column) -> list[Column]:
-    return pattern_counts(text, folded, fixed.SQL_INJECTION_PATTERNS, SQL_WORDS)
+def sql_counts(text: str, folded: str) -> list[str]:
+    return _counts(text, folded, fixed.SQL_INJECTION_PATTERNS, SQL_WORDS)
 
 
-def is_eval(c: Column) -> Column:
-    return c["attr"].isNull() & c["base"].isin(fixed.EVAL_NAMES)
+def _among(name: str, words: list[str]) -> str:
+    return f"{name} IN ({', '.join(map(literal, words))})"
 
 
-def is_shell(c: Column) -> Column:
-    bare = c["attr"].isNull() & c["base"].isin(fixed.SHELL_NAMES)
-    method = (c["base"] == "subprocess") & c["attr"].isin(fixed.SHELL_METHODS)
-    return c["shell_true"] & (bare | F.coalesce(method, F.lit(False)))
+def is_eval(c: str) -> str:
+    return f"({c}.attr IS NULL AND {_among(f'{c}.base', fixed.EVAL_NAMES)})"
 
 
-def is_unsafe_load(c: Column) -> Column:
-    return F.coalesce((c["attr"] == "loads") & c["base"].isin(fixed.UNSAFE_LOADERS), F.lit(False))
+def is_shell(c: str) -> str:
+    bare = f"{c}.attr IS NULL AND {_among(f'{c}.base', fixed.SHELL_NAMES)}"
+    method = f"{c}.attr IS NOT NULL AND {c}.base = 'subprocess' AND {_among(f'{c}.attr', fixed.SHELL_METHODS)}"
+    return f"({c}.shell_true AND ({bare} OR {method}))"
 
 
-def measures() -> list[dict[str, Column]]:
-    text, folded, calls = F.col("text"), F.col("sec_folded"), F.col("facts.calls")
-    parsed = F.col("is_py") & (F.col("facts.parse_status") == "ok")
-    base_names = lambda test: F.when(
-        parsed, F.transform(F.filter(calls, test), lambda c: c["base"])
-    ).otherwise(tx.strings())
-    return [
-        {"sec_folded": tx.fold_case(text)},
-        {
-            **{f"sec_secret_{k}": c for k, c in enumerate(secret_counts(text, folded))},
-            **{f"sec_sql_{k}": c for k, c in enumerate(sql_counts(text, folded))},
-            "sec_broken": F.col("is_py") & (F.col("facts.parse_status") == "syntax_error"),
-            "sec_evals": base_names(is_eval),
-            "sec_shells": base_names(is_shell),
-            "sec_loads": base_names(is_unsafe_load),
-            "sec_asserts": F.when(parsed, F.col("facts.n_asserts")).otherwise(0),
-        },
-    ]
+def is_unsafe_load(c: str) -> str:
+    return f"({c}.attr IS NOT NULL AND {c}.attr = 'loads' AND {_among(f'{c}.base', fixed.UNSAFE_LOADERS)})"
 
 
-def issue_count() -> Column:
-    """Issues weighted by kind."""
-    secrets = sum((F.col(f"sec_secret_{k}") for k in range(len(fixed.SECRET_PATTERNS))), F.lit(0))
-    sql = sum((F.col(f"sec_sql_{k}") for k in range(len(fixed.SQL_INJECTION_PATTERNS))), F.lit(0))
-    calls = (F.size("sec_evals") + F.size("sec_shells")) * 2 + F.size("sec_loads")
-    return secrets * 3 + sql * 2 + calls + F.when(F.col("sec_asserts") > 5, 1).otherwise(0)
+_PARSED = "is_py AND facts.parse_status = 'ok'"
 
 
-def score() -> Column:
-    factor = F.when(F.col("sec_broken"), 0.1).otherwise(0.12)
-    return F.least(F.lit(1.0), issue_count() * factor)
+def _bases(test: str) -> str:
+    return tx.listed(_PARSED, f"transform(filter(facts.calls, c -> {test}), c -> c.base)")
 
 
-def findings() -> Column:
-    secrets = [
-        tx.listed(F.col(f"sec_secret_{k}") > 0, tx.strings(F.lit(f"SECURITY: {label} detected")))
-        for k, (_, label) in enumerate(fixed.SECRET_PATTERNS)
-    ]
-    sql = [
-        tx.listed(
-            F.col(f"sec_sql_{k}") > 0,
-            tx.strings(
-                F.concat(F.lit(f"SECURITY: {label} ("), F.col(f"sec_sql_{k}").cast("string"), F.lit(" instance(s))"))
+MEASURES = [
+    {"sec_folded": tx.fold_case("text")},
+    {
+        **{f"sec_secret_{k}": e for k, e in enumerate(secret_counts("text", "sec_folded"))},
+        **{f"sec_sql_{k}": e for k, e in enumerate(sql_counts("text", "sec_folded"))},
+        "sec_broken": "is_py AND facts.parse_status = 'syntax_error'",
+        "sec_evals": _bases(is_eval("c")),
+        "sec_shells": _bases(is_shell("c")),
+        "sec_loads": _bases(is_unsafe_load("c")),
+        "sec_asserts": f"CASE WHEN {_PARSED} THEN facts.n_asserts ELSE 0 END",
+    },
+]
+
+_SECRETS = " + ".join(f"sec_secret_{k}" for k in range(len(fixed.SECRET_PATTERNS)))
+_SQL = " + ".join(f"sec_sql_{k}" for k in range(len(fixed.SQL_INJECTION_PATTERNS)))
+
+# Issues weighted by kind
+ISSUES = (
+    f"(({_SECRETS}) * 3 + ({_SQL}) * 2 + (size(sec_evals) + size(sec_shells)) * 2 + size(sec_loads) "
+    "+ CASE WHEN sec_asserts > 5 THEN 1 ELSE 0 END)"
+)
+
+SCORE = f"least(1.0D, {ISSUES} * CASE WHEN sec_broken THEN 0.1D ELSE 0.12D END)"
+
+_DASH = chr(0x2014)
+
+FINDINGS = (
+    "concat("
+    + ", ".join(
+        [
+            *(
+                tx.listed(f"sec_secret_{k} > 0", tx.strings(literal(f"SECURITY: {label} detected")))
+                for k, (_, label) in enumerate(fixed.SECRET_PATTERNS)
             ),
-        )
-        for k, (_, label) in enumerate(fixed.SQL_INJECTION_PATTERNS)
-    ]
-    em_dash = chr(0x2014)
-    evals = F.transform(
-        "sec_evals",
-        lambda n: F.concat(F.lit("SECURITY: Direct use of "), n, F.lit(f"() {em_dash} code execution from strings")),
-    )
-    shells = F.transform(
-        "sec_shells",
-        lambda n: F.lit(f"SECURITY: subprocess call with shell=True {em_dash} command injection risk"),
-    )
-    loads = F.transform(
-        "sec_loads",
-        lambda n: F.concat(F.lit("SECURITY: "), n, F.lit(f".loads() {em_dash} deserializing untrusted data is unsafe")),
-    )
-    asserts = tx.listed(
-        F.col("sec_asserts") > 5,
-        tx.strings(
-            F.format_string(
-                f"SECURITY: Heavy use of assert (%d times) for validation {em_dash} "
-                "assert statements can be disabled with Python -O flag",
-                F.col("sec_asserts"),
-            )
-        ),
+            *(
+                tx.listed(
+                    f"sec_sql_{k} > 0",
+                    tx.strings(f"concat({literal(f'SECURITY: {label} (')}, sec_sql_{k}, ' instance(s))')"),
+                )
+                for k, (_, label) in enumerate(fixed.SQL_INJECTION_PATTERNS)
+            ),
+            f"transform(sec_evals, n -> concat('SECURITY: Direct use of ', n, '() {_DASH} code execution from strings'))",
+            f"transform(sec_shells, n -> 'SECURITY: subprocess call with shell=True {_DASH} command injection risk')",
+            f"transform(sec_loads, n -> concat('SECURITY: ', n, '.loads() {_DASH} deserializing untrusted data is unsafe'))",
+            tx.listed(
+                "sec_asserts > 5",
+                f"array(format_string('SECURITY: Heavy use of assert (%d times) for validation {_DASH} "
+                "assert statements can be disabled with Python -O flag', sec_asserts))",
+            ),
+        ]
     )
-    return F.concat(*secrets, *sql, evals, shells, loads, asserts)
+    + ")"
+)

@@ -20,6 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import from_arrow_type
 
 # Ship the helpers inside the UDF, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -55,16 +56,7 @@ _FACTS = pa.struct(
     ]
 )
 
-FACTS_TYPE = """struct<
-    parse_status: string, parse_error: string,
-    functions: array<struct<pos: int, name: string, is_async: boolean, n_args: int, fingerprint: string,
-        body_types: array<string>, n_body: int, has_docstring: boolean, doc_lines: int,
-        only_stub: boolean, raises_nie: boolean>>,
-    names: array<struct<pos: int, name: string, kind: string>>,
-    imports: array<string>,
-    calls: array<struct<base: string, attr: string, shell_true: boolean>>,
-    docstrings: array<struct<owner: string, text: string, n_lines: int>>,
-    n_asserts: int>"""
+FACTS_TYPE = from_arrow_type(_FACTS)
 
 
 def _docstring(body: list) -> str | None:

@@ -3,38 +3,43 @@
     files -> admit -> facts (Arrow UDF) -> lines -> measures -> scores -> results
 
 Every step is narrow: contents are read once, never shuffled, and dropped
-before the first exchange.  Findings and facts that a query does not select are
-pruned from the plan, including the parse itself.
+before the first exchange.  Findings that a query does not select are pruned
+from the plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainscore.functions import scoring as sc
 from grainscore.functions import text as tx
+from grainscore.functions.patterns import literal
 from grainscore.operators import lines as ln
 from grainscore.operators import syntax
 from grainscore.operators.registry import Detector, builtin_detectors
 from grainscore.sources.corpus import KEYS, admit
 
 
+def parse(files: DataFrame) -> DataFrame:
+    """Corpus rows with text and syntax facts."""
+    return syntax.with_facts(admit(files))
+
+
 def prepare(files: DataFrame) -> DataFrame:
     """Corpus rows with text, syntax facts and lines."""
-    return ln.with_lines(syntax.with_facts(admit(files)))
+    return ln.with_lines(parse(files))
 
 
 def with_measures(prepared: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
-    """Add the measures of all detectors, one projection per level."""
-    levels = [d.levels() for d in detectors]
-    for depth in range(max(map(len, levels), default=0)):
-        columns = {}
-        for level in levels:
-            columns.update(level[depth] if depth < len(level) else {})
-        prepared = prepared.withColumns(columns)
+    """Add the measures of all detectors, one level after the other."""
+    for depth in range(max((len(d.measures) for d in detectors), default=0)):
+        columns: dict[str, str] = {}
+        for d in detectors:
+            columns.update(d.measures[depth] if depth < len(d.measures) else {})
+        prepared = tx.derive(prepared, columns)
     return prepared
 
 
@@ -42,24 +47,16 @@ def detect(files: DataFrame, detectors: Sequence[Detector] | None = None) -> Dat
     """One row per file: keys, ``status``, ``skip_reason``, ``error`` and, per detector,
     ``<name>_score`` and ``<name>_findings``."""
     detectors = builtin_detectors() if detectors is None else detectors
-    measured = with_measures(prepare(files), detectors)
-    failed = F.col("facts.parse_status") == "error"
-    error = F.coalesce(
-        F.when(F.col("skip_reason").isNull(), F.col("read_error")),
-        F.when(failed, F.concat(F.lit("analysis error: "), F.col("facts.parse_error"))),
-    )
-    scored = measured.withColumn("error", error).withColumn(
-        "status",
-        F.when(F.col("skip_reason").isNotNull(), "skipped")
-        .when(F.col("error").isNotNull(), "error")
-        .otherwise("analyzed"),
-    )
-    analyzed = F.col("status") == "analyzed"
-    columns = {}
+    source = prepare(files) if any(d.uses_lines for d in detectors) else parse(files)
+    failed = "CASE WHEN facts.parse_status = 'error' THEN concat('analysis error: ', facts.parse_error) END"
+    error = f"coalesce(CASE WHEN skip_reason IS NULL THEN read_error END, {failed})"
+    status = f"CASE WHEN skip_reason IS NOT NULL THEN 'skipped' WHEN {error} IS NOT NULL THEN 'error' ELSE 'analyzed' END"
+    scored = tx.derive(with_measures(source, detectors), {"error": error, "status": status})
+    columns = []
     for d in detectors:
-        columns[f"{d.name}_score"] = F.when(analyzed, d.score())
-        columns[f"{d.name}_findings"] = F.when(analyzed, d.findings())
-    return scored.withColumns(columns).select(*KEYS, "status", "skip_reason", "error", *columns)
+        columns.append(f"CASE WHEN status = 'analyzed' THEN {d.score} END AS {d.name}_score")
+        columns.append(f"CASE WHEN status = 'analyzed' THEN {d.findings} END AS {d.name}_findings")
+    return scored.selectExpr(*KEYS, "status", "skip_reason", "error", *columns)
 
 
 def score_files(files: DataFrame, detectors: Sequence[Detector] | None = None) -> DataFrame:
@@ -68,61 +65,37 @@ def score_files(files: DataFrame, detectors: Sequence[Detector] | None = None) -
     Scores are NULL and findings empty for skipped and error rows.
     """
     detectors = builtin_detectors() if detectors is None else detectors
-    found = detect(files, detectors)
-    raw = {d.name: F.col(f"{d.name}_score") for d in detectors}
+    raw = {d.name: f"{d.name}_score" for d in detectors}
     weights = {d.name: d.effective_weight for d in detectors}
-    analyzed = F.col("status") == "analyzed"
-    finding_lists = [F.col(f"{d.name}_findings") for d in detectors]
-    results = found.withColumns(
-        {
-            "final_score": F.when(analyzed, sc.weighted_score(raw, weights)),
-            "raw": F.when(analyzed, F.struct(*(c.alias(n) for n, c in raw.items()))) if raw else F.lit(None),
-            "weighted": F.when(analyzed, sc.weighted_contributions(raw, weights)) if raw else F.lit(None),
-            "findings": F.when(analyzed, F.concat(*finding_lists)).otherwise(tx.strings())
-            if finding_lists
-            else tx.strings(),
-        }
-    )
-    final = F.col("final_score")
-    return results.select(
+    analyzed = lambda expression: f"CASE WHEN status = 'analyzed' THEN {expression} END"
+    lists = ", ".join(f"{d.name}_findings" for d in detectors) or tx.EMPTY
+    results = tx.derive(detect(files, detectors), {"final_score": analyzed(sc.weighted_score(raw, weights))})
+    return results.selectExpr(
         *KEYS, "status", "skip_reason", "error", "final_score",
-        sc.score_label(final).alias("label"), sc.score_color(final).alias("color"),
-        "raw", "weighted", "findings",
+        f"{sc.score_label('final_score')} AS label",
+        f"{sc.score_color('final_score')} AS color",
+        f"{analyzed(tx.row(raw)) if raw else 'NULL'} AS raw",
+        f"{analyzed(sc.weighted_contributions(raw, weights)) if raw else 'NULL'} AS weighted",
+        f"coalesce({analyzed(f'concat({lists})')}, {tx.EMPTY}) AS findings",
     )
 
 
 def detector_rows(found: DataFrame, detectors: Sequence[Detector] | None = None) -> DataFrame:
     """Long form of ``detect``: ``(repo_id, path, detector, score, findings)`` of analyzed files."""
     detectors = builtin_detectors() if detectors is None else detectors
-    rows = F.array(
-        *(
-            F.struct(
-                F.lit(d.name).alias("detector"),
-                F.col(f"{d.name}_score").alias("score"),
-                F.col(f"{d.name}_findings").alias("findings"),
-            )
-            for d in detectors
-        )
-    )
-    return found.where(F.col(f"{detectors[0].name}_score").isNotNull()).select(*KEYS, F.inline(rows))
+    rows = [
+        tx.row({"detector": literal(d.name), "score": f"{d.name}_score", "findings": f"{d.name}_findings"})
+        for d in detectors
+    ]
+    return found.where("status = 'analyzed'").selectExpr(*KEYS, f"inline(array({', '.join(rows)}))")
 
 
 def at_least(results: DataFrame, threshold: int) -> DataFrame:
-    """Keep analyzed files from ``threshold`` up, and all skipped and error rows.
-
-    The one-element ``inline`` keeps the optimizer from copying the whole score
-    expression into a filter below the projection that computes it; predicates
-    on the keys still pass through to the scan.
-    """
-    kept = F.array(F.struct(F.col("status").alias("_status"), F.col("final_score").alias("_score")))
-    return (
-        results.select("*", F.inline(kept))
-        .where((F.col("_status") != "analyzed") | (F.col("_score") >= threshold))
-        .drop("_status", "_score")
-    )
+    """Keep analyzed files from ``threshold`` up, and all skipped and error rows."""
+    return results.where((F.col("status") != "analyzed") | (F.col("final_score") >= threshold))
 
 
 def ranked(results: DataFrame) -> DataFrame:
     """Analyzed files first, highest score first, ties by repository and path."""
-    analyzed: Column = F.col("status") == "analyzed"
+    analyzed = F.col("status") == "analyzed"
     return results.orderBy(analyzed.desc(), F.coalesce("final_score", F.lit(0)).desc(), *KEYS)

@@ -58,15 +58,12 @@ def relative_path(path: Column, base: Column | None = None) -> Column:
     return F.when(F.startswith(path, prefix), F.substr(path, F.length(prefix) + 1)).otherwise(path)
 
 
-def size_skip_reason(size: Column) -> Column:
+def size_skip_reason(size: str) -> str:
+    """SQL: why a file of this size is skipped, NULL when it is not."""
     limit = fixed.MAX_FILE_BYTES
-    return F.when(size == 0, F.lit("empty file")).when(
-        size > limit,
-        F.concat(
-            F.lit("file too large ("),
-            F.floor(size / 1024).cast("string"),
-            F.lit(f"KB > {limit // 1024}KB)"),
-        ),
+    return (
+        f"CASE WHEN {size} = 0 THEN 'empty file' WHEN {size} > {limit} "
+        f"THEN concat('file too large (', {size} div 1024, 'KB > {limit // 1024}KB)') END"
     )
 
 
@@ -78,23 +75,22 @@ def admit(files: DataFrame) -> DataFrame:
     any case) and ``is_py`` (name ends in ``.py`` exactly).  Tests run in the
     order size, read error, blank content.
     """
-    content = F.col("content")
-    raw = tx.decode_utf8(content) if files.schema["content"].dataType.typeName() == "binary" else content
-    by_size = size_skip_reason(F.col("size_bytes"))
-    read_error = F.col("read_error") if "read_error" in files.columns else F.lit(None).cast("string")
-    read = files.withColumns(
+    binary = files.schema["content"].dataType.typeName() == "binary"
+    by_size = size_skip_reason("size_bytes")
+    flagged = files.selectExpr(
+        *(c for c in files.columns if c != "read_error"),
+        "read_error" if "read_error" in files.columns else "CAST(NULL AS STRING) AS read_error",
+        "ext = '.py' AS is_py_ext",
+        "endswith(path, '.py') AS is_py",
+    )
+    content = tx.unify_newlines(tx.decode_utf8("content") if binary else "content")
+    blank = tx.is_blank("decoded")
+    return tx.derive_from(
+        flagged,
+        f"CASE WHEN {by_size} IS NULL AND read_error IS NULL THEN {content} END",
+        "decoded",
         {
-            "_by_size": by_size,
-            "read_error": read_error,
-            "_decoded": F.when(by_size.isNull() & read_error.isNull(), tx.unify_newlines(raw)),
-            "is_py_ext": F.col("ext") == ".py",
-            "is_py": F.endswith(F.col("path"), F.lit(".py")),
-        }
+            "text": f"CASE WHEN NOT {blank} THEN decoded END",
+            "skip_reason": f"coalesce({by_size}, CASE WHEN {blank} THEN 'empty content' END)",
+        },
     ).drop("content")
-    blank = tx.is_blank(F.col("_decoded"))
-    return read.withColumns(
-        {
-            "text": F.when(~blank, F.col("_decoded")),
-            "skip_reason": F.coalesce(F.col("_by_size"), F.when(blank, F.lit("empty content"))),
-        }
-    ).drop("_by_size", "_decoded")

@@ -1,0 +1,318 @@
+"""Source-file corpora derived from the ``documents`` table.
+
+The given tables hold prose, so code is generated from ``doc_id`` arithmetic by
+one SQL text that Spark and the SQL oracle both understand.  The code is built
+from pieces whose syntax is known, so the oracle, which cannot parse Python,
+gets the expected facts by counting pieces.
+
+``documents``  the prose itself, one file per document (text checks only)
+``code``       generated code; some files broken, blank, oversized or too deep to parse
+``annotated``  generated code followed by the whole document text as ``#`` comments
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+
+from grainscore import fixed_values as fixed
+from grainscore.functions import text as tx
+from grainscore.sources.corpus import files_from_table
+
+
+@dataclass(frozen=True)
+class Function:
+    name: str
+    types: str  # node types, breadth-first
+    body: str  # types of the body statements
+    is_async: bool = False
+    n_args: int = 0
+    n_body: int = 1
+    has_doc: bool = False
+    doc_lines: int = 0
+    only_stub: bool = False
+    raises_nie: bool = False
+
+
+@dataclass(frozen=True)
+class Piece:
+    """Lines of code and what they hold."""
+
+    text: str
+    functions: tuple[Function, ...] = ()
+    targets: tuple[str, ...] = ()
+    args: tuple[str, ...] = ()
+    imports: tuple[str, ...] = ()
+    calls: tuple[tuple[str, str | None, bool], ...] = ()
+    docstrings: tuple[tuple[str, str, int], ...] = ()
+    asserts: int = 0
+    code: int = 0  # lines that are code
+
+
+@dataclass(frozen=True)
+class Part:
+    """``count`` is how many of the pieces, from the first on, a file gets."""
+
+    name: str
+    count: str
+    pieces: list[Piece] = field(default_factory=list)
+
+
+def _div(k: int) -> str:
+    return f"CAST(floor(doc_id / {k}) AS BIGINT)"
+
+
+def _if(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN 1 ELSE 0 END"
+
+
+def _assign(name: str, value: str = "1") -> Piece:
+    return Piece(f"{name} = {value}", targets=(name,), code=1)
+
+
+def _notes(*texts: str) -> list[Piece]:
+    return [Piece(t) for t in texts]
+
+
+_TWIN = "FunctionDef|arguments|Return|arg|BinOp|Name|Add|Constant|Load"
+_MODULE_DOC = "This module provides helpers.\nMore words here.\n"
+_FUNCTION_DOC = "Returns the value.\n    one\n    two\n    three\n    "
+_FAILED = "doc_id % 101 = 7"
+
+PARTS = [
+    Part("moddoc", _if("doc_id % 6 = 2"), [Piece(f'"""{_MODULE_DOC}"""', docstrings=(("<module>", _MODULE_DOC, 2),))]),
+    Part("imp_os", _if("doc_id % 5 = 0"), [Piece("import os", imports=("os",), code=1)]),
+    Part("imp_numpy", _if("doc_id % 5 = 1"), [Piece("import numpy", imports=("numpy",), code=1)]),
+    Part("imp_smart", _if("doc_id % 5 = 2"), [Piece("import smart_things", imports=("smart_things",), code=1)]),
+    Part("imp_local", _if("doc_id % 5 = 3"), [Piece("import zzlocal", imports=("zzlocal",), code=1)]),
+    Part("imp_rel", _if("doc_id % 7 = 3"), [Piece("from .helpers import alpha", imports=("helpers",), code=1)]),
+    Part(
+        "imp_multi",
+        _if("doc_id % 7 = 4"),
+        [Piece("import os.path, collections.abc, auto_tools.x", imports=("os", "collections", "auto_tools"), code=1)],
+    ),
+    Part("todo", "doc_id % 7", _notes(*(f"# TODO: fix {j}" for j in range(1, 7)))),
+    Part("fixme", _if("doc_id % 3 = 1"), _notes("# FIXME later")),
+    Part(
+        "obvious",
+        f"{_div(7)} % 8",
+        _notes(
+            "# increment counter", "# return the result", "# return value", "# set total to zero",
+            "# open the file", "# loop over rows", "# get the name",
+        ),
+    ),
+    Part(
+        "narrative",
+        f"{_div(3)} % 5",
+        _notes("# step 1 of the plan", "# first, read", "# next, write", "# now we wait"),
+    ),
+    Part("banner", _if("doc_id % 16 = 3"), [Piece("\n".join(f"# note {j}" for j in range(1, 11)))]),
+    Part("generic", "doc_id % 6", [_assign(n) for n in ("data", "temp", "info", "stuff", "output")]),
+    Part("token", "doc_id % 2", [_assign("token", '"abcdefghijkl"')]),
+    Part("password", _if("doc_id % 9 = 4"), [_assign("password", '"hunter22"')]),
+    Part("letters", "doc_id % 5", [_assign(n) for n in "abcd"]),
+    Part("evals", "doc_id % 3", [Piece('eval("1")', calls=(("eval", None, False),), code=1)] * 2),
+    Part(
+        "shell",
+        _if("doc_id % 13 = 5"),
+        [Piece("subprocess.call(cmd, shell=True)", calls=(("subprocess", "call", True),), code=1)],
+    ),
+    Part("loads", _if("doc_id % 17 = 6"), [Piece("pickle.loads(raw)", calls=(("pickle", "loads", False),), code=1)]),
+    Part(
+        "sql",
+        _if("doc_id % 19 = 7"),
+        [Piece('cursor.execute("SELECT a FROM t" + cond)', calls=(("cursor", "execute", False),), code=1)],
+    ),
+    Part("asserts", "doc_id % 8", [Piece("assert True", asserts=1, code=1)] * 7),
+    Part(
+        "twins",
+        "doc_id % 4",
+        [
+            Piece(f"def fn_{j}(arg_{j}):\n    return arg_{j} + 1", (Function(f"fn_{j}", _TWIN, "Return", n_args=1),), args=(f"arg_{j}",), code=2)
+            for j in range(1, 4)
+        ],
+    ),
+    Part(
+        "stubs",
+        f"{_div(4)} % 3",
+        [
+            Piece(f"def st_{j}():\n    pass", (Function(f"st_{j}", "FunctionDef|arguments|Pass", "Pass", only_stub=True),), code=2)
+            for j in range(1, 3)
+        ],
+    ),
+    Part(
+        "unwritten",
+        f"{_div(5)} % 3",
+        [
+            Piece(
+                "def ni_1():\n    raise NotImplementedError",
+                (Function("ni_1", "FunctionDef|arguments|Raise|Name|Load", "Raise", raises_nie=True),),
+                code=2,
+            ),
+            Piece(
+                'def ni_2():\n    raise NotImplementedError("later")',
+                (Function("ni_2", "FunctionDef|arguments|Raise|Call|Name|Constant|Load", "Raise", raises_nie=True),),
+                calls=(("NotImplementedError", None, False),),
+                code=2,
+            ),
+        ],
+    ),
+    Part(
+        "documented",
+        f"{_div(6)} % 3",
+        [
+            Piece(
+                f'def doc_{j}():\n    """{_FUNCTION_DOC}"""\n    return 1',
+                (
+                    Function(
+                        f"doc_{j}", "FunctionDef|arguments|Expr|Return|Constant|Constant", "Expr|Return",
+                        n_body=2, has_doc=True, doc_lines=4,
+                    ),
+                ),
+                docstrings=((f"doc_{j}", _FUNCTION_DOC, 4),),
+                code=2,
+            )
+            for j in range(1, 3)
+        ],
+    ),
+    Part(
+        "only_doc",
+        f"{_div(8)} % 2",
+        [
+            Piece(
+                'def only_doc():\n    """Only words."""',
+                (
+                    Function(
+                        "only_doc", "FunctionDef|arguments|Expr|Constant", "Expr",
+                        has_doc=True, doc_lines=1, only_stub=True,
+                    ),
+                ),
+                docstrings=(("only_doc", "Only words.", 1),),
+                code=1,
+            )
+        ],
+    ),
+    Part(
+        "generic_fn",
+        f"{_div(9)} % 3",
+        [
+            Piece(
+                f"def {n}({a}):\n    return len({a})",
+                (Function(n, "FunctionDef|arguments|Return|arg|Call|Name|Name|Load|Load", "Return", n_args=1),),
+                args=(a,),
+                calls=(("len", None, False),),
+                code=2,
+            )
+            for n, a in (("process_data", "arg_p"), ("handle", "arg_h"))
+        ],
+    ),
+    Part(
+        "async_fn",
+        f"{_div(2)} % 2",
+        [
+            Piece(
+                "async def wait_1():\n    pass",
+                (Function("wait_1", "AsyncFunctionDef|arguments|Pass", "Pass", is_async=True, only_stub=True),),
+                code=2,
+            )
+        ],
+    ),
+    Part(
+        "block",
+        f"{_div(10)} % 3",
+        [Piece("\n".join(f"u{k} = 1" for k in range(1, 6)), targets=tuple(f"u{k}" for k in range(1, 6)), code=5)] * 2,
+    ),
+    Part("closing", _if("doc_id % 3 = 0"), [_assign("done", "True")]),
+    Part("broken", _if(f"doc_id % 11 = 0 AND NOT ({_FAILED})"), [Piece("def (", code=1)]),
+]
+
+_DASHES = 20_000
+
+
+def _literal(text: str) -> str:
+    return " || chr(10) || ".join(f"'{line}'" for line in text.split("\n"))
+
+
+def _count_columns() -> str:
+    return ", ".join(f"{p.count} AS n_{p.name}" for p in PARTS)
+
+
+def _code_text() -> str:
+    pieces = [
+        f"CASE WHEN n_{part.name} >= {j} THEN {_literal(piece.text)} || chr(10) ELSE '' END"
+        for part in PARTS
+        for j, piece in enumerate(part.pieces, start=1)
+    ]
+    deep = f"CASE WHEN {_FAILED} THEN 'x = ' || repeat('-', {_DASHES}) || '1' || chr(10) ELSE '' END"
+    return " || ".join([*pieces, deep])
+
+
+CODE_EXT = """CASE doc_id % 10 WHEN 7 THEN '.js' WHEN 8 THEN '.PY' WHEN 9 THEN '.go' ELSE '.py' END"""
+DOCUMENT_EXT = (
+    "CASE doc_id % 18 "
+    + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(fixed.SUPPORTED_EXTENSIONS))
+    + " END"
+)
+
+
+def documents_sql() -> str:
+    return (
+        f"SELECT doc_id, source AS repo_id, lang || '/' || CAST(doc_id AS STRING) || {DOCUMENT_EXT} AS path, "
+        "text AS content FROM documents"
+    )
+
+
+def pages_sql() -> str:
+    return "SELECT page_id AS doc_id, 'pages' AS repo_id, CAST(page_id AS STRING) || '.js' AS path, html AS content FROM pages"
+
+
+def turns_sql() -> str:
+    return (
+        "SELECT conv_id AS doc_id, role AS repo_id, "
+        "CAST(conv_id AS STRING) || '/' || CAST(turn AS STRING) || '.sh' AS path, text AS content FROM conversations"
+    )
+
+
+def code_sql() -> str:
+    """Code with a few blank, empty and oversized files."""
+    content = (
+        f"CASE WHEN doc_id % 59 = 3 THEN '' WHEN doc_id % 61 = 4 THEN '  ' || chr(9) || chr(10) || chr(12) || ' ' "
+        f"WHEN doc_id % 97 = 5 THEN repeat('# pad' || chr(10), 90000) ELSE {_code_text()} END"
+    )
+    return (
+        f"SELECT *, {content} AS content FROM (SELECT doc_id, source AS repo_id, "
+        f"'src/' || CAST(doc_id AS STRING) || {CODE_EXT} AS path, {_count_columns()} FROM documents) AS counted"
+    )
+
+
+def annotated_sql() -> str:
+    """Code followed by the document as comments."""
+    note = "'# ' || replace(text, chr(10), chr(10) || '# ') || chr(10)"
+    return (
+        f"SELECT *, {_code_text()} || {note} AS content FROM (SELECT doc_id, text, source AS repo_id, "
+        f"'src/' || CAST(doc_id AS STRING) || {CODE_EXT} AS path, {_count_columns()} FROM documents) AS counted"
+    )
+
+
+SQL = {
+    "documents": documents_sql,
+    "pages": pages_sql,
+    "turns": turns_sql,
+    "code": code_sql,
+    "annotated": annotated_sql,
+}
+_TABLE = {"documents": "documents", "pages": "pages", "turns": "conversations", "code": "documents", "annotated": "documents"}
+
+
+def source_rows(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
+    """Rows of ``SQL[corpus]`` in Spark."""
+    table = _TABLE[corpus]
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    derived = spark.sql(SQL[corpus]().replace(f"FROM {table}", "FROM {source}"), source=rows)
+    return tx.derive(derived.withColumnRenamed("content", "_content"), {"content": "_content"}).drop("_content")
+
+
+def files(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
+    """A corpus in the engine's schema."""
+    return files_from_table(source_rows(spark, sf_dir, corpus), "repo_id", "path", "content")
