@@ -45,13 +45,13 @@ def unknown_imports(import_rows: DataFrame, known: DataFrame) -> DataFrame:
 def measures(known: Iterable[str] | None = None, installed: Iterable[str] = ()) -> list[dict[str, str]]:
     """Measures against explicit module lists; ``installed`` modules count as resolvable."""
     known = list(known_modules() if known is None else known)
-    applies = "is_py AND facts.parse_status = 'ok'"
+    applies = "is_py AND parse_status = 'ok'"
     unresolvable = f"NOT {looks_invented('m')} AND NOT {_among('m', list(installed))}"
     return [
         {
-            "imp_total": f"CASE WHEN {applies} THEN size(array_distinct(facts.imports)) ELSE 0 END",
+            "imp_total": f"CASE WHEN {applies} THEN size(array_distinct(imports)) ELSE 0 END",
             "imp_unknown": tx.listed(
-                applies, f"filter(array_distinct(facts.imports), m -> NOT {_among('m', known)})"
+                applies, f"filter(array_distinct(imports), m -> NOT {_among('m', known)})"
             ),
         },
         {

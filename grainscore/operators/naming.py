@@ -29,14 +29,14 @@ def text_matches(text: str) -> list[str]:
 
 
 # Names come from the facts for Python files that parse.
-_BY_NAMES = "(facts.parse_status = 'ok' AND (is_py_ext OR is_py))"
+_BY_NAMES = "(parse_status = 'ok' AND (is_py_ext OR is_py))"
 _FAMILIES = range(len(fixed.TEXT_NAMING_PATTERNS))
 
 MEASURES = [
     {
         "nam_by_names": _BY_NAMES,
-        "nam_variables": f"CASE WHEN {_BY_NAMES} THEN array_distinct(facts.names.name) END",
-        "nam_functions": f"CASE WHEN {_BY_NAMES} THEN facts.functions.name END",
+        "nam_variables": f"CASE WHEN {_BY_NAMES} THEN array_distinct(transform(names, n -> n.name)) END",
+        "nam_functions": f"CASE WHEN {_BY_NAMES} THEN transform(functions, f -> f.name) END",
         **{
             f"nam_words_{k}": f"CASE WHEN NOT {_BY_NAMES} THEN slice({words}, 1, 5) END"
             for k, words in enumerate(text_matches("text"))

@@ -26,17 +26,17 @@ def label_counts(markers: str) -> str:
     )
 
 
-_PARSED = "is_py AND facts.parse_status = 'ok'"
+_PARSED = "is_py AND parse_status = 'ok'"
 
 
 def _names(test: str) -> str:
-    return tx.listed(_PARSED, f"transform(filter(facts.functions, f -> {test}), f -> f.name)")
+    return tx.listed(_PARSED, f"transform(filter(functions, f -> {test}), f -> f.name)")
 
 
 MEASURES = [
     {
         "pla_markers": marker_lines("hash_lines"),
-        "pla_broken": "is_py AND facts.parse_status = 'syntax_error'",
+        "pla_broken": "is_py AND parse_status = 'syntax_error'",
         "pla_docstring_only": _names("f.only_stub AND f.has_docstring AND f.n_body = 1"),
         "pla_pass_only": _names("f.only_stub AND NOT f.has_docstring"),
         "pla_not_implemented": _names("f.raises_nie"),

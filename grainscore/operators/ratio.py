@@ -37,9 +37,9 @@ def is_boilerplate(docstring: str) -> str:
     return matches(f"lower({docstring})", any_of(fixed.BOILERPLATE_DOCSTRING_PATTERNS))
 
 
-_PARSED = "is_py AND facts.parse_status = 'ok'"
-_DOCS = "facts.docstrings"
-_LONG = "filter(facts.functions, f -> f.has_docstring AND f.doc_lines > (f.n_body - 1) * 2 AND f.doc_lines > 3)"
+_PARSED = "is_py AND parse_status = 'ok'"
+_DOCS = "docstrings"
+_LONG = "filter(functions, f -> f.has_docstring AND f.doc_lines > (f.n_body - 1) * 2 AND f.doc_lines > 3)"
 
 MEASURES = [
     {

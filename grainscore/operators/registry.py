@@ -19,7 +19,8 @@ class Detector:
     """``score`` is a 0-1 double expression, ``findings`` an array<string> expression.
 
     Available to both: ``repo_id, path, ext, size_bytes, is_py_ext, is_py, text,
-    facts, lines, hash_lines`` (the last two unless ``uses_lines`` is off) and
+    lines, hash_lines`` (the last two unless ``uses_lines`` is off), the facts
+    ``parse_status, functions, names, imports, calls, docstrings, n_asserts`` and
     the columns named in ``measures``, which are added level by level.
     """
 

@@ -85,8 +85,8 @@ def repeated_block_table(line_rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-_FUNCTIONS = "facts.functions"
-_COMPARABLE = f"facts.parse_status = 'ok' AND size({_FUNCTIONS}) >= 2"
+_FUNCTIONS = "functions"
+_COMPARABLE = f"parse_status = 'ok' AND size({_FUNCTIONS}) >= 2"
 
 MEASURES = [
     {

@@ -66,11 +66,11 @@ def is_unsafe_load(c: str) -> str:
     return f"({c}.attr IS NOT NULL AND {c}.attr = 'loads' AND {_among(f'{c}.base', fixed.UNSAFE_LOADERS)})"
 
 
-_PARSED = "is_py AND facts.parse_status = 'ok'"
+_PARSED = "is_py AND parse_status = 'ok'"
 
 
 def _bases(test: str) -> str:
-    return tx.listed(_PARSED, f"transform(filter(facts.calls, c -> {test}), c -> c.base)")
+    return tx.listed(_PARSED, f"transform(filter(calls, c -> {test}), c -> c.base)")
 
 
 MEASURES = [
@@ -78,11 +78,11 @@ MEASURES = [
     {
         **{f"sec_secret_{k}": e for k, e in enumerate(secret_counts("text", "sec_folded"))},
         **{f"sec_sql_{k}": e for k, e in enumerate(sql_counts("text", "sec_folded"))},
-        "sec_broken": "is_py AND facts.parse_status = 'syntax_error'",
+        "sec_broken": "is_py AND parse_status = 'syntax_error'",
         "sec_evals": _bases(is_eval("c")),
         "sec_shells": _bases(is_shell("c")),
         "sec_loads": _bases(is_unsafe_load("c")),
-        "sec_asserts": f"CASE WHEN {_PARSED} THEN facts.n_asserts ELSE 0 END",
+        "sec_asserts": f"CASE WHEN {_PARSED} THEN n_asserts ELSE 0 END",
     },
 ]
 

@@ -196,8 +196,11 @@ def syntax_facts(text: Column) -> Column:
     return _parse(text)
 
 
-def with_facts(prepared: DataFrame) -> DataFrame:
-    return prepared.withColumn("facts", syntax_facts(F.col("text")))
+def with_facts(admitted: DataFrame) -> DataFrame:
+    """Add one column per kind of fact: ``parse_status`` (ok, syntax_error or error), ``parse_error``,
+    ``functions``, ``names``, ``imports``, ``calls``, ``docstrings``, ``n_asserts``."""
+    parsed = admitted.withColumn("facts", syntax_facts(F.col("text")))
+    return parsed.selectExpr(*admitted.columns, *(f"facts.{f.name} AS {f.name}" for f in FACTS_TYPE.fields))
 
 
 # Table views, one row per fact ------------------------------------------------
@@ -205,20 +208,20 @@ def with_facts(prepared: DataFrame) -> DataFrame:
 
 def function_table(facts: DataFrame, *keys: str) -> DataFrame:
     """One row per function definition at any depth, breadth-first position included."""
-    return facts.select(*keys, F.inline("facts.functions"))
+    return facts.select(*keys, F.inline("functions"))
 
 
 def name_table(facts: DataFrame, *keys: str) -> DataFrame:
-    return facts.select(*keys, F.inline("facts.names"))
+    return facts.select(*keys, F.inline("names"))
 
 
 def import_table(facts: DataFrame, *keys: str) -> DataFrame:
-    return facts.select(*keys, F.posexplode("facts.imports").alias("pos", "module"))
+    return facts.select(*keys, F.posexplode("imports").alias("pos", "module"))
 
 
 def call_table(facts: DataFrame, *keys: str) -> DataFrame:
-    return facts.select(*keys, F.inline("facts.calls"))
+    return facts.select(*keys, F.inline("calls"))
 
 
 def docstring_table(facts: DataFrame, *keys: str) -> DataFrame:
-    return facts.select(*keys, F.inline("facts.docstrings"))
+    return facts.select(*keys, F.inline("docstrings"))

@@ -48,7 +48,7 @@ def detect(files: DataFrame, detectors: Sequence[Detector] | None = None) -> Dat
     ``<name>_score`` and ``<name>_findings``."""
     detectors = builtin_detectors() if detectors is None else detectors
     source = prepare(files) if any(d.uses_lines for d in detectors) else parse(files)
-    failed = "CASE WHEN facts.parse_status = 'error' THEN concat('analysis error: ', facts.parse_error) END"
+    failed = "CASE WHEN parse_status = 'error' THEN concat('analysis error: ', parse_error) END"
     error = f"coalesce(CASE WHEN skip_reason IS NULL THEN read_error END, {failed})"
     status = f"CASE WHEN skip_reason IS NOT NULL THEN 'skipped' WHEN {error} IS NOT NULL THEN 'error' ELSE 'analyzed' END"
     scored = tx.derive(with_measures(source, detectors), {"error": error, "status": status})

@@ -348,7 +348,7 @@ def _security() -> list[str]:
         f"""sec_m AS (SELECT f.path, is_py AND coalesce(parse_status = 'syntax_error', false) AS broken,
             (SELECT sum(n) FROM hits h WHERE h.path = f.path AND kind = 'secret') AS secrets,
             (SELECT sum(n) FROM hits h WHERE h.path = f.path AND kind = 'sql') AS sql_n,
-            {counts}, CASE WHEN is_py THEN coalesce(n_asserts, 0) ELSE 0 END AS n_asserts
+            {counts}, CASE WHEN is_py THEN coalesce(sums.n_asserts, 0) ELSE 0 END AS n_asserts
             FROM f LEFT JOIN sums USING (path) WHERE status = 'analyzed')""",
         """sec_i AS (SELECT *, secrets * 3 + sql_n * 2 + (evals + shells) * 2 + loads
             + CASE WHEN n_asserts > 5 THEN 1 ELSE 0 END AS issues FROM sec_m)""",

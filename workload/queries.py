@@ -57,7 +57,7 @@ def _analyzed(spark: SparkSession, sf_dir: str, name: str, module) -> DataFrame:
     """Measures of one detector for files that were analyzed."""
     detector = [d for d in builtin_detectors() if SHORT[d.name] == module]
     return plan.with_measures(_prepared(spark, sf_dir, name), detector).where(
-        F.col("skip_reason").isNull() & (F.col("facts.parse_status") != "error")
+        F.col("skip_reason").isNull() & (F.col("parse_status") != "error")
     )
 
 
@@ -202,7 +202,7 @@ def _(spark, sf_dir):
     return (
         _parsed(spark, sf_dir, "code")
         .where("skip_reason IS NULL")
-        .select("path", "is_py_ext", "is_py", F.col("facts.parse_status").alias("parse_status"))
+        .select("path", "is_py_ext", "is_py", F.col("parse_status").alias("parse_status"))
     )
 
 
@@ -284,7 +284,7 @@ def _(spark, sf_dir):
 
 @register("assert_facts", over("code", "SELECT path, CAST(n_asserts AS BIGINT) AS n_asserts FROM sums WHERE n_asserts > 0"))
 def _(spark, sf_dir):
-    counts = _parsed(spark, sf_dir, "code").select("path", _long("facts.n_asserts").alias("n_asserts"))
+    counts = _parsed(spark, sf_dir, "code").select("path", _long("n_asserts").alias("n_asserts"))
     return counts.where("n_asserts > 0")
 
 
@@ -294,7 +294,7 @@ def _(spark, sf_dir):
 @register("duplicate_structures", over("code", "SELECT path, CAST(pos AS BIGINT) AS pos, names FROM dup"))
 def _(spark, sf_dir):
     groups = _parsed(spark, sf_dir, "code").selectExpr(
-        "path", f"inline({repetitive.duplicate_structures('facts.functions')})"
+        "path", f"inline({repetitive.duplicate_structures('functions')})"
     )
     return groups.select("path", _long("pos").alias("pos"), F.array_join("values", ", ").alias("names"))
 
@@ -302,7 +302,7 @@ def _(spark, sf_dir):
 @register("same_body_patterns", over("code", "SELECT path, CAST(pos AS BIGINT) AS pos, names FROM same"))
 def _(spark, sf_dir):
     groups = _parsed(spark, sf_dir, "code").selectExpr(
-        "path", f"inline({repetitive.same_body_patterns('facts.functions')})"
+        "path", f"inline({repetitive.same_body_patterns('functions')})"
     )
     return groups.select("path", _long("pos").alias("pos"), F.array_join("values", ", ").alias("names"))
 
@@ -492,7 +492,7 @@ def _(spark, sf_dir):
 
 @register("code_line_counts", over("code", "SELECT path, CAST(n_code AS BIGINT) AS n_code FROM rat_m WHERE mode = 'docs'"))
 def _(spark, sf_dir):
-    rows = _prepared(spark, sf_dir, "code").where(F.col("is_py") & (F.col("facts.parse_status") == "ok"))
+    rows = _prepared(spark, sf_dir, "code").where(F.col("is_py") & (F.col("parse_status") == "ok"))
     return rows.select("path", F.expr(ratio.code_line_count("lines")).cast("long").alias("n_code"))
 
 
