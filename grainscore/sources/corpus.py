@@ -40,6 +40,17 @@ def files_from_table(
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition by ``keys`` when the input arrives in fewer partitions than there are cores.
+
+    Parsing is CPU-bound, so a file that cannot be split (one row group) would
+    leave the cluster idle.  Inputs with enough splits are returned as they are
+    and their contents are never moved.  ``keys`` should be unique per row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def supported_extension(path: Column | str = "path") -> Column:
     """True for the file types the checks understand."""
     path = F.col(path) if isinstance(path, str) else path

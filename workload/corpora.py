@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
-from grainscore.sources.corpus import files_from_table
+from grainscore.sources.corpus import files_from_table, spread
 
 
 @dataclass(frozen=True)
@@ -302,13 +302,14 @@ SQL = {
     "code": code_sql,
     "annotated": annotated_sql,
 }
+_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
 _TABLE = {"documents": "documents", "pages": "pages", "turns": "conversations", "code": "documents", "annotated": "documents"}
 
 
 def source_rows(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
     """Rows of ``SQL[corpus]`` in Spark."""
     table = _TABLE[corpus]
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"), *_KEYS[table])
     derived = spark.sql(SQL[corpus]().replace(f"FROM {table}", "FROM {source}"), source=rows)
     return tx.derive(derived.withColumnRenamed("content", "_content"), {"content": "_content"}).drop("_content")
 
