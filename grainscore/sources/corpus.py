@@ -7,36 +7,32 @@ predicate is on a stored column).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
+from grainscore.functions.patterns import literal
 
 KEYS = ("repo_id", "path")
 
-
-def suffix(path: Column) -> Column:
-    """Last suffix of the file name; a leading dot or a final dot starts none."""
-    return F.regexp_extract(path, r"[^/](\.[^./]+)\z", 1)
+# SQL: last suffix of a file name; a leading dot or a final dot starts none.
+SUFFIX = r"regexp_extract({}, '[^/](\\.[^./]+)\\z', 1)"
 
 
 def files_from_table(
-    df: DataFrame, repo_id: Column | str, path: Column | str, content: Column | str, size_bytes: Column | str | None = None
+    df: DataFrame, repo_id: str = "repo_id", path: str = "path", content: str = "content", size_bytes: str | None = None
 ) -> DataFrame:
-    """Shape any table with one row per file into the corpus schema.
+    """Shape any table with one row per file into the corpus schema; arguments are SQL expressions.
 
     ``content`` may be text or raw bytes; bytes are decoded later, after the
     size test, with invalid UTF-8 dropped.
     """
-    as_col = lambda c: F.col(c) if isinstance(c, str) else c
-    size = as_col(size_bytes) if size_bytes is not None else F.octet_length(as_col(content))
-    return df.select(
-        as_col(repo_id).cast("string").alias("repo_id"),
-        as_col(path).alias("path"),
-        F.lower(suffix(as_col(path))).alias("ext"),
-        F.coalesce(size.cast("long"), F.lit(0)).alias("size_bytes"),
-        as_col(content).alias("content"),
+    return df.selectExpr(
+        f"CAST({repo_id} AS STRING) AS repo_id",
+        f"{path} AS path",
+        f"lower({SUFFIX.format(path)}) AS ext",
+        f"coalesce(CAST({size_bytes or f'octet_length({content})'} AS BIGINT), 0L) AS size_bytes",
+        f"{content} AS content",
     )
 
 
@@ -51,22 +47,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
-def supported_extension(path: Column | str = "path") -> Column:
-    """True for the file types the checks understand."""
-    path = F.col(path) if isinstance(path, str) else path
-    return F.lower(suffix(path)).isin(fixed.SUPPORTED_EXTENSIONS)
-
-
-def filter_extensions(files: DataFrame) -> DataFrame:
-    return files.where(supported_extension())
+def filter_extensions(files: DataFrame, path: str = "path") -> DataFrame:
+    """Keep the file types the checks understand, whatever the case of their suffix."""
+    supported = ", ".join(map(literal, fixed.SUPPORTED_EXTENSIONS))
+    return files.where(f"lower({SUFFIX.format(path)}) IN ({supported})")
 
 
-def relative_path(path: Column, base: Column | None = None) -> Column:
-    """Path below ``base``; the path itself when it lies elsewhere; the bare name without a base."""
+def relative_path(path: str, base: str | None = None) -> str:
+    """SQL: path below ``base``; the path itself when it lies elsewhere; the bare name without a base."""
     if base is None:
-        return F.element_at(F.split(path, "/"), -1)
-    prefix = F.concat(F.regexp_replace(base, r"/+\z", ""), F.lit("/"))
-    return F.when(F.startswith(path, prefix), F.substr(path, F.length(prefix) + 1)).otherwise(path)
+        return f"element_at(split({path}, '/'), -1)"
+    prefix = f"concat(trim(TRAILING '/' FROM {base}), '/')"
+    return f"CASE WHEN startswith({path}, {prefix}) THEN substr({path}, length({prefix}) + 1) ELSE {path} END"
 
 
 def size_skip_reason(size: str) -> str:

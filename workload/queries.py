@@ -159,10 +159,10 @@ def _(spark, sf_dir):
         "'/data/' || source || '/' || lang || '/' || doc_id AS full_path",
         "CASE WHEN doc_id % 3 = 0 THEN '/elsewhere' ELSE '/data/' || source || '/' END AS base",
     )
-    return paths.select(
+    return paths.selectExpr(
         "full_path",
-        corpus.relative_path(F.col("full_path"), F.col("base")).alias("rel_path"),
-        corpus.relative_path(F.col("full_path")).alias("file_name"),
+        f"{corpus.relative_path('full_path', 'base')} AS rel_path",
+        f"{corpus.relative_path('full_path')} AS file_name",
     )
 
 
