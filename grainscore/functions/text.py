@@ -136,8 +136,8 @@ def three_places(value: str) -> str:
     For doubles in [2**-10, 1], ``value * 2**62`` is an integer, so decimal
     integer arithmetic decides exactly; smaller ones round to 0 or 0.001.
     """
-    unit = f"CAST({1 << 62} AS DECIMAL(38, 0))"
-    scaled = f"CAST(v * {float(1 << 62)!r}D AS DECIMAL(38, 0)) * 1000"
+    unit = f"CAST({1 << 62} AS DECIMAL(20, 0))"
+    scaled = f"CAST(CAST(v * {float(1 << 62)!r}D AS BIGINT) AS DECIMAL(20, 0)) * 1000"
     parts = let(scaled, "s", f"named_struct('q', s div {unit}, 'r2', s % {unit} * 2)")
     nearest = let(
         parts, "p", f"p.q + CASE WHEN p.r2 > {unit} OR (p.r2 = {unit} AND p.q % 2 = 1) THEN 1 ELSE 0 END"
