@@ -17,10 +17,12 @@ _CLASSES = {
     "w": r"\p{L}\p{N}_",
     "d": r"\p{Nd}",
 }
-_JAVA_BOUNDARY = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+# A boundary that opens a pattern stands before a word, one further on stands after a word.
+_JAVA_BOUNDARY = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
+_RE2_BOUNDARY = (r"\b", r"\b")
 
 
-def _rewrite(pattern: str, boundary: str) -> str:
+def _rewrite(pattern: str, boundary: tuple[str, str]) -> str:
     out, i, in_class = [], 0, False
     while i < len(pattern):
         ch = pattern[i]
@@ -30,7 +32,7 @@ def _rewrite(pattern: str, boundary: str) -> str:
                 body = _CLASSES[token]
                 out.append(body if in_class else f"[{body}]")
             elif token == "b" and not in_class:
-                out.append(boundary)
+                out.append(boundary[i > 0])
             else:
                 out.append(ch + token)
             i += 2
@@ -55,7 +57,7 @@ def re2(pattern: str, ignore_case: bool = False) -> str:
     """Pattern text for an RE2 engine."""
     if pattern.startswith("(?i)"):
         pattern, ignore_case = pattern[4:], True
-    return ("(?i)" if ignore_case else "") + _rewrite(pattern, r"\b")
+    return ("(?i)" if ignore_case else "") + _rewrite(pattern, _RE2_BOUNDARY)
 
 
 def any_of(patterns: list[str]) -> str:

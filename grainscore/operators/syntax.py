@@ -118,7 +118,7 @@ def _file_facts(text: str) -> dict:
                     k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True
                     for k in node.keywords
                 )
-                calls.append({"base": base, "attr": attr, "shell_true": shell})
+                calls.append((base, attr, shell))
         elif kind is ast.Assign:
             names.extend((t.id, "target") for t in node.targets if isinstance(t, ast.Name))
         elif kind is ast.Import:
@@ -135,31 +135,37 @@ def _file_facts(text: str) -> dict:
             around = (*around, trail)
             trails.append(trail)
             functions.append(
-                {
-                    "pos": len(functions) + 1,
-                    "name": node.name,
-                    "is_async": kind is ast.AsyncFunctionDef,
-                    "n_args": len(node.args.args),
-                    "body_types": [type(stmt).__name__ for stmt in node.body],
-                    "n_body": len(node.body),
-                    "has_docstring": doc is not None,
-                    "doc_lines": _line_count(doc) if doc is not None else 0,
-                    "only_stub": all(map(_is_stub, node.body)),
-                    "raises_nie": any(map(_is_not_implemented, node.body)),
-                }
+                [
+                    len(functions) + 1,
+                    node.name,
+                    kind is ast.AsyncFunctionDef,
+                    len(node.args.args),
+                    None,  # fingerprint, once the trail is complete
+                    [type(stmt).__name__ for stmt in node.body],
+                    len(node.body),
+                    doc is not None,
+                    _line_count(doc) if doc is not None else 0,
+                    all(map(_is_stub, node.body)),
+                    any(map(_is_not_implemented, node.body)),
+                ]
             )
         if kind in (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef):
             doc = _docstring(node.body)
             if doc is not None:
                 owner = getattr(node, "name", "<module>")
-                docstrings.append({"owner": owner, "text": _encodable(doc), "n_lines": _line_count(doc)})
-        visits.extend((child, around) for child in ast.iter_child_nodes(node))
+                docstrings.append((owner, _encodable(doc), _line_count(doc)))
+        for field_name in node._fields:
+            child = getattr(node, field_name, None)
+            if type(child) is list:
+                visits += [(item, around) for item in child if isinstance(item, ast.AST)]
+            elif isinstance(child, ast.AST):
+                visits.append((child, around))
     for function, trail in zip(functions, trails):
-        function["fingerprint"] = hashlib.md5("|".join(trail).encode()).hexdigest()
+        function[4] = hashlib.md5("|".join(trail).encode()).hexdigest()
     return {
         "parse_status": "ok",
         "functions": functions,
-        "names": [{"pos": i, "name": n, "kind": k} for i, (n, k) in enumerate(names, start=1)],
+        "names": [(i, n, k) for i, (n, k) in enumerate(names, start=1)],
         "imports": imports,
         "calls": calls,
         "docstrings": docstrings,
@@ -178,6 +184,34 @@ def _guarded_facts(text: str | None) -> dict | None:
         return {"parse_status": "error", "parse_error": _encodable(str(error))}
 
 
+def _list_column(rows: list[dict | None], name: str) -> pa.Array:
+    """List column of one kind of fact, built column by column."""
+    item = _FACTS.field(name).type.value_type
+    offsets, flat = [0], []
+    for row in rows:
+        flat += (row or {}).get(name, ())
+        offsets.append(len(flat))
+    if pa.types.is_struct(item):
+        columns = list(zip(*flat)) if flat else [()] * item.num_fields
+        arrays = [pa.array(c, type=item.field(k).type) for k, c in enumerate(columns)]
+        values = pa.StructArray.from_arrays(arrays, fields=[item.field(k) for k in range(item.num_fields)])
+    else:
+        values = pa.array(flat, type=item)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _facts_array(rows: list[dict | None]) -> pa.Array:
+    columns = []
+    for k in range(_FACTS.num_fields):
+        field = _FACTS.field(k)
+        if pa.types.is_list(field.type):
+            columns.append(_list_column(rows, field.name))
+        else:
+            columns.append(pa.array([(row or {}).get(field.name) for row in rows], type=field.type))
+    missing = pa.array([row is None for row in rows], pa.bool_())
+    return pa.StructArray.from_arrays(columns, fields=[_FACTS.field(k) for k in range(_FACTS.num_fields)], mask=missing)
+
+
 @arrow_udf(FACTS_TYPE)
 def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
@@ -188,7 +222,7 @@ def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 rows = [_guarded_facts(value.as_py()) for value in batch]
             finally:
                 gc.enable()
-        yield pa.array(rows, type=_FACTS)
+        yield _facts_array(rows)
 
 
 def syntax_facts(text: Column) -> Column:
