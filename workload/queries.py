@@ -682,7 +682,8 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return reports.detail_rows(_results(spark, sf_dir))
+    rows = reports.detail_rows(_results(spark, sf_dir))
+    return rows.withColumns({c: _long(c) for c in ("file_rank", "finding_no")})
 
 
 @register(
@@ -694,7 +695,8 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return reports.error_rows(_results(spark, sf_dir)).select("repo_id", "path", "file_rank")
+    rows = reports.error_rows(_results(spark, sf_dir))
+    return rows.select("repo_id", "path", _long("file_rank").alias("file_rank"))
 
 
 @register(
