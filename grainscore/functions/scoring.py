@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainscore import fixed_values as fixed
@@ -54,27 +54,24 @@ def repo_score(score: str) -> str:
     return f"coalesce(CAST(rint(avg(pow({score}, 1.5D)) / 1000.0D * 100) AS BIGINT), 0L)"
 
 
-def weights_table(spark: SparkSession, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """``(detector, ord, weight)`` in evaluation order; one row per known detector."""
-    rows = [(n, i, w) for i, (n, w) in enumerate({**fixed.DETECTOR_WEIGHTS, **(weights or {})}.items())]
-    return spark.createDataFrame(rows, "detector string, ord int, weight double")
-
-
-def score_long_form(detector_scores: DataFrame, weights: DataFrame, *keys: str) -> DataFrame:
+def score_long_form(detector_scores: DataFrame, *keys: str, weights: Mapping[str, float] | None = None) -> DataFrame:
     """Score rows ``(keys, detector, score)``: any set of detectors, default weight for unknown ones.
 
+    Weights are a literal map, so no join is keyed on the few detector names.
     One group holds one file's detectors, so the ordered sum stays small; it is
     ordered to make the floating-point result independent of arrival order.
     """
+    known = {**fixed.DETECTOR_WEIGHTS, **(weights or {})}
+    lookup = lambda values: f"try_element_at(map({', '.join(f'{literal(n)}, {v}' for n, v in values)}), detector)"
     term = tx.row(
         {
-            "ord": f"coalesce(ord, {len(fixed.DETECTORS)})",
+            "ord": f"coalesce({lookup((n, k) for k, n in enumerate(known))}, {len(known)})",
             "detector": "detector",
             "score": "score",
-            "weight": f"coalesce(weight, {fixed.DEFAULT_WEIGHT!r}D)",
+            "weight": f"coalesce({lookup((n, f'{w!r}D') for n, w in known.items())}, {fixed.DEFAULT_WEIGHT!r}D)",
         }
     )
-    terms = detector_scores.join(weights, "detector", "left").selectExpr(*keys, f"{term} AS term")
+    terms = detector_scores.selectExpr(*keys, f"{term} AS term")
     ordered = terms.groupBy(*keys).agg(F.expr("sort_array(collect_list(term))").alias("terms"))
     total = lambda value: f"aggregate(terms, 0.0D, (acc, t) -> acc + {value})"
     final = to_final(f"{total('t.score * t.weight')} / {total('t.weight')}")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
+from grainscore.functions.joins import BROADCAST_LIMIT, broadcast_if_small
 from grainscore.functions.patterns import literal
 
 
@@ -32,14 +33,22 @@ def looks_invented(module: str) -> str:
     return f"rlike(lower({module}), {pattern})"
 
 
-def unknown_imports(import_rows: DataFrame, known: DataFrame) -> DataFrame:
+def unknown_imports(
+    import_rows: DataFrame, known: DataFrame, broadcast_limit: int = BROADCAST_LIMIT
+) -> DataFrame:
     """Table form: distinct ``(keys, module)`` rows whose module is not in ``known(module)``.
 
-    The join is left to the optimizer, which broadcasts ``known`` only if its
-    measured size allows it.
+    ``known`` is broadcast when its measured size allows it.  Otherwise the
+    distinct modules are excluded first, each one row however often it is
+    imported, and what remains selects the rows.
     """
     keys = [c for c in import_rows.columns if c not in ("pos", "module")]
-    return import_rows.select(*keys, "module").distinct().join(known.select("module"), "module", "left_anti")
+    rows = import_rows.select(*keys, "module").distinct()
+    modules, small = broadcast_if_small(known.select("module").distinct(), broadcast_limit)
+    if small:
+        return rows.join(modules, "module", "left_anti")
+    unknown = rows.select("module").distinct().join(modules, "module", "left_anti")
+    return rows.join(unknown, "module", "left_semi")
 
 
 def measures(known: Iterable[str] | None = None, installed: Iterable[str] = ()) -> list[dict[str, str]]:

@@ -19,13 +19,12 @@ from pyspark.sql import types as T
 
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
+from grainscore.functions.joins import BROADCAST_LIMIT, broadcast_if_small
 from grainscore.functions.patterns import literal
 
 # Ship the helpers inside the UDF, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BROADCAST_LIMIT = 64 << 20
-
 
 def _segment_regex(segment: str) -> str:
     """One path segment: ``*`` and ``?`` stay inside it, ``[...]`` is a character class."""
@@ -206,9 +205,9 @@ def filter_ignored(
         return f"aggregate({listed}, {decide(p, rules)}, (out, r) -> {step})"
 
     keep = f"NOT ({ignored(path)} OR exists({parent_directories(path)}, d -> {ignored('d')}))"
-    size = repo_ignore.agg(F.sum(F.octet_length("pattern") + 64)).first()[0] or 0
-    if size <= broadcast_limit:
-        return files.join(F.broadcast(repo_rules), "repo_id", "left").where(keep).drop("rules")
+    hinted, small = broadcast_if_small(repo_rules, broadcast_limit)
+    if small:
+        return files.join(hinted, "repo_id", "left").where(keep).drop("rules")
     kept = files.select("repo_id", path).join(repo_rules, "repo_id", "left").where(keep).select("repo_id", path)
     return files.join(kept, ["repo_id", path], "left_semi")
 

@@ -50,3 +50,13 @@ def test_invalid_line_drops_the_list(spark):
     table = spark.createDataFrame([("r", 0, "*.py"), ("r", 1, "!")], "repo_id string, ord int, pattern string")
     files = spark.createDataFrame([("r", "a.py")], "repo_id string, path string")
     assert ignore.filter_ignored(files, table).count() == 1
+
+
+@pytest.mark.parametrize("broadcast_limit", [1 << 20, 0])
+def test_unknown_imports_any_size(spark, broadcast_limit):
+    from grainscore.operators.imports import unknown_imports
+
+    rows = spark.createDataFrame([("a", "os"), ("a", "zz"), ("a", "zz"), ("b", "os"), ("b", "yy")], "path string, module string")
+    known = spark.createDataFrame([("os",), ("os",)], "module string")
+    found = unknown_imports(rows, known, broadcast_limit).collect()
+    assert sorted((r.path, r.module) for r in found) == [("a", "zz"), ("b", "yy")]

@@ -781,7 +781,7 @@ def _(spark, sf_dir):
 @register("long_form_scores", over("code", "SELECT path, final_score, label FROM results WHERE status = 'analyzed'"))
 def _(spark, sf_dir):
     rows = plan.detector_rows(plan.detect(cp.files(spark, sf_dir, "code")))
-    return sc.score_long_form(rows, sc.weights_table(spark), "path")
+    return sc.score_long_form(rows, "path")
 
 
 _SIX = " + ".join(f"{n} * {w}::DOUBLE" for n, w in fixed.DETECTOR_WEIGHTS.items())
