@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grainscore.llm import bpe, chat_format, url_filter
+from grainscore.llm import bpe, chat_format, language, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(parts: int) -> Column:
+    """Which of ``parts`` folds a document is in; a null id is in none that is held out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
 # 1. Chat formatting
 
 _ESCAPED = "replace(coalesce({0}, ''), chr(92), chr(92) || chr(92))"
@@ -63,6 +69,18 @@ def _(spark, sf_dir):
     return chat_format.read_back(chat_format.expand(rows.unionByName(own)))
 
 
+# 5. Toxicity
+
+
+@register("op5_toxicity")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(fold(4) == 2, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held)
+    model = toxicity.fit(labels, docs)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 # 6. BPE
 
 
@@ -121,3 +139,14 @@ FROM counted
 @register("op7_url_filter", URL_SQL)
 def _(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+# 8. Language ID
+
+
+@register("op8_language")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(fold(5) != 0))
+    held = F.coalesce(fold(5) == 0, F.lit(False))
+    return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
