@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainscore.llm import bpe, chat_format, language, toxicity, url_filter
+from grainscore.llm import bpe, chat_format, decontaminate, language, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +69,44 @@ def _(spark, sf_dir):
     return chat_format.read_back(chat_format.expand(rows.unionByName(own)))
 
 
+# 4. Benchmark decontamination
+
+_LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS_SQL = f"coalesce(regexp_extract_all({_LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+
+DECONTAMINATION_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS place, doc_id, {_WORDS_SQL} AS words FROM documents
+), items AS (SELECT item_id, {_WORDS_SQL} AS words FROM benchmark
+), starts AS (
+  SELECT item_id, words, unnest(range(1, greatest(len(words) - 11, 2))) AS s FROM items WHERE len(words) > 0
+), windows AS (
+  SELECT DISTINCT item_id, least(len(words), 13) AS n, array_to_string(words[s : s + 12], ' ') AS said FROM starts
+), places AS (
+  SELECT place, words, unnest(range(1, len(words) + 1)) AS spot FROM texts
+), occurrences AS (
+  SELECT p.place, p.spot, p.n, w.item_id
+  FROM (SELECT place, spot, n, array_to_string(words[spot : spot + n - 1], ' ') AS said FROM places, (SELECT DISTINCT n FROM windows) WHERE spot + n - 1 <= len(words)) p
+  JOIN windows w ON p.said = w.said AND p.n = w.n
+), hits AS (
+  SELECT place, count(DISTINCT word) AS n_hit FROM (SELECT place, unnest(range(spot, spot + n)) AS word FROM occurrences) GROUP BY place
+), named AS (
+  SELECT place, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM occurrences GROUP BY place
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM texts LEFT JOIN hits USING (place) LEFT JOIN named USING (place)
+"""
+
+
+@register("op4_decontamination", DECONTAMINATION_SQL)
+def _(spark, sf_dir):
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.col("item_ids")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 # 5. Toxicity
 
 
