@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainscore.llm import bpe, chat_format, decontaminate, language, toxicity, url_filter
+from grainscore.llm import bpe, chat_format, decontaminate, language, line_chunks, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,3 +188,13 @@ def _(spark, sf_dir):
     model = language.fit(docs.where(fold(5) != 0))
     held = F.coalesce(fold(5) == 0, F.lit(False))
     return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+# 10. Line dedup
+
+
+@register("op10_line_dedup")
+def _(spark, sf_dir):
+    kept = line_chunks.dedup(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(text, 256).alias("kept_sha256"))
