@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainscore.llm import bpe, chat_format, decontaminate, language, line_chunks, toxicity, url_filter
+from grainscore.llm import bpe, chat_format, decontaminate, language, line_chunks, substring, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,6 +190,15 @@ def _(spark, sf_dir):
     return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+# 9. Substring dedup
+
+
+@register("op9_substring_dedup")
+def _(spark, sf_dir):
+    found = substring.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # 10. Line dedup
 
 
