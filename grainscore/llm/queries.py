@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainscore.llm import bpe, chat_format, decontaminate, language, line_chunks, substring, toxicity, url_filter
+from grainscore.llm import bpe, cap_filters, chat_format, decontaminate, language, line_chunks, ngram_join, substring, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +70,25 @@ def _(spark, sf_dir):
     return chat_format.read_back(chat_format.expand(rows.unionByName(own)))
 
 
+# 2. N-gram Jaccard join
+
+
+@register("op2_ngram_join")
+def _(spark, sf_dir):
+    found = ngram_join.join(table(spark, sf_dir, "documents"), width=4, threshold=Fraction(85, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+# 3. Embedding near-dedup
+
+
+@register("op3_cap_filters")
+def _(spark, sf_dir):
+    found = cap_filters.near(table(spark, sf_dir, "embeddings"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
+    return found.select("vec_id", "n_links", F.col("component_id").cast("long").alias("component_id"), kept.alias("kept"))
+
+
 # 4. Benchmark decontamination
 
 _LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
