@@ -46,6 +46,13 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def vocabulary() -> str:
+    """Place of the production vocabulary among the public tokenizer files."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def load(path: str) -> dict:
     """What the coder needs from a tokenizer file: vocabulary, merges, special tokens, word pattern, word end."""
     with open(path, encoding="utf-8") as file:

@@ -42,6 +42,7 @@ REJECTED = 0.001
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_CHARS = 20_000
 MAX_LANGUAGES = 500
+ROWS = 256
 
 LETTER = regex.compile(r"\p{L}")
 
@@ -152,41 +153,59 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return train([t for _, t in found], [name for name, _ in found])
 
 
+def probabilities(texts: list[str | None], model: Model) -> np.ndarray:
+    """Calibrated probability of every language for every text."""
+    sums, counts = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
+    size = max(1 << 14, (grams.PIECE_BYTES << 2) // max(4, len(model.languages)))
+    for letters, starts, numbers in grams.pieces(texts, max(SIZES) - 1, size):
+        for n in SIZES:
+            places, buckets = grams.hashed(letters, n, BITS)
+            edges = np.searchsorted(places, starts)
+            amounts = np.diff(np.append(edges, len(places)))
+            some = amounts > 0
+            if some.any():
+                np.add.at(sums, numbers[some], np.add.reduceat(model.scores[buckets], edges[some], axis=0))
+                np.add.at(counts, numbers, amounts)
+    return _softmax(sums / np.maximum(counts, 1)[:, None] / model.temperature)
+
+
+def judged(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and acceptance of every text."""
+    known = np.array([bool(model.languages and t and LETTER.search(t)) for t in texts], bool)
+    if not known.any():
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), known
+    p = probabilities(texts, model)
+    names = [model.languages[i] if k else UNKNOWN for i, k in zip(p.argmax(axis=1), known)]
+    score = np.where(known, p.max(axis=1), 0.0)
+    return names, score, known & (score >= model.threshold)
+
+
 def predict(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, accepted of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def probabilities(texts: list[str | None], model: Model) -> np.ndarray:
-        sums, counts = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
-        size = max(1 << 14, (grams.PIECE_BYTES << 2) // max(4, len(model.languages)))
-        for letters, starts, numbers in grams.pieces(texts, max(SIZES) - 1, size):
-            for n in SIZES:
-                places, buckets = grams.hashed(letters, n, BITS)
-                edges = np.searchsorted(places, starts)
-                amounts = np.diff(np.append(edges, len(places)))
-                some = amounts > 0
-                if some.any():
-                    np.add.at(sums, numbers[some], np.add.reduceat(model.scores[buckets], edges[some], axis=0))
-                    np.add.at(counts, numbers, amounts)
-        return _softmax(sums / np.maximum(counts, 1)[:, None] / model.temperature)
-
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in stream:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(1).to_pylist()
-                known = np.array([bool(model.languages and t and LETTER.search(t)) for t in texts])
-                if known.any():
-                    p = probabilities(texts, model)
-                    best, score = p.argmax(axis=1), np.where(known, p.max(axis=1), 0.0)
-                    names = [model.languages[i] if k else UNKNOWN for i, k in zip(best, known)]
-                else:
-                    names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                accepted = known & (score >= model.threshold)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                names, score, accepted = judged(part.column(1).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(accepted)], names=columns)
 
     columns = ["doc_id", "lang_pred", "score", "accepted"]
     read = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([read.schema["doc_id"], *map(T.StructField, columns[1:], [T.StringType(), T.DoubleType(), T.BooleanType()])])
     return read.mapInArrow(batches, schema)
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text the model does not reject, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array(judged(part.column(place).to_pylist(), shared.value)[2]))
+
+    return docs.mapInArrow(batches, docs.schema)

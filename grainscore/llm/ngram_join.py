@@ -344,7 +344,7 @@ def _last_round(rows: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """doc_id, key (hash of identifier and text), n_shingles, class_id, component_id of every row."""
+    """doc_id, key (hash of identifier and text), n_shingles, group_id (null for empty sets), component_id of every row."""
     measure = Measure(threshold)
     keyed = _keyed(docs, doc, text)
     profiles = cut(_profiles(keyed, width, measure))
@@ -370,11 +370,25 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
     labels = cut(components(links).withColumnRenamed("vertex", "cid"))
     named = classes.join(labels, "cid", "left").select("cid", F.coalesce("component", "cid").alias("component"), "least")
     smallest = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    of_class = cut(named.join(smallest, "component").select("cid", "component_id"))
+    of_class = cut(named.join(smallest, "component").select("cid", "component", "component_id"))
     return rows.join(of_class, "cid", "left").select(
         "doc_id",
         "key",
         F.col("n").cast("long").alias("n_shingles"),
-        F.col("cid").alias("class_id"),
+        F.col("component").alias("group_id"),
         F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` without all but one text of each group, the one of the least identifier.
+
+    Texts without words are in no group and all stay, but for repeated rows.
+    """
+    found = join(docs, doc, text, width, threshold)
+    best = found.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min(F.struct("doc_id", "key")).alias("best")).select("best.*")
+    kept = cut(best.unionByName(found.where("group_id IS NULL").select("doc_id", "key")).select(F.col("doc_id").alias("id"), "key").distinct())
+    whole = docs.select(F.struct("*").alias("row"), F.col(doc).alias("id"), F.xxhash64(F.col(doc), F.col(text).cast("string")).alias("key"))
+    same = (F.col("a.key") == F.col("b.key")) & F.col("a.id").eqNullSafe(F.col("b.id"))
+    met = whole.alias("a").join(kept.alias("b"), same, "left_semi")
+    return met.groupBy("key", "id").agg(F.first("row").alias("row")).select("row.*")

@@ -8,6 +8,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from grainscore.llm import bpe, cap_filters, chat_format, decontaminate, language, line_chunks, ngram_join, substring, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,16 +143,9 @@ def _(spark, sf_dir):
 # 6. BPE
 
 
-def vocabulary() -> str:
-    """Place of the production vocabulary, ``word_bpe_49k.json`` of the public tokenizer files."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @register("op6_bpe")
 def _(spark, sf_dir):
-    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), digests=True)
+    return bpe.encode(table(spark, sf_dir, "documents"), bpe.vocabulary(), digests=True)
 
 
 # 7. URL filters
@@ -227,3 +221,10 @@ def _(spark, sf_dir):
     kept = line_chunks.dedup(table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(text, 256).alias("kept_sha256"))
+
+
+# The pipeline
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
