@@ -34,8 +34,8 @@ from grainscore.llm.language import sample
 SIZES = (4, 5, 6)
 BITS = 20
 FEATURES = 20_000
-LEAST_TEXTS = 3
-LEAST_STRENGTH = 4.0
+LEAST_TEXTS = 5
+LEAST_STRENGTH = 5.0
 SMOOTHING = 1.0
 PENALTY = 1e-3
 STEPS = 150
@@ -74,9 +74,10 @@ def train(texts: list[str], toxic: list[int], share: float) -> Model:
         (hit if is_toxic else clean)[found] += 1
     n_hit, n_clean = label.sum(), (1 - label).sum()
     ratio = np.log((hit + SMOOTHING) / (n_hit + 2 * SMOOTHING)) - np.log((clean + SMOOTHING) / (n_clean + 2 * SMOOTHING))
-    # the strongest by the ratio's distance from 0 in its own standard errors; below a few it may be chance
-    error = np.sqrt(1 / (hit + SMOOTHING) + 1 / (clean + SMOOTHING))
-    strength = np.where(hit + clean >= LEAST_TEXTS, np.abs(ratio) / error, 0)
+    # the strongest by how surely the shares of the two classes differ; below a few standard errors it may be chance
+    share_of_all = (hit + clean) / len(label)
+    error = np.sqrt(np.maximum(share_of_all * (1 - share_of_all), 1e-12) * (1 / n_hit + 1 / n_clean))
+    strength = np.where(hit + clean >= LEAST_TEXTS, np.abs(hit / n_hit - clean / n_clean) / error, 0)
     chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
     chosen = chosen[strength[chosen] >= LEAST_STRENGTH]
     if not len(chosen):
