@@ -53,7 +53,9 @@ def windows(items: DataFrame, item: str, text: str, length: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc).alias("doc_id"), split_words(F.col(text).cast("string")).alias("words"))
+    body = F.col(text).cast("string")
+    key = F.xxhash64(F.col(doc), body)
+    read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc).alias("doc_id"), key.alias("key"), split_words(body).alias("words"))
     blank_first = (F.get("words", F.lit(0)) == "").cast("int")
     blank_last = F.when(F.size("words") > 1, (F.element_at("words", -1) == "").cast("int")).otherwise(0)
     return read.withColumn("n_words", F.size("words") - blank_first - blank_last)
@@ -96,24 +98,17 @@ def prefixes(docs: DataFrame, found: DataFrame, text: str, width: int = SHINGLE)
 
 
 def occurrences(texts: DataFrame, windows_of: DataFrame, width: int) -> DataFrame:
-    """Verified occurrences, and one row with null ``start`` per text: row_id, doc_id, n_words, start, n, window_id."""
-    places = texts.select("row_id", "doc_id", "n_words", "words", F.posexplode("words").alias("at", "word"))
+    """Verified occurrences, and one row with null ``hit`` per text: row_id, doc_id, key, n_words, hit."""
+    places = texts.select("row_id", "doc_id", "key", "n_words", "words", F.posexplode("words").alias("at", "word"))
     places = places.withColumn("token", shingle(F.col("words"), F.col("at"), width))
-    entries = windows_of.groupBy("token").agg(F.collect_list(F.struct("offset", "n", "words", "window_id")).alias("entries"))
-    joined = places.join(F.broadcast(entries), "token", "left")
-
-    def start(e: Column) -> Column:
-        return F.col("at") - e["offset"]
-
-    fits = F.filter(
-        "entries",
-        lambda e: (start(e) >= 0)
-        & (start(e) + e["n"] <= F.size("words"))
-        & (F.slice(F.col("words"), F.greatest(start(e), F.lit(0)) + 1, e["n"]) == e["words"]),
-    )
-    hits = F.transform(F.coalesce(fits, F.array()), lambda e: F.struct(start(e).alias("start"), e["n"].alias("n"), e["window_id"].alias("window_id")))
-    kept = joined.where((F.col("at") == 0) | F.col("entries").isNotNull()).select("row_id", "doc_id", "n_words", hits.alias("hits"), "at")
-    return kept.where((F.col("at") == 0) | (F.size("hits") > 0)).select("row_id", "doc_id", "n_words", F.explode_outer("hits").alias("hit"))
+    found = windows_of.select(F.col("token").alias("prefix"), "offset", "n", F.col("words").alias("said"), "window_id")
+    start = F.col("at") - F.col("offset")
+    inside = (start >= 0) & (start + F.col("n") <= F.size("words"))
+    # the words of a text stay in the stage that explodes them: only what is verified becomes a row
+    same = F.slice(F.col("words"), F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("said")
+    joined = places.join(F.broadcast(found), (F.col("token") == F.col("prefix")) & inside & same, "left")
+    hit = F.when(F.col("window_id").isNotNull(), F.struct(start.alias("start"), "n", "window_id"))
+    return joined.where((F.col("at") == 0) | F.col("window_id").isNotNull()).select("row_id", "doc_id", "key", "n_words", hit.alias("hit"))
 
 
 def hit_words(spans: Column) -> Column:
@@ -132,7 +127,7 @@ def hit_words(spans: Column) -> Column:
 def decontaminate(
     docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted strings), contaminated of every row."""
+    """doc_id, key (hash of identifier and text), n_words, n_hit, item_ids (sorted strings), contaminated of every row."""
     found = cut(windows(items, item, item_text, window))
     by_width = prefixes(docs, found, text)
     texts = _texts(docs, doc, text)
@@ -142,17 +137,18 @@ def decontaminate(
         for part in _parts(all_windows, all_windows.count())
     ]
     if not parts:
-        parts = [texts.select("row_id", "doc_id", "n_words", F.lit(None).cast("struct<start:int,n:int,window_id:bigint>").alias("hit"))]
+        parts = [texts.select("row_id", "doc_id", "key", "n_words", F.lit(None).cast("struct<start:int,n:int,window_id:bigint>").alias("hit"))]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
     per_text = rows.groupBy("row_id").agg(
         F.first("doc_id").alias("doc_id"),
+        F.first("key").alias("key"),
         F.max("n_words").alias("n_words"),
         F.collect_set(F.when(F.col("hit").isNotNull(), F.struct("hit.start", "hit.n"))).alias("spans"),
         F.collect_set("hit.window_id").alias("window_ids"),
     )
-    per_text = per_text.select("row_id", "doc_id", "n_words", hit_words(F.sort_array("spans")).alias("n_hit"), "window_ids")
+    per_text = per_text.select("row_id", "doc_id", "key", "n_words", hit_words(F.sort_array("spans")).alias("n_hit"), "window_ids")
     named = (
         per_text.select("row_id", F.explode("window_ids").alias("window_id"))
         .join(found.select("window_id", F.explode("item_ids").alias("item_id")), "window_id")
@@ -162,8 +158,18 @@ def decontaminate(
     none = F.array().cast("array<string>")
     return per_text.join(named, "row_id", "left").select(
         "doc_id",
+        "key",
         F.col("n_words").cast("long").alias("n_words"),
         F.col("n_hit").cast("long").alias("n_hit"),
         F.coalesce("item_ids", none).alias("item_ids"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit").cast("long") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", **named: object) -> DataFrame:
+    """Rows of ``docs`` that are not contaminated, with all their columns."""
+    found = decontaminate(docs, items, doc, text, **named).where("contaminated")
+    dropped = cut(found.select(F.col("doc_id").alias("id"), "key").distinct())
+    whole = docs.select(F.struct("*").alias("row"), F.col(doc).alias("id"), F.xxhash64(F.col(doc), F.col(text).cast("string")).alias("key"))
+    same = (F.col("a.key") == F.col("b.key")) & F.col("a.id").eqNullSafe(F.col("b.id"))
+    return whole.alias("a").join(dropped.alias("b"), same, "left_anti").select("row.*")
