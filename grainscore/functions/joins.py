@@ -1,4 +1,9 @@
-"""Broadcasting only what has been measured."""
+"""Joining a small table to a large one without moving the large one.
+
+The small table is dealt into parts of bounded size that are broadcast one by
+one, so a join has one meaning and one shape at any size: a larger table makes
+more parts, and the large side, with its contents, is never exchanged.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT = 64 << 20
+# Rows in memory against the bytes Spark knows of, which may be compressed.
+EXPANSION = 10
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of ``df``; starts no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> tuple[DataFrame, bool]:
-    """``df`` with a broadcast hint when its measured size is within ``limit``, and whether it is.
+def number_of_parts(df: DataFrame, limit: int = BROADCAST_LIMIT) -> int:
+    """Parts of ``df`` of at most ``limit`` bytes each.
 
-    Costs one aggregate over ``df``, which is the small side of a join.
+    A source whose size Spark does not know is measured by one aggregate.
     """
-    size = df.select((F.octet_length(F.to_json(F.struct("*"))) + 16).alias("n")).agg(F.sum("n")).first()[0] or 0
-    return (F.broadcast(df), True) if size <= limit else (df, False)
+    size = stored_bytes(df) * EXPANSION
+    if size > 1 << 50:
+        size = df.select((F.octet_length(F.to_json(F.struct("*"))) + 16).alias("n")).agg(F.sum("n")).first()[0] or 0
+    return max(1, -(-size // limit))
+
+
+def broadcast_parts(df: DataFrame, key: str, parts: int) -> list[DataFrame]:
+    """``df`` in ``parts`` by the hash of ``key``, each with a broadcast hint."""
+    if parts == 1:
+        return [F.broadcast(df)]
+    return [F.broadcast(df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)) for k in range(parts)]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
-from grainscore.functions.joins import BROADCAST_LIMIT, broadcast_if_small
+from grainscore.functions.joins import BROADCAST_LIMIT, broadcast_parts, number_of_parts
 from grainscore.functions.patterns import literal
 
 
@@ -38,17 +38,17 @@ def unknown_imports(
 ) -> DataFrame:
     """Table form: distinct ``(keys, module)`` rows whose module is not in ``known(module)``.
 
-    ``known`` is broadcast when its measured size allows it.  Otherwise the
-    distinct modules are excluded first, each one row however often it is
-    imported, and what remains selects the rows.
+    ``known`` is broadcast in parts of at most ``broadcast_limit``, and each
+    part excludes its own modules, so the rows are only exchanged to become
+    distinct, by all their columns, and no module is a hot key.  A row without
+    a module is not known.
     """
     keys = [c for c in import_rows.columns if c not in ("pos", "module")]
     rows = import_rows.select(*keys, "module").distinct()
-    modules, small = broadcast_if_small(known.select("module").distinct(), broadcast_limit)
-    if small:
-        return rows.join(modules, "module", "left_anti")
-    unknown = rows.select("module").distinct().join(modules, "module", "left_anti")
-    return rows.join(unknown, "module", "left_semi")
+    modules = known.select("module").where("module IS NOT NULL").distinct()
+    for part in broadcast_parts(modules, "module", number_of_parts(known.select("module"), broadcast_limit)):
+        rows = rows.join(part, "module", "left_anti")
+    return rows
 
 
 def measures(known: Iterable[str] | None = None, installed: Iterable[str] = ()) -> list[dict[str, str]]:

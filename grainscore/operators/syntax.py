@@ -25,6 +25,8 @@ from pyspark.sql.pandas.types import from_arrow_type
 # Ship the helpers inside the UDF, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+_SLICE_CHARS = 4 << 20
+
 _FUNCTION = pa.struct(
     [
         ("pos", pa.int32()),
@@ -212,17 +214,33 @@ def _facts_array(rows: list[dict | None]) -> pa.Array:
     return pa.StructArray.from_arrays(columns, fields=[_FACTS.field(k) for k in range(_FACTS.num_fields)], mask=missing)
 
 
+def _slices(batch: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch in runs of about ``_SLICE_CHARS``."""
+    texts, held = [], 0
+    for value in batch:
+        text = value.as_py()
+        texts.append(text)
+        held += len(text or "")
+        if held >= _SLICE_CHARS:
+            yield texts
+            texts, held = [], 0
+    if texts:
+        yield texts
+
+
 @arrow_udf(FACTS_TYPE)
 def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    # facts are many times larger as Python objects than in Arrow, so only a slice of a batch is held as such
     for batch in batches:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            gc.disable()  # syntax trees hold no cycles; collections would only rescan them
-            try:
-                rows = [_guarded_facts(value.as_py()) for value in batch]
-            finally:
-                gc.enable()
-        yield _facts_array(rows)
+        for texts in _slices(batch):
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                gc.disable()  # syntax trees hold no cycles; collections would only rescan them
+                try:
+                    rows = [_guarded_facts(text) for text in texts]
+                finally:
+                    gc.enable()
+            yield _facts_array(rows)
 
 
 def syntax_facts(text: Column) -> Column:

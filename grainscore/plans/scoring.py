@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from grainscore.functions import scoring as sc
 from grainscore.functions import text as tx
@@ -99,3 +100,20 @@ def ranked(results: DataFrame) -> DataFrame:
     """Analyzed files first, highest score first, ties by repository and path."""
     analyzed = F.col("status") == "analyzed"
     return results.orderBy(analyzed.desc(), F.coalesce("final_score", F.lit(0)).desc(), *KEYS)
+
+
+def numbered(results: DataFrame, folder: str) -> DataFrame:
+    """``results`` with ``file_rank``, their place (from 1) in the order of ``ranked``, by way of a table in ``folder``.
+
+    The order is dealt to tasks by range; each task's rows are counted and its
+    ranks start behind those of the tasks before it, so no task sees more than
+    its own share of a repository.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranked(results).select("*", F.spark_partition_id().alias("_task"), place.alias("_place")).write.parquet(folder)
+    placed = results.sparkSession.read.parquet(folder)
+    sizes = placed.groupBy("_task").count().withColumnRenamed("count", "_size")
+    # one row per task of the sort
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_task", before.alias("_before"))
+    return placed.join(F.broadcast(starts), "_task").withColumn("file_rank", F.col("_before") + F.col("_place") + 1).drop("_task", "_place", "_before")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
+from grainscore.functions.joins import stored_bytes
 from grainscore.functions.patterns import literal
 
 KEYS = ("repo_id", "path")
@@ -37,14 +38,16 @@ def files_from_table(
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition by ``keys`` when the input arrives in fewer partitions than there are cores.
+    """Deal an input of less than one split over the cores by ``keys``, which should be unique per row.
 
-    Parsing is CPU-bound, so a file that cannot be split (one row group) would
-    leave the cluster idle.  Inputs with enough splits are returned as they are
-    and their contents are never moved.  ``keys`` should be unique per row.
+    Parsing is CPU-bound, and an input below ``spark.sql.files.maxPartitionBytes``
+    may arrive in one task however many cores there are.  At most that many
+    bytes are ever moved; larger inputs, of any number of splits, are returned
+    as they are.  Starts no job.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    spark = df.sparkSession
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(spark.sparkContext.defaultParallelism, *keys) if stored_bytes(df) < split else df
 
 
 def filter_extensions(files: DataFrame, path: str = "path") -> DataFrame:

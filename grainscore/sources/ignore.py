@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
-from grainscore.functions.joins import BROADCAST_LIMIT, broadcast_if_small
+from grainscore.functions.joins import BROADCAST_LIMIT, broadcast_parts, number_of_parts
 from grainscore.functions.patterns import literal
 
 # Ship the helpers inside the UDF, so executors need no copy of this package.
@@ -189,27 +189,29 @@ def filter_ignored(
 ) -> DataFrame:
     """Drop ignored files: defaults, ``extra``, then each repository's own patterns.
 
-    The rule lists are broadcast when their measured size is within
-    ``broadcast_limit``.  Beyond it the decision is made on paths alone and the
-    kept (repo_id, path) pairs select the files, so no repository is a hot key.
+    The rule lists are broadcast in parts of at most ``broadcast_limit``; a file
+    meets its repository's list in one part or in none, so the result does not
+    depend on their number, contents are never exchanged and no repository is a
+    hot key.  Files without a repository follow the general patterns alone.
     """
     if repo_ignore is None:
         return files.where(f"NOT {is_ignored(path, extra)}")
     extra = list(extra)
     rules = compile_patterns([*fixed.DEFAULT_IGNORE_PATTERNS, *extra])
     repo_rules = compiled_repo_patterns(repo_ignore)
+    parts = broadcast_parts(repo_rules, "repo_id", number_of_parts(repo_ignore, broadcast_limit))
+    met = files
+    for k, part in enumerate(parts):
+        met = met.join(part.withColumnRenamed("rules", f"_rules_{k}"), "repo_id", "left")
+    names = [f"_rules_{k}" for k in range(len(parts))]
 
     def ignored(p: str) -> str:
-        listed = "coalesce(rules, CAST(array() AS array<struct<ord: int, regex: string, ignores: boolean>>))"
+        none = "CAST(array() AS array<struct<ord: int, regex: string, ignores: boolean>>)"
         step = f"CASE WHEN rlike({p}, r.regex) THEN r.ignores ELSE out END"
-        return f"aggregate({listed}, {decide(p, rules)}, (out, r) -> {step})"
+        return f"aggregate(coalesce({', '.join(names)}, {none}), {decide(p, rules)}, (out, r) -> {step})"
 
     keep = f"NOT ({ignored(path)} OR exists({parent_directories(path)}, d -> {ignored('d')}))"
-    hinted, small = broadcast_if_small(repo_rules, broadcast_limit)
-    if small:
-        return files.join(hinted, "repo_id", "left").where(keep).drop("rules")
-    kept = files.select("repo_id", path).join(repo_rules, "repo_id", "left").where(keep).select("repo_id", path)
-    return files.join(kept, ["repo_id", path], "left_semi")
+    return met.where(keep).drop(*names)
 
 
 def ignore_lines(ignore_files: DataFrame) -> DataFrame:

@@ -62,9 +62,9 @@ def _scan(root: str, folder: str, rules: list[tuple[str, bool]]) -> tuple[list[s
                         folders.append(path)
                 elif not entry.is_dir():
                     files.append(path)
-    except OSError:
-        pass  # an unreadable folder has no files to report
-    return files, folders
+    except OSError as problem:
+        return [], [], str(problem)
+    return files, folders, None
 
 
 class _Subtrees(InputPartition):
@@ -87,9 +87,11 @@ class _ListingReader(DataSourceReader):
             while level and len(level) < budget:
                 below = []
                 for folder in level:
-                    more, folders = _scan(root, folder, self.rules[repo_id])
+                    more, folders, error = _scan(root, folder, self.rules[repo_id])
                     files += more
                     below += folders
+                    if error is not None:  # a task tries again and reports it
+                        found.append(_Subtrees(repo_id, root, [folder], []))
                 level = below
             found += [_Subtrees(repo_id, root, [folder], []) for folder in level]
             found += [_Subtrees(repo_id, root, [], files[i : i + 2000]) for i in range(0, len(files), 2000)]
@@ -106,8 +108,11 @@ class _ListingReader(DataSourceReader):
                 yield part.repo_id, part.root, path, size, error
             files = []
             if open_folders:
-                files, folders = _scan(part.root, open_folders.pop(), rules)
+                folder = open_folders.pop()
+                files, folders, error = _scan(part.root, folder, rules)
                 open_folders += folders
+                if error is not None:
+                    yield part.repo_id, part.root, f"{folder}/", None, error
 
 
 class CodeFiles(DataSource):
@@ -130,7 +135,10 @@ class CodeFiles(DataSource):
 
 
 def list_tree(spark: SparkSession, roots: Mapping[str, str], rules: Mapping[str, list] | None = None) -> DataFrame:
-    """``(repo_id, root, path, size_bytes, read_error)`` of every file below the roots."""
+    """``(repo_id, root, path, size_bytes, read_error)`` of every file below the roots.
+
+    A folder that cannot be listed is a row too, its path ends in a slash.
+    """
     spark.dataSource.register(CodeFiles)
     reader = spark.read.format("codefiles").option("roots", json.dumps(dict(roots)))
     return reader.option("rules", json.dumps(dict(rules or {}))).load()
@@ -160,8 +168,9 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def read_contents(listing: DataFrame) -> DataFrame:
     """Corpus rows for a listing; a file that cannot be read keeps its error."""
     narrow = listing.select("repo_id", "root", "path", "size_bytes", "read_error")
-    spread = corpus.spread(narrow, *corpus.KEYS)
-    rows = spread.mapInArrow(_read_batches, _READ)
+    # paths only: a few bytes a file, dealt out so that every core reads
+    dealt = narrow.repartition(listing.sparkSession.sparkContext.defaultParallelism, *corpus.KEYS)
+    rows = dealt.mapInArrow(_read_batches, _READ)
     return rows.selectExpr(
         "repo_id",
         "path",
@@ -183,6 +192,11 @@ def root_ignore_patterns(root: str) -> list[str]:
     return [line for line in lines if line.strip() and not line.startswith("#")]
 
 
+def unreadable_folders(spark: SparkSession, roots: Mapping[str, str], rules: Mapping[str, list] | None = None) -> DataFrame:
+    """``(repo_id, path, read_error)`` of the folders whose files are missing from a corpus of these roots."""
+    return list_tree(spark, roots, rules).where("endswith(path, '/')").select("repo_id", "path", "read_error")
+
+
 def read_code_tree(
     spark: SparkSession,
     roots: str | Mapping[str, str],
@@ -192,8 +206,15 @@ def read_code_tree(
     """Corpus of one folder, or of several given as ``{repo_id: folder}``.
 
     Order of ignore patterns: defaults, ``extra_ignore``, the root's own file.
+    A single file is a corpus of one row, whatever its type and the patterns.
+    The folders must be mounted on all executors; a large corpus is better
+    kept in a table.  ``unreadable_folders`` tells what could not be listed.
     """
     named = {roots: roots} if isinstance(roots, str) else dict(roots)
+    if isinstance(roots, str) and os.path.isfile(roots):
+        folder, name = os.path.split(os.path.abspath(roots))
+        row = [(roots, folder, name, os.path.getsize(roots), None)]
+        return read_contents(spark.createDataFrame(row, "repo_id string, root string, path string, size_bytes long, read_error string"))
     missing = [folder for folder in named.values() if not os.path.isdir(folder)]
     if missing:
         raise ValueError(f"Path does not exist: {missing[0]}")

@@ -29,7 +29,7 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("broadcast_limit", [1 << 20, 0])
+@pytest.mark.parametrize("broadcast_limit", [1 << 20, 500])
 def test_patterns(spark, broadcast_limit):
     files = spark.createDataFrame([(str(k), path) for k, (_, path, _) in enumerate(CASES)], "repo_id string, path string")
     table = spark.createDataFrame(
@@ -52,7 +52,7 @@ def test_invalid_line_drops_the_list(spark):
     assert ignore.filter_ignored(files, table).count() == 1
 
 
-@pytest.mark.parametrize("broadcast_limit", [1 << 20, 0])
+@pytest.mark.parametrize("broadcast_limit", [1 << 20, 500])
 def test_unknown_imports_any_size(spark, broadcast_limit):
     from grainscore.operators.imports import unknown_imports
 
@@ -60,3 +60,27 @@ def test_unknown_imports_any_size(spark, broadcast_limit):
     known = spark.createDataFrame([("os",), ("os",)], "module string")
     found = unknown_imports(rows, known, broadcast_limit).collect()
     assert sorted((r.path, r.module) for r in found) == [("a", "zz"), ("b", "yy")]
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 1000])
+def test_result_does_not_depend_on_the_number_of_rules(spark, limit):
+    """One broadcast or many: the same rows, null keys included."""
+    files = spark.createDataFrame(
+        [("r1", "a.py"), ("r1", "gen/b.py"), ("r2", "gen/b.py"), (None, "z.py"), (None, "build/z.py"), ("r3", None)], "repo_id string, path string"
+    )
+    rules = spark.createDataFrame([("r1", 0, "gen/"), (None, 0, "*.py"), *((f"x{i}", 0, "*") for i in range(50))], "repo_id string, ord int, pattern string")
+    kept = ignore.filter_ignored(files, rules, broadcast_limit=limit)
+    assert {(r.repo_id, r.path) for r in kept.collect()} == {("r1", "a.py"), ("r2", "gen/b.py"), (None, "z.py"), ("r3", None)}
+    assert "Exchange hashpartitioning(path" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept._jdf.queryExecution().executedPlan().toString().count("LeftOuter") > (1 if limit < 1000 else 0)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 1000])
+def test_unknown_imports_keep_rows_without_module(spark, limit):
+    from grainscore.operators.imports import unknown_imports
+
+    rows = spark.createDataFrame([("p1", "os"), ("p1", None), ("p1", "zz"), ("p2", "zz"), ("p2", "zz"), (None, "os"), (None, "yy")], "path string, module string")
+    known = spark.createDataFrame([("os",), (None,), *((f"m{i}",) for i in range(50))], "module string")
+    found = unknown_imports(rows, known, limit)
+    assert sorted(map(str, ((r.path, r.module) for r in found.collect()))) == sorted(map(str, [("p1", None), ("p1", "zz"), ("p2", "zz"), (None, "yy")]))
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()

@@ -51,3 +51,37 @@ def test_partitioning_does_not_matter(spark, table):
     one = sorted(score_files(table.coalesce(1)).collect(), key=key)
     many = sorted(score_files(table.repartition(7)).collect(), key=key)
     assert one == many
+
+
+def test_only_an_input_below_one_split_is_dealt_out(spark, table):
+    from grainscore.sources.corpus import spread
+
+    assert "Exchange" in plan(spread(table, "path"))
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert "Exchange" not in plan(spread(table, "path"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+
+
+def test_building_a_frame_starts_no_job(spark, table, folder):
+    from grainscore.sources import ignore
+    from grainscore.sources.corpus import spread
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.createDataFrame([("r1", 0, "gen/")], "repo_id string, ord int, pattern string").write.parquet(f"{folder}/rules")
+    rules = spark.read.parquet(f"{folder}/rules")
+    spark.sparkContext.setJobGroup("building", "")
+    rollup.repo_summary(score_files(ignore.filter_ignored(spread(table, "path"), rules)))
+    assert list(tracker.getJobIdsForGroup("building")) == []
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_ranks_follow_the_global_order(spark, table, folder):
+    from grainscore.plans import scoring
+
+    results = reports.store(score_files(table), f"{folder}/results")
+    rows = scoring.numbered(results.repartition(5), f"{folder}/ranked").orderBy("file_rank").collect()
+    assert [r.file_rank for r in rows] == list(range(1, 201))
+    assert [(r.repo_id, r.path) for r in rows] == [(r.repo_id, r.path) for r in scoring.ranked(results).collect()]

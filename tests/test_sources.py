@@ -54,3 +54,17 @@ def test_stream_equals_batch(spark, folder):
     write_scores(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination(120)
     key = lambda r: r.path
     assert sorted(spark.read.parquet(f"{folder}/out").collect(), key=key) == sorted(score_files(stored).collect(), key=key)
+
+
+def test_single_file(spark, folder):
+    fill(folder, {"notes.txt": b"# TODO: x\n"})
+    (row,) = tree.read_code_tree(spark, f"{folder}/notes.txt").collect()
+    assert (row.path, bytes(row.content)) == ("notes.txt", b"# TODO: x\n")
+
+
+def test_folders_that_cannot_be_listed_are_reported(spark, folder, monkeypatch):
+    fill(folder, {"a/x.py": b"x = 1\n"})
+    rows = tree._ListingReader({"r": folder, "s": f"{folder}/gone"}, {"r": [], "s": []})
+    found = [row for part in rows.partitions() for row in rows.read(part)]
+    assert [(r[0], r[2]) for r in found if r[4] is None] == [("r", "a/x.py")]
+    assert [(r[0], r[2]) for r in found if r[4] is not None] == [("s", "/")]

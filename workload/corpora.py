@@ -6,8 +6,9 @@ from pieces whose syntax is known, so the oracle, which cannot parse Python,
 gets the expected facts by counting pieces.
 
 ``documents``  the prose itself, one file per document (text checks only)
-``code``       generated code; some files broken, blank, oversized or too deep to parse
-``annotated``  generated code followed by the whole document text as ``#`` comments
+``code``       generated code followed by the whole document text as ``#`` comments; some files broken,
+               blank, oversized or too deep to parse
+``annotated``  the same without blank and oversized files
 """
 
 from __future__ import annotations
@@ -274,23 +275,25 @@ def turns_sql() -> str:
     )
 
 
+_NOTE = "'# ' || replace(text, chr(10), chr(10) || '# ') || chr(10)"
+
+
 def code_sql() -> str:
-    """Code with a few blank, empty and oversized files."""
+    """Code and document with a few blank, empty and oversized files."""
     content = (
         f"CASE WHEN doc_id % 59 = 3 THEN '' WHEN doc_id % 61 = 4 THEN '  ' || chr(9) || chr(10) || chr(12) || ' ' "
-        f"WHEN doc_id % 97 = 5 THEN repeat('# pad' || chr(10), 90000) ELSE {_code_text()} END"
+        f"WHEN doc_id % 97 = 5 THEN repeat('# pad' || chr(10), 90000) ELSE {_code_text()} || {_NOTE} END"
     )
     return (
-        f"SELECT *, {content} AS content FROM (SELECT doc_id, source AS repo_id, "
+        f"SELECT *, {content} AS content FROM (SELECT doc_id, text, source AS repo_id, "
         f"'src/' || CAST(doc_id AS STRING) || {CODE_EXT} AS path, {_count_columns()} FROM documents) AS counted"
     )
 
 
 def annotated_sql() -> str:
     """Code followed by the document as comments."""
-    note = "'# ' || replace(text, chr(10), chr(10) || '# ') || chr(10)"
     return (
-        f"SELECT *, {_code_text()} || {note} AS content FROM (SELECT doc_id, text, source AS repo_id, "
+        f"SELECT *, {_code_text()} || {_NOTE} AS content FROM (SELECT doc_id, text, source AS repo_id, "
         f"'src/' || CAST(doc_id AS STRING) || {CODE_EXT} AS path, {_count_columns()} FROM documents) AS counted"
     )
 

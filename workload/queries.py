@@ -65,6 +65,16 @@ def _results(spark: SparkSession, sf_dir: str, name: str = "code") -> DataFrame:
     return plan.score_files(cp.files(spark, sf_dir, name))
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder below the shared folder the session names; a session on one machine may do without one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp()
+    return f"{shared.rstrip('/')}/grainscore-{uuid.uuid4().hex}"
+
+
 def _long(column: str) -> Column:
     return F.col(column).cast("long")
 
@@ -558,7 +568,8 @@ for _detector in fixed.DETECTORS:
 # File and repository scores ---------------------------------------------------
 
 _SCORED = f"SELECT repo_id, path, final_score, label, color, {', '.join(fixed.DETECTORS)} FROM results WHERE status = 'analyzed'"
-_SUMMARY = "SELECT * FROM summary"
+_REPO_LABELS = " ".join(f"WHEN repo_score >= {b[0]} THEN {q(b[1])}" for b in fixed.SCORE_BANDS)
+_SUMMARY = f"SELECT *, CASE {_REPO_LABELS} END AS repo_label FROM summary"
 
 
 def _score_queries(name: str):
@@ -569,7 +580,7 @@ def _score_queries(name: str):
 
     @register(f"repo_summary_{name}", over(name, _SUMMARY))
     def _(spark, sf_dir):
-        return rollup.repo_summary(_results(spark, sf_dir, name)).drop("repo_label")
+        return rollup.repo_summary(_results(spark, sf_dir, name))
 
 
 for _name in ("code", "annotated"):
@@ -636,14 +647,14 @@ def _(spark, sf_dir):
     "ranked_files",
     over(
         "code",
-        """SELECT CAST(row_number() OVER (PARTITION BY repo_id ORDER BY CASE WHEN status = 'analyzed' THEN 0 ELSE 1 END,
-        coalesce(final_score, 0) DESC, path) AS BIGINT) AS file_rank, repo_id, path FROM results""",
+        """SELECT row_number() OVER (ORDER BY CASE WHEN status = 'analyzed' THEN 0 ELSE 1 END,
+        coalesce(final_score, 0) DESC, repo_id, path) AS file_rank, repo_id, path FROM results""",
     ),
 )
 def _(spark, sf_dir):
-    ranked = plan.ranked(_results(spark, sf_dir))
-    rank = F.row_number().over(Window.partitionBy("repo_id").orderBy(*reports._order())).cast("long")
-    return ranked.select(rank.alias("file_rank"), "repo_id", "path")
+    folder = _scratch(spark)
+    stored = reports.store(_results(spark, sf_dir), f"{folder}/results")
+    return plan.numbered(stored, f"{folder}/ranked").select("file_rank", "repo_id", "path")
 
 
 @register("quality_gate", over("code", f"SELECT repo_id, high_risk_files > 0 AS failed FROM summary"))
@@ -662,6 +673,9 @@ def _(spark, sf_dir):
 
 # Reports ----------------------------------------------------------------------
 
+# What the parser says of a file that is nested too deep for it.
+TOO_DEEP = "analysis error: Parser stack overflowed - Python source too complex to parse"
+
 
 @register(
     "file_table",
@@ -690,22 +704,27 @@ def _(spark, sf_dir):
     "error_rows",
     over(
         "code",
-        """SELECT repo_id, path, file_rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path)
+        f"""SELECT repo_id, path, file_rank, {q(TOO_DEEP)} AS error FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path)
         AS file_rank FROM results WHERE status = 'error') WHERE file_rank <= 5""",
     ),
 )
 def _(spark, sf_dir):
     rows = reports.error_rows(_results(spark, sf_dir))
-    return rows.select("repo_id", "path", _long("file_rank").alias("file_rank"))
+    return rows.select("repo_id", "path", _long("file_rank").alias("file_rank"), "error")
+
+
+_ROUNDED = ", ".join(f"CASE WHEN status = 'analyzed' THEN CAST(printf('%.3f', {n}) AS DOUBLE) END AS {n}" for n in fixed.DETECTORS)
 
 
 @register(
     "json_rows",
     over(
         "code",
-        """SELECT repo_id, path, coalesce(final_score, 0) AS vibe_score, status = 'skipped' AS skipped,
+        f"""SELECT repo_id, path, coalesce(final_score, 0) AS vibe_score, status = 'skipped' AS skipped,
         coalesce(skip_reason, '') AS skip_reason, coalesce(label, '') AS score_label,
-        array_to_string(findings, chr(10)) AS findings FROM results""",
+        array_to_string(findings, chr(10)) AS findings,
+        CASE WHEN status = 'error' THEN '{TOO_DEEP}' ELSE '' END AS error,
+        {_ROUNDED} FROM results""",
     ),
 )
 def _(spark, sf_dir):
@@ -714,10 +733,12 @@ def _(spark, sf_dir):
         "repo_id", "path", "vibe_score", "skipped", "skip_reason",
         F.coalesce("score_label", F.lit("")).alias("score_label"),
         F.coalesce(F.array_join("findings", "\n"), F.lit("")).alias("findings"),
+        F.coalesce("error", F.lit("")).alias("error"),
+        *(F.col(f"detector_scores.{n}").alias(n) for n in fixed.DETECTORS),
     )
 
 
-_CARD_SCORES = " || ' ' || ".join(f"CAST(CAST(trunc({n} * 100) AS INT) AS VARCHAR)" for n in sorted(fixed.DETECTORS))
+_CARD_SCORES = " || ' ' || ".join(f"'{n}=' || CAST(CAST(trunc({n} * 100) AS INT) AS VARCHAR)" for n in sorted(fixed.DETECTORS))
 
 
 @register(
@@ -735,7 +756,7 @@ def _(spark, sf_dir):
     return cards.select(
         *corpus.KEYS, "final_score", "label", _long("n_findings").alias("n_findings"),
         F.array_join("shown", "\n").alias("shown"),
-        F.array_join(F.col("detectors.percent").cast("array<string>"), " ").alias("percents"),
+        F.array_join(F.transform("detectors", lambda d: F.concat_ws("=", d["detector"], d["percent"].cast("string"))), " ").alias("percents"),
     )
 
 
@@ -751,17 +772,22 @@ def _(spark, sf_dir):
     )
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder the session names."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{shared.rstrip('/')}/grainscore-{uuid.uuid4().hex}"
-
-
-@register("report_files", over("code", "SELECT repo_id, repo_score, high_risk_files FROM summary"))
+@register(
+    "report_files",
+    over(
+        "code",
+        """SELECT s.repo_id, repo_score, high_risk_files, count(*) AS files, CAST(sum(coalesce(final_score, 0)) AS BIGINT) AS scores
+        FROM summary s JOIN results r ON s.repo_id = r.repo_id GROUP BY ALL""",
+    ),
+)
 def _(spark, sf_dir):
     folder = _scratch(spark)
-    reports.write_reports(_results(spark, sf_dir), folder, "parquet")
-    return spark.read.parquet(f"{folder}/summary").select("repo_id", "repo_score", "high_risk_files")
+    stored = reports.store(_results(spark, sf_dir), f"{folder}/results")
+    reports.write_reports(stored, f"{folder}/report")
+    files = spark.read.json(f"{folder}/report/files").groupBy("repo_id").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("vibe_score").alias("scores")
+    )
+    return spark.read.json(f"{folder}/report/summary").select("repo_id", "repo_score", "high_risk_files").join(files, "repo_id")
 
 
 # Extension --------------------------------------------------------------------
@@ -778,10 +804,10 @@ def _(spark, sf_dir):
     return plan.detector_rows(plan.detect(cp.files(spark, sf_dir, "code"))).select("path", "detector", "score")
 
 
-@register("long_form_scores", over("code", "SELECT path, final_score, label FROM results WHERE status = 'analyzed'"))
+@register("long_form_scores", over("code", "SELECT repo_id, path, final_score, label FROM results WHERE status = 'analyzed'"))
 def _(spark, sf_dir):
     rows = plan.detector_rows(plan.detect(cp.files(spark, sf_dir, "code")))
-    return sc.score_long_form(rows, "path")
+    return sc.score_long_form(rows, *corpus.KEYS)
 
 
 _SIX = " + ".join(f"{n} * {w}::DOUBLE" for n, w in fixed.DETECTOR_WEIGHTS.items())
