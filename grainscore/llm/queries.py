@@ -73,8 +73,34 @@ def _(spark, sf_dir):
 
 # 2. N-gram Jaccard join
 
+_LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _reached(links: str, ids: str) -> str:
+    """SQL: ``reached(id, component)`` over links (a, b) in both directions."""
+    return f"""paths AS (
+  SELECT id AS a, id AS b FROM ({ids}) UNION SELECT paths.a, {links}.b FROM paths JOIN {links} ON paths.b = {links}.a
+), reached AS (SELECT a AS id, min(b) AS component FROM paths GROUP BY a)"""
+
+
+JACCARD_SQL = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER_SQL}, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(words[s : s + 3], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS s FROM texts WHERE len(words) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes m ON m.doc_id = a JOIN sizes k ON k.doc_id = b WHERE 100 * shared >= 85 * (m.n + k.n - shared)
+), {_reached("links", "SELECT DISTINCT doc_id AS id FROM documents")}
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN reached ON doc_id = id
+"""
+
 
-@register("op2_ngram_join")
+@register("op2_ngram_join", JACCARD_SQL)
 def _(spark, sf_dir):
     found = ngram_join.join(table(spark, sf_dir, "documents"), width=4, threshold=Fraction(85, 100))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -82,8 +108,20 @@ def _(spark, sf_dir):
 
 # 3. Embedding near-dedup
 
+NEAR_SQL = f"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+), {_reached("links", "SELECT vec_id AS id FROM embeddings")}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links, component AS component_id, component = vec_id AS kept
+FROM embeddings JOIN reached ON vec_id = id
+"""
 
-@register("op3_cap_filters")
+
+@register("op3_cap_filters", NEAR_SQL)
 def _(spark, sf_dir):
     found = cap_filters.near(table(spark, sf_dir, "embeddings"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
@@ -92,7 +130,6 @@ def _(spark, sf_dir):
 
 # 4. Benchmark decontamination
 
-_LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS_SQL = f"coalesce(regexp_extract_all({_LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
 
 DECONTAMINATION_SQL = f"""
@@ -206,8 +243,24 @@ def _(spark, sf_dir):
 
 # 9. Substring dedup
 
+REPEATS_SQL = """
+WITH texts AS (
+  SELECT row_number() OVER () AS place, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents
+), runs AS (
+  SELECT place, s, array_to_string(words[s : s + 34], ' ') AS said
+  FROM (SELECT place, words, unnest(range(1, len(words) - 33)) AS s FROM texts WHERE len(words) >= 35)
+), repeated AS (SELECT said FROM runs GROUP BY said HAVING count(*) > 1
+), removed AS (SELECT DISTINCT place, unnest(range(s, s + 35)) AS spot FROM runs JOIN repeated USING (said)
+), each AS (SELECT place, unnest(words) AS word, generate_subscripts(words, 1) AS spot FROM texts
+), kept AS (
+  SELECT place, string_agg(word, ' ' ORDER BY spot) AS text, count(*) AS n FROM each ANTI JOIN removed USING (place, spot) GROUP BY place
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (place)
+"""
+
 
-@register("op9_substring_dedup")
+@register("op9_substring_dedup", REPEATS_SQL)
 def _(spark, sf_dir):
     found = substring.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
