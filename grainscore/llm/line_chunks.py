@@ -159,8 +159,9 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", carry: Seque
     repeated = cut(found.join(digests, ["d1", "d2"]))
 
     def with_places(rows: DataFrame) -> DataFrame:
-        # both uses exchange the same columns of the texts by the same keys, so Spark moves the texts once
-        return keyed.join(rows.groupBy("k1", "k2").agg(F.collect_set("place").alias("places")), ["k1", "k2"], "left")
+        # both uses exchange the same columns of the texts by the same keys, so Spark moves the texts once;
+        # without the hint it would broadcast the places while they are few, and sort only beyond that
+        return keyed.join(rows.groupBy("k1", "k2").agg(F.collect_set("place").alias("places")).hint("merge"), ["k1", "k2"], "left")
 
     compared = _candidates(with_places(repeated)).groupBy("d1", "d2", "chunk").agg(F.count("*").alias("n"))
     # two equal hashes and yet other bytes: such chunks all stay
