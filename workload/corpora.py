@@ -108,6 +108,45 @@ PARTS = [
         f"{_div(3)} % 5",
         _notes("# step 1 of the plan", "# first, read", "# next, write", "# now we wait"),
     ),
+    # one line for every other rule of comments and markers
+    Part(
+        "more_obvious",
+        f"{_div(11)} % 3",
+        [
+            Piece(
+                "\n".join(
+                    [
+                        "# decrement counter", "# print total", "# create a new list", "# initialize state", "# define a function",
+                        "# define the class", "# import module", "# call the function", "# iterate over rows",
+                    ]
+                )
+            ),
+            Piece(
+                "\n".join(
+                    [
+                        "# check if x is none", "# add x to the list", "# append x to rows", "# close the file", "# read the file",
+                        "# write to the file", "# convert x to y", "# calculate the sum", "# set the name",
+                    ]
+                )
+            ),
+        ],
+    ),
+    Part("more_narrative", _if("doc_id % 23 = 9"), [Piece("# second, read\n# third, sort\n# finally, write\n# then we wait\n# firstly read")]),
+    Part(
+        "more_markers",
+        _if("doc_id % 29 = 8"),
+        [
+            Piece(
+                "\n".join(
+                    [
+                        "# HACK: around", "# XXX look", "# noqa", "# type: ignore", "# pragma: no cover", "# placeholder", "# stub",
+                        "# not implemented", "# fill this in", "# implement later", "# your code here", "# add your name", "# coming soon",
+                        "# to be implemented", "# tbd", "# tbds", "# TODOS none",
+                    ]
+                )
+            )
+        ],
+    ),
     Part("banner", _if("doc_id % 16 = 3"), [Piece("\n".join(f"# note {j}" for j in range(1, 11)))]),
     Part("generic", "doc_id % 6", [_assign(n) for n in ("data", "temp", "info", "stuff", "output")]),
     Part("token", "doc_id % 2", [_assign("token", '"abcdefghijkl"')]),
