@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars, on frames of edges.
 
 Every step keeps the components and moves each vertex nearer to the least
-vertex it can reach; steps run until nothing moves.  Minima are summed up
+vertex it can reach; steps run until all components are stars.  Minima are summed up
 before their exchange, and both sides of each join are plain tables that have
 been written, so Spark can split a vertex with very many neighbours.
 """
@@ -25,18 +25,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return cut(moved.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).drop("n"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
-    return row["n"], row["sum"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every vertex has one parent and no parent has one itself: all components are stars."""
+    parents = edges.select(F.col("b").alias("a")).distinct()
+    several = edges.groupBy("a").count().where("count > 1").select("a")
+    return edges.select("a").join(parents, "a", "left_semi").unionByName(several).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, component) of every vertex of ``edges`` (columns a, b); the component is its least vertex."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before, after = None, _state(now)
-    while after[0] and before != after:
-        before = after
+    while not _settled(now):
         now = _star(_star(now, large=True), large=False)
-        after = _state(now)
     child = now.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
     return child.unionByName(now.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct())
