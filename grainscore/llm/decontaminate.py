@@ -148,7 +148,8 @@ def decontaminate(
         F.collect_set(F.when(F.col("hit").isNotNull(), F.struct("hit.start", "hit.n"))).alias("spans"),
         F.collect_set("hit.window_id").alias("window_ids"),
     )
-    per_text = per_text.select("row_id", "doc_id", "key", "n_words", hit_words(F.sort_array("spans")).alias("n_hit"), "window_ids")
+    # used twice below, and reading the texts once more would cost as much as all that went before
+    per_text = cut(per_text.select("row_id", "doc_id", "key", "n_words", hit_words(F.sort_array("spans")).alias("n_hit"), "window_ids"))
     named = (
         per_text.select("row_id", F.explode("window_ids").alias("window_id"))
         .join(found.select("window_id", F.explode("item_ids").alias("item_id")), "window_id")
