@@ -9,18 +9,22 @@ filter two sets that are alike share a token among their first
 useless, and a set whose prefix is made of tokens of its own needs no
 comparison at all.  That is so for nearly all texts.
 
-Sets that share a prefix token are joined in blocks of bounded size: the block's
-sets, in the block's order of rarity, make up a trie; each set runs through it
-and shares the overlap so far with all sets below a node; a subtree is left as
-soon as what remains of the set or of the longest branch cannot reach the
-overlap that its smallest set needs.  Sets that are already known to be
-connected are not compared again.
-
-To keep a group of very many near copies linear, two rounds first join one set
-per component and token, each set under one token only.  The last round takes
-every token whose sets are in several components yet: the sets outside of the
-token's largest component meet all its blocks.  So every pair of sets that
-shares a prefix token has been compared, or is connected through others.
+What two sets share of their low tokens, and their sizes, bound their overlap.
+Sets under one prefix token that may be alike by that bound are connected, and
+the components of these hopes are clusters, nearly all of a few sets.  Whole
+sets are only fetched for clusters, once each, and joined in blocks of bounded
+size: the block's sets, in the block's order of rarity, make up a trie; each
+set runs through it and shares the overlap so far with all sets below a node; a
+subtree is left as soon as what remains of the set or of the longest branch
+cannot reach the overlap that its smallest set needs.  Sets that are already
+known to be connected are not compared again.
+
+To keep a group of very many near copies linear, in hopes as in links, two
+rounds first join one set per component and token, each set under one token
+only.  The last round takes every token whose sets are in several components
+yet: blocks of the sets outside of the token's largest component meet each
+other and that component's blocks.  So every pair of sets that shares a prefix
+token has been compared, or is connected through others.
 
 Hashes: 64 bits for tokens and classes, compared as such.
 
@@ -33,7 +37,7 @@ rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -42,6 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from grainscore.llm.cap_filters import forest
 from grainscore.llm.components import components
 from grainscore.llm.shared import cut
 from grainscore.llm.words import hashed_words, sequences, signed
@@ -163,8 +168,11 @@ def _tokens(keyed: DataFrame, width: int, measure: Measure, frequent: np.ndarray
     return keyed.select("text").mapInArrow(batches, "token long, cid long, kind tinyint")
 
 
-def _prefixes(tokens: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
-    """Prefix tokens that other classes have too: token, cid."""
+def _prefixes(tokens: DataFrame, classes: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
+    """(token, cid) of prefix tokens that other classes have too; (cid, n, low, shared) with all low tokens of a class that others have.
+
+    Only classes with such a prefix are in either.
+    """
     own = Window.partitionBy("token")
     counted = tokens.where("kind < 2").select(
         "*", F.count("*").over(own).alias("seen"), F.min("cid").over(own).alias("first"), F.max("cid").over(own).alias("last")
@@ -183,7 +191,16 @@ def _prefixes(tokens: DataFrame, classes: DataFrame, measure: Measure) -> DataFr
     n_rare = F.greatest(F.lit(0), F.least(F.size("rare"), F.col("p") - (plain - F.size("rare"))))
     n_often = F.greatest(F.lit(0), F.least(F.size("often"), F.col("p") - plain - (F.col("n") - F.col("low"))))
     prefix = F.concat(F.slice("rare", F.lit(1), n_rare), F.col("rest"), F.slice("often", F.lit(1), n_often))
-    return sized.select("cid", F.explode(F.transform(prefix, lambda t: t["token"])).alias("token"))
+    found = cut(
+        sized.select(
+            "cid",
+            "n",
+            "low",
+            F.transform(prefix, lambda t: t["token"]).alias("prefix"),
+            F.transform(F.concat("rare", "often"), lambda t: t["token"]).alias("shared"),
+        ).where(F.size("prefix") > 0)
+    )
+    return found.select("cid", F.explode("prefix").alias("token")), found.select("cid", "n", "low", "shared")
 
 
 def _key_filter(keys: DataFrame, n: int) -> np.ndarray:
@@ -292,6 +309,49 @@ def trie_join(sets: list[np.ndarray], measure: Measure, known: list[int], apart:
     return links
 
 
+def hopeful(sizes: np.ndarray, low: np.ndarray, shared: list[np.ndarray], known: np.ndarray, apart: np.ndarray, measure: Measure) -> np.ndarray:
+    """Matrix of the sets of a block that may be alike and are of different components, by their low tokens and their sizes.
+
+    Low tokens of two sets overlap by what they share of them; the others overlap by the smaller number at most.
+    """
+    need = -(-(sizes[:, None] + sizes[None, :]) * measure.top // (measure.top + measure.bottom))
+    lengths, rest = np.array([len(s) for s in shared]), sizes - low
+    fits = (need <= np.minimum.outer(sizes, sizes)) & (known[:, None] != known[None, :]) & ~(apart[:, None] & apart[None, :])
+    fits &= np.minimum.outer(lengths, lengths) + np.minimum.outer(rest, rest) >= need
+    # sizes alone settle most sets; the tokens are only looked at for the others
+    some = np.flatnonzero(fits.any(axis=1))
+    out = np.zeros(fits.shape, bool)
+    if not len(some):
+        return out
+    tokens, places, times = np.unique(np.concatenate([shared[i] for i in some]), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(some)), lengths[some])
+    several = times[places] > 1
+    names, rows = (np.cumsum(times > 1) - 1)[places[several]], rows[several]
+    overlap = np.zeros((len(some), len(some)), np.float32)
+    width, n = min(4096, max(1, int((times > 1).sum()))), int((times > 1).sum())
+    for at in range(0, n, width):
+        here = (names >= at) & (names < at + width)
+        member = np.zeros((len(some), width), np.float32)
+        member[rows[here], names[here] - at] = 1
+        overlap += member @ member.T
+    here = np.ix_(some, some)
+    out[here] = fits[here] & (overlap + np.minimum.outer(rest[some], rest[some]) >= need[here])
+    return out
+
+
+def _hopes(rows: DataFrame, lists: DataFrame, measure: Measure) -> DataFrame:
+    """Edges (a, b) that connect the sets of each (token, block) that may be alike.  Rows: token, block, cid, component, apart."""
+
+    def block(table: pa.Table) -> pa.Table:
+        cids = table.column("cid").to_numpy()
+        size, low, known, apart = (table.column(c).to_numpy() for c in ("n", "low", "component", "apart"))
+        shared = [np.array(t, np.int64) for t in table.column("shared").to_pylist()]
+        a, b = forest(hopeful(size.astype(np.int64), low.astype(np.int64), shared, known, apart.astype(bool), measure), cids)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.join(lists, "cid").groupBy("token", "block").applyInArrow(block, "a long, b long")
+
+
 def _joined(rows: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     """Links between the sets of each (token, block): a, b.  Rows: token, block, cid, component, apart."""
 
@@ -304,6 +364,20 @@ def _joined(rows: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     return rows.join(sets, "cid").groupBy("token", "block").applyInArrow(block, "a long, b long")
 
 
+def _connected(rows: DataFrame, edges: Callable[[DataFrame], DataFrame], whole: DataFrame | None = None) -> DataFrame:
+    """Edges that connect whatever ``edges`` finds between two classes under one token.  Rows: token, cid.
+
+    ``whole``: tokens that one block holds, so the first round has settled them.
+    """
+    links = None
+    for number in range(ROUNDS):
+        found = edges(_first_round(_labelled(rows, links), number))
+        links = cut(found if links is None else found.unionByName(links))
+        if number == 0 and whole is not None:
+            rows = cut(rows.join(whole, "token", "left_anti"))
+    return cut(edges(_last_round(cut(_labelled(rows, links)))).unionByName(links))
+
+
 def _labelled(prefix: DataFrame, links: DataFrame | None) -> DataFrame:
     """``prefix`` with the component of every class so far."""
     if links is None:
@@ -319,7 +393,7 @@ def _first_round(rows: DataFrame, number: int) -> DataFrame:
     sizes = cut(mine.groupBy("token").agg(F.count("*").alias("size"), F.min("cid").alias("first"), F.max("cid").alias("last")).where("first <> last"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     return mine.join(sizes, "token").select(
-        "token", "cid", "component", F.lit(False).alias("apart"), F.pmod(F.xxhash64("cid", F.lit(number)), blocks).alias("block")
+        "token", "cid", "component", F.lit(False).alias("apart"), F.pmod(F.xxhash64("cid", F.lit(number)), blocks).cast("string").alias("block")
     )
 
 
@@ -332,15 +406,31 @@ def _last_round(rows: DataFrame) -> DataFrame:
         F.count("*").alias("parts"), F.max("size").alias("most"), F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("mark").alias("mark"), F.sum("size").alias("size")
     ).where("parts > 1")
     tokens = cut(
-        per_token.groupBy("mark", "size").agg(F.min_by(F.struct("token", "main", "most"), "token").alias("one")).select("one.*")
+        per_token.groupBy("mark", "size").agg(F.min_by(F.struct("token", "main", "most", "size"), "token").alias("one")).select("one.*")
     )
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("most") / BLOCK)).cast("long")
-    met = rows.join(tokens, "token").select("token", "cid", "component", (F.col("component") != F.col("main")).alias("outside"), blocks.alias("blocks"))
-    own = F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    dealt = met.select("token", "cid", "component", "outside", F.explode(F.when(F.col("outside"), every).otherwise(own)).alias("block"))
-    # sets outside meet each other in the first block alone
-    return dealt.select("token", "cid", "component", (F.col("outside") & (F.col("block") > 0)).alias("apart"), "block")
+    met = rows.join(tokens, "token").select(
+        "token",
+        "cid",
+        "component",
+        (F.col("component") != F.col("main")).alias("outside"),
+        "size",
+        F.ceil(F.col("most") / BLOCK).cast("int").alias("inner"),
+        F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("outer"),
+    )
+    spot = F.xxhash64("cid")
+    own, home = F.pmod(spot, F.col("outer").cast("long")).cast("int"), F.pmod(spot, F.col("inner").cast("long")).cast("int")
+
+    def to(first: Column, second: Column, mark: str) -> Column:
+        return F.concat_ws(mark, first.cast("string"), second.cast("string"))
+
+    others = F.sequence(F.lit(0), F.col("outer") - 1)
+    with_main = F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda j: F.struct(to(own, j, "-").alias("block"), F.lit(True).alias("apart")))
+    with_own = F.transform(others, lambda i: F.struct(to(F.least(own, i), F.greatest(own, i), "+").alias("block"), F.lit(False).alias("apart")))
+    of_main = F.transform(others, lambda i: F.struct(to(i, home, "-").alias("block"), F.lit(False).alias("apart")))
+    alone = F.array(F.struct(F.lit("all").alias("block"), F.lit(False).alias("apart")))
+    parts = F.when(F.col("size") <= BLOCK, alone).when(F.col("outside"), F.concat(with_main, with_own)).otherwise(of_main)
+    dealt = met.select("token", "cid", "component", F.explode(parts).alias("to"))
+    return dealt.select("token", "cid", "component", "to.apart", "to.block")
 
 
 def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -356,17 +446,14 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
     classes = cut(
         rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.max("low").alias("low"), F.min("doc_id").alias("least"))
     )
-    prefix = _prefixes(_tokens(keyed, width, measure, frequent), classes, measure)
-    prefix = cut(prefix)
+    prefix, lists = _prefixes(_tokens(keyed, width, measure, frequent), classes, measure)
     counts = cut(prefix.groupBy("token").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first <> last").select("token"))
     prefix = cut(prefix.join(counts, "token", "left_semi"))
-    reps = cut(classes.join(prefix.select("cid").distinct(), "cid", "left_semi").select("cid", "key"))
-    sets = cut(_sets(keyed, reps, width))
-    links = None
-    for number in range(ROUNDS):
-        found = _joined(_first_round(_labelled(prefix, links), number), sets, measure)
-        links = cut(found if links is None else found.unionByName(links))
-    links = cut(_joined(_last_round(cut(_labelled(prefix, links))), sets, measure).unionByName(links))
+    hopes = _connected(prefix, lambda rows: _hopes(rows, lists, measure))
+    clusters = cut(components(hopes).select(F.col("component").alias("token"), F.col("vertex").alias("cid")))
+    sets = cut(_sets(keyed, cut(classes.join(clusters.select("cid"), "cid", "left_semi").select("cid", "key")), width))
+    small = cut(clusters.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") <= BLOCK).select("token"))
+    links = _connected(clusters, lambda rows: _joined(rows, sets, measure), small)
     labels = cut(components(links).withColumnRenamed("vertex", "cid"))
     named = classes.join(labels, "cid", "left").select("cid", F.coalesce("component", "cid").alias("component"), "least")
     smallest = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
