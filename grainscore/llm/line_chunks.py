@@ -1,11 +1,14 @@
-"""Line dedup over content-defined chunks.
-
-Every line has a hash; a rolling sum over the hashes of the last ``ROLL``
-lines ends a chunk where its low bits vanish, so that the same passage is cut
-at the same places wherever it stands, and a chunk holds at least ``LEAST``
-and at most ``MOST`` lines.  A chunk of several lines that occurs more than
-once in the corpus stays where it stands first, in the order of ``doc_id`` and
-place, and is removed everywhere else.
+"""Line dedup over overlapping chunks of neighboring lines.
+
+Every two neighboring lines are a chunk unless both are blank; several blank
+lines in a row make a chunk with the line before and the line after them.
+A passage of two or more lines that stands twice is thus made up of chunks that
+stand twice, wherever it begins and whatever is around it, and no rule of
+cutting can miss it.  The lines of every occurrence of a chunk but the first, in
+the order of ``doc_id`` and place, are removed.  So each removed line stands in
+an earlier place that keeps it; a first occurrence loses a line only to another
+chunk, or to itself where it overlaps, that began before; and a line without a
+repeated neighbor stays, even if it stands twice.
 
 Occurrences are first counted by chunk hash, on rows of a few bytes; only
 chunks whose hash repeats are compared, and they are grouped by hash and by
@@ -13,11 +16,16 @@ their bytes, so chunks that merely collide stay apart.  The grouping sums up
 before its exchange, so a passage in a third of all documents costs one row
 per task.
 
+``boundaries`` and ``chunks`` cut a text into chunks that do not overlap, where
+a rolling sum over the hashes of the last ``ROLL`` lines vanishes; such chunks
+miss most short passages, and ``dedup`` does not use them.
+
 Defined results: a null text stays null and has no lines, an empty one has one
 empty line; chunks of blank lines alone are never removed; of equal documents
-the first is whole and the others lose every repeated chunk; repeated rows of
-one id and text count as one document; null ids come before others; lines end with ``\\n``, and a text whose last chunk goes loses the line
-end before it too; an empty table gives no rows.
+of several lines, not all blank, the first loses no more than it would alone and
+the others lose every line; repeated rows of one id and text count as one
+document; null ids come before others; lines end with ``\\n``, and a text whose
+last lines go loses the line end before them too; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +44,7 @@ LEAST = 2
 MOST = 16
 MASK = 3
 SALTS = 64
+ROWS = 1 << 16
 _RATE = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
@@ -77,23 +86,44 @@ def _digests(part: str) -> tuple[int, int]:
     return tuple(h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64_intdigest(data, seed=1), xxhash.xxh64_intdigest(data, seed=2)))
 
 
-def _multi(text: str | None) -> list[tuple[int, int, str]]:
-    return [c for c in chunks(text) if c[1] > 1 and c[2].strip()] if text is not None else []
+def spans(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """(first line, end) of the overlapping chunks of a text, by first line."""
+    filled = [bool(x.strip()) for x in lines]
+    n = len(lines)
+    for at in range(n - 1):
+        if filled[at] or filled[at + 1]:
+            yield at, at + 2
+        elif at == 0 or filled[at - 1]:
+            end = next((k for k in range(at + 2, n) if filled[k]), n)
+            if at > 0 or end < n:
+                yield max(0, at - 1), min(n, end + 1)
 
 
 def _occurrences(keyed: DataFrame) -> DataFrame:
-    """Chunks of several lines: k1, k2, doc_id, place, d1, d2."""
+    """Chunks of several lines: k1, k2, doc_id, place (the number of the chunk in its text), d1, d2."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [(i, c) for i, t in enumerate(part.column(3).to_pylist()) for c in _multi(t)]
-                owners = pa.array([i for i, _ in found], pa.int64())
-                digests = [_digests(c[2]) for _, c in found]
-                arrays = [part.column(k).take(owners) for k in range(3)]
-                arrays += [pa.array([c[0] for _, c in found], pa.int32()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "doc_id", "place", "d1", "d2"])
+            owners, places, digests = [], [], []
+
+            def rows() -> pa.RecordBatch:
+                arrays = [batch.column(k).take(pa.array(owners, pa.int64())) for k in range(3)]
+                arrays += [pa.array(places, pa.int32()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1))]
+                return pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "doc_id", "place", "d1", "d2"])
+
+            for owner in range(batch.num_rows):
+                text = batch.column(3)[owner].as_py()
+                if text is None:
+                    continue
+                lines = text.split("\n")
+                for place, (start, end) in enumerate(spans(lines)):
+                    owners.append(owner)
+                    places.append(place)
+                    digests.append(_digests("\n".join(lines[start:end])))
+                    if len(owners) >= ROWS:
+                        yield rows()
+                        owners, places, digests = [], [], []
+            yield rows()
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
     return keyed.select("k1", "k2", "doc_id", "text").mapInArrow(batches, f"k1 long, k2 long, doc_id {kind}, place int, d1 long, d2 long")
@@ -109,8 +139,8 @@ def _candidates(joined: DataFrame) -> DataFrame:
                 found = []
                 for text, wanted in zip(texts.slice(at, 256).to_pylist(), places.slice(at, 256).to_pylist()):
                     if wanted:
-                        wanted = set(wanted)
-                        found += [c[2] for c in _multi(text) if c[0] in wanted]
+                        wanted, lines = set(wanted), text.split("\n")
+                        found += ["\n".join(lines[start:end]) for place, (start, end) in enumerate(spans(lines)) if place in wanted]
                 digests = [_digests(c) for c in found]
                 arrays = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(found, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["d1", "d2", "chunk"])
@@ -119,17 +149,16 @@ def _candidates(joined: DataFrame) -> DataFrame:
 
 
 def _kept(joined: DataFrame, schema: str) -> DataFrame:
-    """Texts without the chunks at ``places``: doc_id, text, n_lines, n_removed, carried."""
+    """Texts without the lines of the chunks at ``places``: doc_id, text, n_lines, n_removed, carried."""
 
     def cut_text(text: str | None, wanted: list[int] | None) -> tuple[str | None, int, int]:
         if text is None:
             return None, 0, 0
-        n = text.count("\n") + 1
         if not wanted:
-            return text, n, 0
-        wanted = set(wanted)
-        parts = chunks(text)
-        return "\n".join([c[2] for c in parts if c[0] not in wanted]), n, sum(c[1] for c in parts if c[0] in wanted)
+            return text, text.count("\n") + 1, 0
+        wanted, lines = set(wanted), text.split("\n")
+        gone = {k for place, span in enumerate(spans(lines)) if place in wanted for k in range(*span)}
+        return "\n".join([x for k, x in enumerate(lines) if k not in gone]), len(lines), len(gone)
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
