@@ -21,9 +21,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that stand in an earlier one."""
+    """Documents without the chunks of lines that stand in an earlier one.
+
+    A document that loses lines and has no word left is dropped; one that loses
+    none stays as it is, without words too.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = line_chunks.dedup(docs, carry=others)
+    kept = line_chunks.dedup(docs, carry=others).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long").alias("n_chars")}
     return kept.select(*(new.get(c, F.col("carried")[c].alias(c)) for c in docs.columns))
 

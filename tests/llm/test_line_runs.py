@@ -5,6 +5,7 @@ import random
 import duckdb
 import pytest
 
+import corpus_pipeline
 from grainscore.llm import line_chunks
 
 
@@ -55,3 +56,13 @@ def test_copies_with_blank_lines_and_single_lines(spark):
     text = "\n\n\na\n\n\n\nb\n\nc\n\n\n"
     got = kept(spark, [(1, text), (2, text), (3, "once\nmore"), (4, "x\nmore\ny"), (5, "more"), (6, "\n\n\n\n"), (7, "\n\n\n\n"), (8, "q\nq\nq\nq")])
     assert got == {1: text, 2: "", 3: "once\nmore", 4: "x\nmore\ny", 5: "more", 6: "\n\n\n\n", 7: "\n\n\n\n", 8: "q"}
+
+
+def test_the_pipeline_drops_documents_without_a_line_left(spark):
+    text = "one line\nand more"
+    texts = [(1, text), (2, text), (3, text + "\n\n"), (4, text + "\nown"), (5, None), (6, ""), (7, "\n\n"), (8, "\n\n"), (9, "alone"), (10, "alone")]
+    docs = spark.createDataFrame([(d, t, "en", len(t or "")) for d, t in texts], "doc_id long, text string, lang string, n_chars long")
+    got = corpus_pipeline.line_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    want = {1: text, 4: "own", 5: None, 6: "", 7: "\n\n", 8: "\n\n", 9: "alone", 10: "alone"}
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
