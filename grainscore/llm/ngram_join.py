@@ -217,13 +217,13 @@ def _key_filter(keys: DataFrame, n: int) -> np.ndarray:
 
 
 def _sets(keyed: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """Sets of the texts that stand for the classes in ``reps`` (cid, key): cid, n, tokens as bytes."""
+    """Sets of the texts that stand for the classes in ``reps`` (cid, key), one row each: cid, n, tokens as bytes."""
     found = _key_filter(reps, reps.count())
     shared = keyed.sparkSession.sparkContext.broadcast(found)
     bits = len(found) << 6
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, met = shared.value, {}
         for batch in stream:
             wanted = np.ones(batch.num_rows, bool)
             for column in (0, 1):
@@ -232,12 +232,22 @@ def _sets(keyed: DataFrame, reps: DataFrame, width: int) -> DataFrame:
             part = batch.filter(pa.array(wanted))
             for at in range(0, part.num_rows, ROWS):
                 piece = part.slice(at, ROWS)
-                sets = shingle_sets(piece.column(2).to_pylist(), width)
-                arrays = [piece.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+                once = {}
+                for key, tokens in zip(piece.column(0).to_pylist(), shingle_sets(piece.column(2).to_pylist(), width)):
+                    # rows repeated with equal id and text; the few that other tasks have too go after the join
+                    name = key, class_of(tokens)
+                    if name in met:
+                        continue
+                    if len(met) >= SEEN_CLASSES:
+                        met.clear()
+                    met[name] = True
+                    once[name] = tokens
+                keys, cids, sets = [k for k, _ in once], [c for _, c in once], list(once.values())
+                arrays = [pa.array(keys, pa.int64()), pa.array(cids, pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "cid", "n", "tokens"])
 
     read = keyed.select("key", F.xxhash64("key").alias("again"), "text").mapInArrow(batches, "key long, cid long, n int, tokens binary")
-    return read.join(reps, ["key", "cid"], "left_semi").select("cid", "n", "tokens")
+    return read.join(reps, ["key", "cid"], "left_semi").dropDuplicates(["key", "cid"]).select("cid", "n", "tokens")
 
 
 def trie_join(sets: list[np.ndarray], measure: Measure, known: list[int], apart: list[bool] | None = None) -> list[tuple[int, int]]:
