@@ -9,7 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from grainscore.llm import bpe, cap_filters, chat_format, decontaminate, language, line_chunks, ngram_join, substring, toxicity, url_filter
+from grainscore.llm import (
+    bpe,
+    cap_filters,
+    chat_format,
+    decontaminate,
+    filter_audit,
+    language,
+    line_chunks,
+    ngram_join,
+    quality_trees,
+    substring,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -276,6 +290,114 @@ def _(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(text, 256).alias("kept_sha256"))
 
 
+# 11. Filter interaction audit
+
+FILTERS = {
+    "A": "size(words) < 200",
+    "B": "100 * size(array_distinct(words)) < 50 * size(words)",
+    "C": "100 * (char_length(text) - char_length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * char_length(text)",
+    "D": "text RLIKE '[#$%&*|]'",
+    "E": filter_audit.COPY_OF_SMALLER,
+}
+
+AUDIT_SQL = """
+WITH texts AS (
+  SELECT row_number() OVER () AS place, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents
+), marks AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY doc_id
+), judged AS (
+  SELECT place, part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+  FROM texts LEFT JOIN marks USING (doc_id)
+), failed AS (
+  SELECT *, list_concat(CASE WHEN a THEN ['A'] ELSE [] END, CASE WHEN b THEN ['B'] ELSE [] END, CASE WHEN c THEN ['C'] ELSE [] END,
+    CASE WHEN d THEN ['D'] ELSE [] END, CASE WHEN e THEN ['E'] ELSE [] END) AS fails
+  FROM judged
+), letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+  SELECT v.f || w.f || x.f || y.f || z.f AS filter_order FROM letters v, letters w, letters x, letters y, letters z
+  WHERE len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5
+), steps AS (
+  SELECT part, filter_order, step, filter_order[step] AS f, string_split(filter_order[1 : step - 1], '') AS before
+  FROM (SELECT DISTINCT part FROM texts), orders, (SELECT unnest(range(1, 6)) AS step)
+), grouped AS (SELECT part, fails, good, bad, count(*) AS n FROM failed GROUP BY ALL
+), met AS (
+  SELECT part, filter_order, step, f,
+    sum(n) FILTER (NOT list_has_any(fails, before) AND NOT list_contains(fails, f)) AS kept,
+    sum(n) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, before)) AS removed,
+    sum(n) FILTER (list_contains(fails, f) AND list_has_any(fails, before)) AS redundant,
+    sum(n) FILTER (fails = [f]) AS unique_fails,
+    sum(n) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, before) AND good) AS good_lost,
+    sum(n) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, before) AND bad) AS toxic_lost
+  FROM steps JOIN grouped USING (part) GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(coalesce(removed, 0)) OVER (PARTITION BY part, f)::BIGINT AS shapley
+FROM met
+"""
+
+
+@register("op11_filter_audit", AUDIT_SQL)
+def _(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), FILTERS, table(spark, sf_dir, "labels"))
+
+
+# 12. Vector code compression
+
+
+def _codes_sql() -> str:
+    """The rounds one after the other; a component is one row."""
+    steps = [
+        """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS row, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), spots AS MATERIALIZED (
+  SELECT row, (spot - 1) // (len(embedding) // 8) AS p, (spot - 1) % (len(embedding) // 8) AS k, floor(4096 * embedding[spot]::DOUBLE)::BIGINT AS x
+  FROM (SELECT row, embedding, unnest(range(1, len(embedding) + 1)) AS spot FROM kept)
+), book0 AS MATERIALIZED (SELECT row AS entry, p, k, x FROM spots WHERE row < 16)"""
+    ]
+    for n in range(7):
+        steps.append(f"""near{n} AS MATERIALIZED (
+  SELECT row, p, arg_min(entry, (gap, entry)) AS entry, min(gap) AS gap
+  FROM (SELECT s.row, s.p, b.entry, sum((s.x - b.x) * (s.x - b.x)) AS gap FROM spots s JOIN book{n} b USING (p, k) GROUP BY ALL) GROUP BY row, p
+)""")
+        if n < 6:
+            steps.append(f"""mean{n} AS (
+  SELECT entry, p, k, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM spots JOIN near{n} USING (row, p) GROUP BY entry, p, k
+), book{n + 1} AS MATERIALIZED (SELECT entry, p, k, coalesce(m.x, b.x)::BIGINT AS x FROM book{n} b LEFT JOIN mean{n} m USING (entry, p, k))""")
+    steps.append("""coded AS (
+  SELECT row, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, sum(gap)::BIGINT AS error FROM near6 GROUP BY row
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, entry, k)) FROM book6) AS codebooks_sha256
+FROM kept JOIN coded USING (row)
+""")
+    return ", ".join(steps)
+
+
+@register("op12_vector_codes", _codes_sql())
+def _(spark, sf_dir):
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+# 13. Quality classifier
+
+
+@register("op13_quality_trees")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(fold(5) == 0, F.lit(False))
+    model = quality_trees.fit(table(spark, sf_dir, "labels").where(~held), docs)
+    return quality_trees.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 # The pipeline
 
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -48,7 +48,7 @@ class Groups:
         self.up[max(a, b)] = min(a, b)
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_sql(spark, db, number):
     name = next(n for n in entry.queries() if n.startswith(f"op{number}_"))
     if name not in entry.oracle_sql():
