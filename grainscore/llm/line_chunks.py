@@ -1,14 +1,26 @@
-"""Line dedup over overlapping chunks of neighboring lines.
-
-Every two neighboring lines are a chunk unless both are blank; several blank
-lines in a row make a chunk with the line before and the line after them.
-A passage of two or more lines that stands twice is thus made up of chunks that
-stand twice, wherever it begins and whatever is around it, and no rule of
-cutting can miss it.  The lines of every occurrence of a chunk but the first, in
-the order of ``doc_id`` and place, are removed.  So each removed line stands in
-an earlier place that keeps it; a first occurrence loses a line only to another
-chunk, or to itself where it overlaps, that began before; and a line without a
-repeated neighbor stays, even if it stands twice.
+"""Line dedup over content-defined chunks of lines.
+
+A rule decides from the lines alone where a text is cut, so a passage is cut
+alike wherever it stands; what lies between two cuts is a chunk.  Boundaries of
+one rule miss passages that end within a chunk, so several rules are used and
+the union of their chunks of two or more lines:
+
+* a rolling sum over the hashes of the last ``ROLL`` lines vanishes
+  (``boundaries``), for chunks of several lines;
+* under each of ``OWN_RULES`` bits of a line's own hash, a line is cut off from
+  the line before it, or from the line after it.  Two neighboring lines are a
+  chunk of one rule in four whatever is around them, so the share of pairs that
+  no rule has is 0.75 to the power of ``OWN_RULES``, about one in 10^8;
+* the same under ``GAP_RULES`` more bits, with no cut at several blank lines in
+  a row, so that these go with the lines around them;
+* in a run of equal lines, after every second line, from the first or from the
+  second one.
+
+The lines of every occurrence of a chunk but the first, in the order of
+``doc_id`` and place, are removed.  So each removed line stands in an earlier
+place that keeps it; a first occurrence loses a line only to another chunk, or
+to itself where it overlaps, that began before; and a line without a repeated
+neighbor stays, even if it stands twice.
 
 Occurrences are first counted by chunk hash, on rows of a few bytes; only
 chunks whose hash repeats are compared, and they are grouped by hash and by
@@ -16,10 +28,6 @@ their bytes, so chunks that merely collide stay apart.  The grouping sums up
 before its exchange, so a passage in a third of all documents costs one row
 per task.
 
-``boundaries`` and ``chunks`` cut a text into chunks that do not overlap, where
-a rolling sum over the hashes of the last ``ROLL`` lines vanishes; such chunks
-miss most short passages, and ``dedup`` does not use them.
-
 Defined results: a null text stays null and has no lines, an empty one has one
 empty line; chunks of blank lines alone are never removed; of equal documents
 of several lines, not all blank, the first loses no more than it would alone and
@@ -43,6 +51,8 @@ ROLL = 2
 LEAST = 2
 MOST = 16
 MASK = 3
+OWN_RULES = 64
+GAP_RULES = 48
 SALTS = 64
 ROWS = 1 << 16
 _RATE = 0x9E3779B97F4A7C15
@@ -69,34 +79,50 @@ def boundaries(hashes: list[int]) -> list[int]:
     return ends
 
 
-def chunks(text: str) -> list[tuple[int, int, str]]:
-    """(first line, lines, chunk text) of a text."""
-    lines = text.split("\n")
-    hashes = [xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) for x in lines]
-    out, start = [], 0
-    for end in boundaries(hashes):
-        out.append((start, end - start, "\n".join(lines[start:end])))
-        start = end
-    return out
-
-
 def _digests(part: str) -> tuple[int, int]:
     """Two signed 64-bit hashes."""
     data = part.encode("utf-8", "replace")
     return tuple(h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64_intdigest(data, seed=1), xxhash.xxh64_intdigest(data, seed=2)))
 
 
-def spans(lines: list[str]) -> Iterator[tuple[int, int]]:
-    """(first line, end) of the overlapping chunks of a text, by first line."""
-    filled = [bool(x.strip()) for x in lines]
+def _cuts(lines: list[str], filled: list[bool], hashes: list[int]) -> list[int]:
+    """For every place between two lines the rules that cut there, as bits."""
     n = len(lines)
+    both, own, turns = (1 << OWN_RULES + GAP_RULES) - 1, (1 << OWN_RULES) - 1, OWN_RULES + GAP_RULES
+    places, run = [], 0
     for at in range(n - 1):
-        if filled[at] or filled[at + 1]:
-            yield at, at + 2
-        elif at == 0 or filled[at - 1]:
-            end = next((k for k in range(at + 2, n) if filled[k]), n)
-            if at > 0 or end < n:
-                yield max(0, at - 1), min(n, end + 1)
+        here, there = (own if not filled[k] and (k > 0 and not filled[k - 1] or k + 1 < n and not filled[k + 1]) else both for k in (at, at + 1))
+        # a set bit cuts after the line, a clear one before it
+        cuts = hashes[at] & here | ~hashes[at + 1] & there
+        run = run + 1 if hashes[at] == hashes[at + 1] else 0
+        places.append(cuts | (1 << run % 2 if run else 3) << turns)
+    rolling = 1 << turns + 2
+    for end in boundaries([h & _ALL for h in hashes])[:-1]:
+        places[end - 1] |= rolling
+    return places
+
+
+def spans(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, end) of the chunks of two or more lines, not all blank, that any rule cuts a text into."""
+    n = len(lines)
+    if n < 2:
+        return []
+    filled = [bool(x.strip()) for x in lines]
+    places = _cuts(lines, filled, [xxhash.xxh3_128_intdigest(x.encode("utf-8", "replace")) for x in lines])
+    every = (1 << OWN_RULES + GAP_RULES + 3) - 1
+    before, out = every, []
+    for start in range(n - 1):
+        # the rules under which a chunk begins here and has not ended
+        live, end, some = before & ~places[start], start + 1, filled[start]
+        before = places[start]
+        while live:
+            some = some or filled[end]
+            end += 1
+            cut = every if end == n else places[end - 1]
+            if some and live & cut:
+                out.append((start, end))
+            live &= ~cut
+    return out
 
 
 def _occurrences(keyed: DataFrame) -> DataFrame:

@@ -66,3 +66,21 @@ def test_the_pipeline_drops_documents_without_a_line_left(spark):
     assert got.columns == docs.columns
     want = {1: text, 4: "own", 5: None, 6: "", 7: "\n\n", 8: "\n\n", 9: "alone", 10: "alone"}
     assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+
+
+def test_chunks_of_a_passage_do_not_depend_on_its_surroundings():
+    draw = random.Random(9)
+    passage = [f"p{i}" for i in range(6)]
+    for _ in range(50):
+        before, after = ([f"s{draw.random()}" for _ in range(draw.randint(0, 5))] for _ in range(2))
+        found = set(line_chunks.spans(before + passage + after))
+        assert {(len(before) + i, len(before) + i + 2) for i in range(5)} <= found
+
+
+def test_no_rule_is_needed_twice_and_long_chunks_come_from_rolling_sums():
+    lines = [f"line {i}" for i in range(400)]
+    found = line_chunks.spans(lines)
+    assert len(found) == len(set(found))
+    ends = [0, *line_chunks.boundaries([line_chunks.xxhash.xxh3_128_intdigest(x.encode()) & line_chunks._ALL for x in lines])]
+    assert {(a, b) for a, b in zip(ends, ends[1:]) if b - a > 1} <= set(found)
+    assert line_chunks.spans(["", " ", "", ""]) == [] and line_chunks.spans(["x"]) == []

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from test_line_runs import by_brute_force
 from tools.compare import TABLES, canonical
 
 FOLDER = "/root/testdata/sf0.001"
@@ -115,24 +116,9 @@ def test_repeats(spark, documents):
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), len(hit), hashlib.sha256(kept.encode()).hexdigest())
 
 
-def line_dedup(documents):
-    from grainscore.llm.line_chunks import chunks
-
-    seen, kept = set(), {}
-    for doc, text in documents:
-        left = []
-        for _, n, chunk in chunks(text):
-            if n == 1 or not chunk.strip() or chunk not in seen:
-                left.append(chunk)
-            if n > 1:
-                seen.add(chunk)
-        kept[doc] = "\n".join(left)
-    return kept
-
-
 def test_lines(spark, documents):
     rows = {r["doc_id"]: r["kept_sha256"] for r in entry.queries()["op10_line_dedup"](spark, FOLDER).collect()}
-    kept = line_dedup([(d, t) for d, t, _ in documents])
+    kept = by_brute_force([(d, t) for d, t, _ in documents])
     assert rows == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in kept.items()}
 
 
@@ -167,7 +153,8 @@ def test_pipeline(spark, db):
     assert first.schema == docs.schema
     kept = {r["doc_id"]: r["text"] for r in first.collect()}
     assert len(kept) > 0.95 * docs.count()
-    texts = line_dedup(sorted(kept.items()))
+    texts = by_brute_force(sorted(kept.items()))
+    texts = {d: t for d, t in texts.items() if t == kept[d] or words(t)}
     sets = {}
     for doc, text in texts.items():
         w = words(text.translate(LOWER))
