@@ -203,7 +203,7 @@ def near(rows: DataFrame, vec: str = "vec_id", embedding: str = "embedding", sim
         dealt.join(decoded.select("cid", "weight", "vector", "filters"), "cid").groupBy("length", "bucket", "i", "j").applyInArrow(group, "a long, b long, links long")
     )
     links = found.where("links IS NOT NULL").groupBy("a").agg(F.sum("links").alias("links"))
-    labels = cut(components(found.where("b IS NOT NULL").select("a", "b").distinct()))
+    labels = components(found.where("b IS NOT NULL").select("a", "b"))
     named = (
         classes.select("h1", "h2", "cid", "least", "weight")
         .join(links.withColumnRenamed("a", "cid"), "cid", "left")

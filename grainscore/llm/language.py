@@ -2,15 +2,19 @@
 
 A text is the mean of the embeddings of its hashed character n-grams; a linear
 softmax on top gives the language.  Both are trained together by stochastic
-gradient descent in numpy on a bounded sample of labelled texts.  On a part of
-the sample that training never sees, a temperature makes the probabilities
-honest, and the confidence below which a text is rejected is set such that
-about ``REJECTED`` of the rightly predicted texts there would go.
+gradient descent in numpy on a bounded sample of labelled texts: of each of
+the ``MAX_LANGUAGES`` most frequent languages at most ``SAMPLE_PER_LANGUAGE``
+texts, one an identifier, and the first ``SAMPLE_CHARS`` characters of each, or
+fewer, so that all are ``SAMPLE_TOTAL_CHARS`` at most.  On a part of the sample
+that training never sees, a temperature makes the probabilities honest, and the
+confidence below which a text is rejected is set such that about ``REJECTED`` of
+the rightly predicted texts there would go.
 
 The model is linear after the mean, so the tasks get embeddings and softmax
 multiplied out: one row of scores per bucket (buckets x languages floats).
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0
+Defined results: rows without identifier, language or letter teach nothing, and
+repeated rows once; a null text, or one without a letter, is ``und`` with score 0
 and is rejected, and so is every text when nothing could be learned; copies
 and repeated rows get equal results; ties go to the first language by name;
 an empty table gives no rows.
@@ -30,6 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from grainscore.llm import grams
+from grainscore.llm.shared import cut, temporary
 
 UNKNOWN = "und"
 SIZES = (3, 4)
@@ -41,6 +46,7 @@ REJECTED = 0.001
 # Bounds of the sample that training reads.
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_CHARS = 20_000
+SAMPLE_TOTAL_CHARS = 1 << 26
 MAX_LANGUAGES = 500
 ROWS = 256
 
@@ -55,14 +61,12 @@ class Model(NamedTuple):
 
 
 def sample(rows: DataFrame, label: str, key: str, per_label: int, max_labels: int) -> DataFrame:
-    """At most ``per_label`` rows of each label, chosen by the hash of ``key``.
+    """At most ``per_label`` rows of each of the ``max_labels`` most frequent labels, chosen by the hash of ``key``.
 
     Labels are counted first, so that only a share of the rows of a common
     label, some times ``per_label``, is sorted at all.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().limit(max_labels + 1).collect()
-    if len(counts) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
     if not counts:
         return rows.limit(0)
     dealt = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30))
@@ -145,10 +149,18 @@ def _calibrated(scores: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]], l
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Model learned from a bounded sample of the rows with a text and a language."""
+    """Model learned from a bounded sample of the rows with an identifier, a letter in the text, and a language.
+
+    Identifiers are drawn first; their number is bounded, so they are broadcast to the texts.
+    """
     read = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    drawn = sample(read, "lang", "key", SAMPLE_PER_LANGUAGE, MAX_LANGUAGES)
-    found = drawn.where(F.char_length("text") <= SAMPLE_CHARS).select("text", "lang").collect()
+    read = read.where(F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    with temporary(rows.sparkSession):
+        ids = cut(read.groupBy("key", "lang").agg(F.count("*").alias("n")).drop("n"))
+        drawn = cut(sample(ids, "lang", "key", SAMPLE_PER_LANGUAGE, MAX_LANGUAGES))
+        chars = min(SAMPLE_CHARS, SAMPLE_TOTAL_CHARS // max(1, drawn.count()))
+        texts = read.join(F.broadcast(drawn), ["key", "lang"]).select("key", "lang", F.substring("text", 1, chars).alias("text"))
+        found = texts.groupBy("key", "lang").agg(F.min("text").alias("text")).collect()
     found = sorted((r["lang"], r["text"]) for r in found if LETTER.search(r["text"]))
     return train([t for _, t in found], [name for name, _ in found])
 

@@ -48,7 +48,7 @@ from pyspark.sql.window import Window
 
 from grainscore.llm.cap_filters import forest
 from grainscore.llm.components import components
-from grainscore.llm.shared import cut
+from grainscore.llm.shared import cut, temporary
 from grainscore.llm.words import hashed_words, sequences, signed
 
 WIDTH = 5
@@ -210,9 +210,10 @@ def _key_filter(keys: DataFrame, n: int) -> np.ndarray:
         bits <<= 1
     places = keys.select(F.explode(F.array(F.pmod("key", F.lit(bits)), F.pmod(F.xxhash64("key"), F.lit(bits)))).alias("at"))
     words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits"))
+    # at most MAX_FILTER_BITS / 64 rows
+    found = words.toArrow()
     out = np.zeros(bits >> 6, np.int64)
-    for word, value in words.toLocalIterator():
-        out[word] = value
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
@@ -385,6 +386,8 @@ def _connected(rows: DataFrame, edges: Callable[[DataFrame], DataFrame], whole:
         links = cut(found if links is None else found.unionByName(links))
         if number == 0 and whole is not None:
             rows = cut(rows.join(whole, "token", "left_anti"))
+            if rows.isEmpty():
+                return links
     return cut(edges(_last_round(cut(_labelled(rows, links)))).unionByName(links))
 
 
@@ -392,7 +395,7 @@ def _labelled(prefix: DataFrame, links: DataFrame | None) -> DataFrame:
     """``prefix`` with the component of every class so far."""
     if links is None:
         return prefix.withColumn("component", F.col("cid"))
-    labels = cut(components(links).withColumnRenamed("vertex", "cid"))
+    labels = components(links).withColumnRenamed("vertex", "cid")
     return prefix.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
 
@@ -445,10 +448,21 @@ def _last_round(rows: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: Fraction = THRESHOLD) -> DataFrame:
     """doc_id, key (hash of identifier and text), n_shingles, group_id (null for empty sets), component_id of every row."""
-    measure = Measure(threshold)
-    keyed = _keyed(docs, doc, text)
-    profiles = cut(_profiles(keyed, width, measure))
-    rows = profiles.where("n IS NOT NULL")
+    with temporary(docs.sparkSession) as keep:
+        rows, of_class = _classes_in_components(_keyed(docs, doc, text), width, Measure(threshold), keep)
+    return rows.join(of_class, "cid", "left").select(
+        "doc_id",
+        "key",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.col("component").alias("group_id"),
+        F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def _classes_in_components(keyed: DataFrame, width: int, measure: Measure, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, cid of every row; cid, component, component_id of every class), kept tables."""
+    rows = keep(cut(_profiles(keyed, width, measure)))
+    profiles, rows = rows, rows.where("n IS NOT NULL")
     least = max(FREQUENT_LEAST, FREQUENT_SHARE * rows.count())
     often = profiles.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least)
     # the shares of all tokens sum up to the mean set size, so few can be this frequent
@@ -460,21 +474,14 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
     counts = cut(prefix.groupBy("token").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first <> last").select("token"))
     prefix = cut(prefix.join(counts, "token", "left_semi"))
     hopes = _connected(prefix, lambda rows: _hopes(rows, lists, measure))
-    clusters = cut(components(hopes).select(F.col("component").alias("token"), F.col("vertex").alias("cid")))
+    clusters = components(hopes).select(F.col("component").alias("token"), F.col("vertex").alias("cid"))
     sets = cut(_sets(keyed, cut(classes.join(clusters.select("cid"), "cid", "left_semi").select("cid", "key")), width))
     small = cut(clusters.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") <= BLOCK).select("token"))
     links = _connected(clusters, lambda rows: _joined(rows, sets, measure), small)
-    labels = cut(components(links).withColumnRenamed("vertex", "cid"))
+    labels = components(links).withColumnRenamed("vertex", "cid")
     named = classes.join(labels, "cid", "left").select("cid", F.coalesce("component", "cid").alias("component"), "least")
     smallest = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    of_class = cut(named.join(smallest, "component").select("cid", "component", "component_id"))
-    return rows.join(of_class, "cid", "left").select(
-        "doc_id",
-        "key",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.col("component").alias("group_id"),
-        F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    return rows, keep(cut(named.join(smallest, "component").select("cid", "component", "component_id")))
 
 
 def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -485,7 +492,9 @@ def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", width:
     found = join(docs, doc, text, width, threshold)
     best = found.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min(F.struct("doc_id", "key")).alias("best")).select("best.*")
     kept = cut(best.unionByName(found.where("group_id IS NULL").select("doc_id", "key")).select(F.col("doc_id").alias("id"), "key").distinct())
-    whole = docs.select(F.struct("*").alias("row"), F.col(doc).alias("id"), F.xxhash64(F.col(doc), F.col(text).cast("string")).alias("key"))
+    # rows of equal identifier and text may differ in their other columns: the least of them stays
+    others = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c not in (doc, text)), F.lit(1).alias("_")))
+    whole = docs.select(F.struct("*").alias("row"), others.alias("others"), F.col(doc).alias("id"), F.xxhash64(F.col(doc), F.col(text).cast("string")).alias("key"))
     same = (F.col("a.key") == F.col("b.key")) & F.col("a.id").eqNullSafe(F.col("b.id"))
     met = whole.alias("a").join(kept.alias("b"), same, "left_semi")
-    return met.groupBy("key", "id").agg(F.first("row").alias("row")).select("row.*")
+    return met.groupBy("key", "id").agg(F.min_by("row", "others").alias("row")).select("row.*")

@@ -5,10 +5,15 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of the tables written within each open ``temporary``, innermost last.
+_open: list[list[str]] = []
+
 
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z in lower case and every other letter as it is."""
@@ -37,5 +42,31 @@ def cut(frame: DataFrame) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete at the end the tables that ``cut`` writes within, but for those handed to what this yields."""
+    kept: set[str] = set()
+
+    def keep(frame: DataFrame) -> DataFrame:
+        kept.add(frame.written_to)
+        return frame
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        made = _open.pop()
+        if _open:
+            _open[-1].extend(p for p in made if p in kept)
+        for path in made:
+            if path not in kept:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

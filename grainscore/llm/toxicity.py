@@ -6,15 +6,16 @@ the strongest n-grams, scaled by their ratios, are the features of a logistic
 regression that is trained in numpy.  The model is one weight per bucket.
 
 Training reads a bounded sample of the labelled texts (at most
-``SAMPLE_PER_CLASS`` per class, each of at most ``SAMPLE_CHARS`` characters);
+``SAMPLE_PER_CLASS`` per class, one text an identifier, each of at most
+``SAMPLE_CHARS`` characters);
 scoring reads every text whole.  Clean texts weigh as much as they are more
 frequent among all labels than in the sample, so that a score stays the
 probability of the label.
 
 Defined results: a null or empty text, or one without a known n-gram, gets the
 score of no evidence; when one class has no labelled text, all get the share
-of toxic labels; rows without label teach nothing; repeated rows get equal
-scores; an empty table gives no rows.
+of toxic labels; rows without label teach nothing, repeated labels
+(toxic if any says so) and repeated rows of an identifier once; repeated rows get equal scores; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -111,11 +112,13 @@ def fit(labelled: DataFrame, docs: DataFrame, doc: str = "doc_id", label: str =
     Ids are drawn first; their number is bounded, so they are broadcast to the texts.
     """
     marks = labelled.select(F.col(doc).alias("key"), F.col(label).cast("int").alias("toxic")).where(F.col("key").isNotNull() & F.col("toxic").isin(0, 1))
+    marks = marks.groupBy("key").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     drawn = sample(marks, "toxic", "key", SAMPLE_PER_CLASS, 2)
     texts = docs.select(F.col(doc).alias("key"), F.col(text).cast("string").alias("text"))
     texts = texts.where(F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS))
-    found = sorted(tuple(r) for r in texts.join(F.broadcast(drawn), "key").select("toxic", "text").collect())
+    once = texts.join(F.broadcast(drawn), "key").groupBy("key").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
+    found = sorted((r["toxic"], r["text"]) for r in once.collect())
     total = max(1, sum(counts.values()))
     return train([t for _, t in found], [y for y, _ in found], counts.get(1, 0) / total)
 
