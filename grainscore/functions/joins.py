@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT = 64 << 20
-# Rows in memory against the bytes Spark knows of, which may be compressed.
+# Rows in memory against the bytes of a stored table, which may be compressed.
 EXPANSION = 10
+_NARROWING = ("Project", "Filter")
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -20,12 +21,22 @@ def stored_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether ``df`` is rows of a table as they are, so that Spark knows its size from the files."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in _NARROWING:
+        node = node.children().head()
+    return node.children().isEmpty()
+
+
 def number_of_parts(df: DataFrame, limit: int = BROADCAST_LIMIT) -> int:
     """Parts of ``df`` of at most ``limit`` bytes each.
 
-    A source whose size Spark does not know is measured by one aggregate.
+    The size of a stored table is that of its files and starts no job.  For
+    anything derived, Spark's estimate is that of what it is derived from, so
+    the rows are measured by one aggregate.
     """
-    size = stored_bytes(df) * EXPANSION
+    size = stored_bytes(df) * EXPANSION if is_stored(df) else 1 << 51
     if size > 1 << 50:
         size = df.select((F.octet_length(F.to_json(F.struct("*"))) + 16).alias("n")).agg(F.sum("n")).first()[0] or 0
     return max(1, -(-size // limit))

@@ -7,12 +7,13 @@ the parse again for the range sample.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainscore import fixed_values as fixed
 from grainscore.functions import text as tx
 from grainscore.plans.rollup import repo_summary
+from grainscore.plans.scoring import placed
 from grainscore.sources.corpus import KEYS
 
 
@@ -106,49 +107,54 @@ def _summary_json() -> Column:
     )
 
 
-def json_documents(stored: DataFrame) -> DataFrame:
-    """One JSON document per repository, as pieces ``(repo_id, section, …, piece)`` in global order.
+def json_documents(stored: DataFrame, folder: str, timestamp: Column | None = None) -> DataFrame:
+    """One JSON document per repository, as pieces ``(repo_id, piece_no, piece)``, by way of a table in ``folder``.
 
-    Concatenating a repository's pieces gives its document.  A document is never
-    assembled in one row, so its size is not limited by a task; the first file
-    of each repository is matched on (repo_id, path), which spreads a large
-    repository over all tasks.
+    Concatenating a repository's pieces by number (from 1) gives its document;
+    ``timestamp`` is the time of the report, now by default.  All pieces are
+    sorted once and get their places from the sort, and a file has a comma
+    before it unless it stands right behind its document's opening.  So nothing
+    depends on keys being unique or known: rows of one path, equal rows and
+    files without a repository or path are entries of their own.  A document is
+    never assembled in one row, and a large repository is spread over all tasks.
     """
-    order = F.struct((~_analyzed()).alias("later"), (-_score()).alias("rank"), F.col("path").alias("path"))
-    first = stored.groupBy("repo_id").agg(F.min(order).alias("head")).select(
-        "repo_id", F.col("head.path").alias("path"), F.lit(True).alias("is_first")
-    )
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     entries = json_rows(stored, later=~_analyzed(), rank=-_score())
     shown = [c for c in entries.columns if c not in ("repo_id", "later", "rank")]
-    files = (
-        entries.select(*KEYS, "later", "rank", F.to_json(F.struct(*shown)).alias("entry"))
-        .join(first, list(KEYS), "left")
-        .select(
-            "repo_id",
-            F.lit(1).alias("section"),
-            "later",
-            "rank",
-            "path",
-            F.concat(F.when(F.col("is_first"), F.lit("")).otherwise(F.lit(",")), F.col("entry")).alias("piece"),
-        )
-    )
-    now = F.date_format(
-        F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
-    )
+    files = entries.select("repo_id", F.lit(1).alias("section"), "later", "rank", "path", F.to_json(F.struct(*shown)).alias("piece"))
     summary = repo_summary(stored)
-    head = F.to_json(F.struct(F.col("repo_id").alias("scan_path"), now.alias("timestamp"), _summary_json().alias("summary")))
-    frame = lambda section, piece: summary.select(
-        "repo_id", F.lit(section).alias("section"), F.lit(False).alias("later"), F.lit(0).alias("rank"),
-        F.lit("").alias("path"), piece.alias("piece"),
-    )
+    time = F.coalesce(now if timestamp is None else timestamp, F.lit(""))
+    head = F.to_json(F.struct(F.coalesce("repo_id", F.lit("")).alias("scan_path"), time.alias("timestamp"), _summary_json().alias("summary")))
+
+    def frame(section: int, piece: Column) -> DataFrame:
+        none = (F.lit(False).alias("later"), F.lit(0).alias("rank"), F.lit("").alias("path"))
+        return summary.select("repo_id", F.lit(section).alias("section"), *none, piece.alias("piece"))
+
     opening = frame(0, F.concat(F.regexp_replace(head, r"\}\z", ""), F.lit(',"files":[')))
-    closing = frame(2, F.lit("]}"))
-    return opening.unionByName(files).unionByName(closing).orderBy("repo_id", "section", "later", "rank", "path")
+    pieces = opening.unionByName(files).unionByName(frame(2, F.lit("]}")))
+    written = placed(pieces.orderBy("repo_id", "section", "later", "rank", "path", "piece"), folder, "place")
+    # one row per repository
+    starts = written.where("section = 0").select(F.col("repo_id").alias("of"), F.col("place").alias("start"))
+    met = written.join(starts, F.col("repo_id").eqNullSafe(F.col("of")))
+    follows = (F.col("section") == 1) & (F.col("place") > F.col("start") + 1)
+    return met.select(
+        "repo_id", (F.col("place") - F.col("start") + 1).alias("piece_no"), F.concat(F.when(follows, F.lit(",")).otherwise(F.lit("")), F.col("piece")).alias("piece")
+    )
 
 
-def write_json_documents(stored: DataFrame, path: str) -> None:
-    """Write the documents as text, one folder per repository; parts in name order form the document."""
-    json_documents(stored).select("repo_id", "piece").write.mode("overwrite").partitionBy("repo_id").text(path)
+def write_json_documents(stored: DataFrame, path: str, timestamp: Column | None = None) -> None:
+    """Write the documents below ``path/documents``, one folder per repository; parts in name order form the document."""
+    pieces = json_documents(stored, f"{path}/pieces", timestamp).orderBy("repo_id", "piece_no")
+    pieces.select("repo_id", "piece").write.mode("overwrite").partitionBy("repo_id").text(f"{path}/documents")
+
+
+def _files_schema(detectors: list[str]) -> str:
+    """Columns of the written ``files`` table; fixed, as a JSON reader can't tell the types of fields that are absent."""
+    scores = ", ".join(f"{n}: double" for n in detectors)
+    return (
+        "path string, vibe_score int, skipped boolean, skip_reason string, error string, score_label string, "
+        f"detector_scores struct<{scores}>, findings array<string>, repo_id string"
+    )
 
 
 def write_reports(stored: DataFrame, path: str, file_format: str = "json", by_repo: bool = False) -> None:
@@ -156,3 +162,19 @@ def write_reports(stored: DataFrame, path: str, file_format: str = "json", by_re
     files = json_rows(stored).write.mode("overwrite").format(file_format)
     (files.partitionBy("repo_id") if by_repo else files).save(f"{path}/files")
     repo_summary(stored).write.mode("overwrite").format(file_format).save(f"{path}/summary")
+
+
+def replace_repositories(stored: DataFrame, path: str, file_format: str = "parquet") -> None:
+    """Put the reports of the repositories in ``stored`` into the tables below ``path``; all others stay as they are.
+
+    Both tables are partitioned by ``repo_id`` and overwritten partition by
+    partition, so a re-score of one repository writes that repository alone.
+    """
+    for name, rows in (("files", json_rows(stored)), ("summary", repo_summary(stored))):
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.format(file_format).partitionBy("repo_id").save(f"{path}/{name}")
+
+
+def read_files(spark: SparkSession, path: str, detectors: list[str], file_format: str = "parquet") -> DataFrame:
+    """The written ``files`` table with all its columns, absent fields null."""
+    return spark.read.format(file_format).schema(_files_schema(detectors)).load(f"{path}/files")

@@ -20,7 +20,7 @@ from grainscore.functions import text as tx
 from grainscore.functions.patterns import literal
 from grainscore.operators import lines as ln
 from grainscore.operators import syntax
-from grainscore.operators.registry import Detector, builtin_detectors
+from grainscore.operators.registry import Detector, FrameDetector, builtin_detectors
 from grainscore.sources.corpus import KEYS, admit
 
 
@@ -44,10 +44,7 @@ def with_measures(prepared: DataFrame, detectors: Sequence[Detector]) -> DataFra
     return prepared
 
 
-def detect(files: DataFrame, detectors: Sequence[Detector] | None = None) -> DataFrame:
-    """One row per file: keys, ``status``, ``skip_reason``, ``error`` and, per detector,
-    ``<name>_score`` and ``<name>_findings``."""
-    detectors = builtin_detectors() if detectors is None else detectors
+def _in_row(files: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
     source = prepare(files) if any(d.uses_lines for d in detectors) else parse(files)
     failed = "CASE WHEN parse_status = 'error' THEN concat('analysis error: ', parse_error) END"
     error = f"coalesce(CASE WHEN skip_reason IS NULL THEN read_error END, {failed})"
@@ -60,7 +57,42 @@ def detect(files: DataFrame, detectors: Sequence[Detector] | None = None) -> Dat
     return scored.selectExpr(*KEYS, "status", "skip_reason", "error", *columns)
 
 
-def score_files(files: DataFrame, detectors: Sequence[Detector] | None = None) -> DataFrame:
+def _from_frames(found: DataFrame, files: DataFrame, frames: Sequence[FrameDetector]) -> DataFrame:
+    """``found`` with the scores and findings of frame detectors, met by null-safe keys.
+
+    Only keys, scores and findings are exchanged.
+    """
+    for d in frames:
+        source = parse(files).where("parse_status <> 'error'") if d.uses_facts else admit(files)
+        rows = d.rows(source.where("skip_reason IS NULL AND read_error IS NULL"))
+        same = found["repo_id"].eqNullSafe(rows["_repo_id"]) & found["path"].eqNullSafe(rows["_path"])
+        found = found.join(rows, same, "left").drop("_repo_id", "_path")
+    errors = ", ".join(f"{d.name}_error" for d in frames)
+    failed = f"CASE WHEN status = 'analyzed' THEN coalesce({errors}) END"
+    own = {f"{d.name}_{part}" for d in frames for part in ("score", "findings", "error")}
+    kept = [c for c in found.columns if c not in own]
+    of_frames = []
+    for d in frames:
+        of_frames.append(f"CASE WHEN _status = 'analyzed' THEN coalesce({d.name}_score, 0.0D) END AS {d.name}_score")
+        of_frames.append(f"CASE WHEN _status = 'analyzed' THEN coalesce({d.name}_findings, {tx.EMPTY}) END AS {d.name}_findings")
+    judged = found.selectExpr("*", f"{failed} AS _failed").selectExpr("*", "CASE WHEN _failed IS NOT NULL THEN 'error' ELSE status END AS _status")
+    changed = {"status": "_status", "error": "coalesce(error, concat('analysis error: ', _failed))"}
+    for c in kept:
+        if c.endswith(("_score", "_findings")):
+            changed[c] = f"CASE WHEN _status = 'analyzed' THEN {c} END"
+    return judged.selectExpr(*(f"{changed.get(c, c)} AS {c}" for c in kept), *of_frames)
+
+
+def detect(files: DataFrame, detectors: Sequence[Detector | FrameDetector] | None = None) -> DataFrame:
+    """One row per file: keys, ``status``, ``skip_reason``, ``error`` and, per detector,
+    ``<name>_score`` and ``<name>_findings``."""
+    detectors = builtin_detectors() if detectors is None else detectors
+    frames = [d for d in detectors if isinstance(d, FrameDetector)]
+    found = _in_row(files, [d for d in detectors if not isinstance(d, FrameDetector)])
+    return _from_frames(found, files, frames) if frames else found
+
+
+def score_files(files: DataFrame, detectors: Sequence[Detector | FrameDetector] | None = None) -> DataFrame:
     """File results: ``final_score``, ``label``, ``color``, ``raw``, ``weighted``, ``findings``.
 
     Scores are NULL and findings empty for skipped and error rows.
@@ -81,7 +113,7 @@ def score_files(files: DataFrame, detectors: Sequence[Detector] | None = None) -
     )
 
 
-def detector_rows(found: DataFrame, detectors: Sequence[Detector] | None = None) -> DataFrame:
+def detector_rows(found: DataFrame, detectors: Sequence[Detector | FrameDetector] | None = None) -> DataFrame:
     """Long form of ``detect``: ``(repo_id, path, detector, score, findings)`` of analyzed files."""
     detectors = builtin_detectors() if detectors is None else detectors
     rows = [
@@ -102,18 +134,23 @@ def ranked(results: DataFrame) -> DataFrame:
     return results.orderBy(analyzed.desc(), F.coalesce("final_score", F.lit(0)).desc(), *KEYS)
 
 
-def numbered(results: DataFrame, folder: str) -> DataFrame:
-    """``results`` with ``file_rank``, their place (from 1) in the order of ``ranked``, by way of a table in ``folder``.
+def placed(ordered: DataFrame, folder: str, place: str) -> DataFrame:
+    """``ordered`` (a globally sorted frame) with each row's ``place`` (from 1), by way of a table in ``folder``.
 
     The order is dealt to tasks by range; each task's rows are counted and its
-    ranks start behind those of the tasks before it, so no task sees more than
-    its own share of a repository.
+    places start behind those of the tasks before it, so no task sees more than
+    its own share.
     """
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranked(results).select("*", F.spark_partition_id().alias("_task"), place.alias("_place")).write.parquet(folder)
-    placed = results.sparkSession.read.parquet(folder)
-    sizes = placed.groupBy("_task").count().withColumnRenamed("count", "_size")
+    here = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered.select("*", F.spark_partition_id().alias("_task"), here.alias("_place")).write.parquet(folder)
+    written = ordered.sparkSession.read.parquet(folder)
+    sizes = written.groupBy("_task").count().withColumnRenamed("count", "_size")
     # one row per task of the sort
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_task", before.alias("_before"))
-    return placed.join(F.broadcast(starts), "_task").withColumn("file_rank", F.col("_before") + F.col("_place") + 1).drop("_task", "_place", "_before")
+    return written.join(F.broadcast(starts), "_task").withColumn(place, F.col("_before") + F.col("_place") + 1).drop("_task", "_place", "_before")
+
+
+def numbered(results: DataFrame, folder: str) -> DataFrame:
+    """``results`` with ``file_rank``, their place (from 1) in the order of ``ranked``, by way of a table in ``folder``."""
+    return placed(ranked(results), folder, "file_rank")

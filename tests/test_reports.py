@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from grainscore import Detector, at_least, builtin_detectors, files_from_table, score_files
 from grainscore.plans import reports
@@ -17,13 +18,17 @@ def stored(spark, tmp_path_factory):
     return reports.store(score_files(files_from_table(frame)), str(tmp_path_factory.mktemp("stored")))
 
 
+def read_document(folder):
+    parts = sorted(p for p in os.listdir(folder) if p.startswith("part-"))
+    return json.loads("".join(open(f"{folder}/{p}", encoding="utf-8").read() for p in parts))
+
+
 def test_json_documents(spark, stored, folder):
     reports.write_json_documents(stored, folder)
     results = {(r.repo_id, r.path): r for r in stored.collect()}
     seen = 0
     for repo in ("r0", "r1", "r2"):
-        parts = sorted(p for p in os.listdir(f"{folder}/repo_id={repo}") if p.startswith("part-"))
-        document = json.loads("".join(open(f"{folder}/repo_id={repo}/{p}", encoding="utf-8").read() for p in parts))
+        document = read_document(f"{folder}/documents/repo_id={repo}")
         files = document["files"]
         seen += len(files)
         assert document["summary"]["total_files"] == len(files)
@@ -62,3 +67,32 @@ def test_custom_detector(spark):
     mine = Detector("mine", "0.5D", "array('seen')", weight=1.0)
     row = score_files(files_from_table(rows), [*builtin_detectors(), mine]).first()
     assert row.final_score == 25 and row.findings == ["seen"] and row.raw.mine == 0.5
+
+
+def test_json_documents_of_null_and_repeated_keys(spark, folder):
+    rows = [("r", "a.py", "x = 1\n")] * 3 + [("r", "a.py", "y = 2\n"), ("r", None, "z = 3\n"), (None, "b.py", "data = 1\n"), (None, "b.py", "data = 1\n"), (None, None, "")]
+    frame = spark.createDataFrame(rows, "repo_id string, path string, content string").repartition(4)
+    results = reports.store(score_files(files_from_table(frame)), f"{folder}/results")
+    reports.write_json_documents(results, f"{folder}/json", F.lit("2026-01-02T00:00:00Z"))
+    named = read_document(f"{folder}/json/documents/repo_id=r")
+    nameless = read_document(f"{folder}/json/documents/repo_id=__HIVE_DEFAULT_PARTITION__")
+    assert (named["timestamp"], named["scan_path"], nameless["scan_path"]) == ("2026-01-02T00:00:00Z", "r", "")
+    assert sorted(str(f.get("path")) for f in named["files"]) == ["None"] + ["a.py"] * 4
+    assert sorted(str(f.get("path")) for f in nameless["files"]) == ["None", "b.py", "b.py"]
+    pieces = reports.json_documents(results, f"{folder}/pieces").orderBy("repo_id", "piece_no").collect()
+    assert [p.piece_no for p in pieces if p.repo_id == "r"] == list(range(1, 8))
+
+
+def test_a_re_score_of_one_repository_leaves_the_others(spark, stored, folder):
+    reports.replace_repositories(stored, folder)
+    names = [f.name for f in stored.schema["raw"].dataType.fields]
+    before = {(r.repo_id, r.path): r for r in reports.read_files(spark, folder, names).collect()}
+    files = {repo: sorted(os.listdir(f"{folder}/files/repo_id={repo}")) for repo in ("r0", "r1", "r2")}
+    reports.replace_repositories(stored.where("repo_id = 'r1' AND final_score >= 20"), folder)
+    after = {(r.repo_id, r.path): r for r in reports.read_files(spark, folder, names).collect()}
+    assert {k: v for k, v in after.items() if k[0] != "r1"} == {k: v for k, v in before.items() if k[0] != "r1"}
+    assert {k for k in after if k[0] == "r1"} == {("r1", r.path) for r in stored.where("repo_id = 'r1' AND final_score >= 20").collect()}
+    for repo in ("r0", "r2"):
+        assert sorted(os.listdir(f"{folder}/files/repo_id={repo}")) == files[repo]
+    totals = {r.repo_id: r.total_files for r in spark.read.parquet(f"{folder}/summary").collect()}
+    assert totals == {repo: sum(k[0] == repo for k in after) for repo in ("r0", "r1", "r2")}

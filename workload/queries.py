@@ -14,7 +14,7 @@ from grainscore.functions import scoring as sc
 from grainscore.functions import text as tx
 from grainscore.functions.patterns import literal
 from grainscore.operators import comments, imports, lines, naming, placeholders, ratio, repetitive, security, syntax
-from grainscore.operators.registry import Detector, builtin_detectors
+from grainscore.operators.registry import Detector, FrameDetector, builtin_detectors, imports_from_tables
 from grainscore.plans import reports, rollup
 from grainscore.plans import scoring as plan
 from grainscore.sources import corpus, ignore
@@ -760,16 +760,41 @@ def _(spark, sf_dir):
     )
 
 
+_TIME = "2026-01-02T03:04:05.678901Z"
+_JSON_SCORES = " || ',' || ".join(f"""'"{n}":' || CAST({n} AS VARCHAR)""" for n in fixed.DETECTORS)
+_JSON_ENTRY = f"""'{{"path":' || to_json(path) || ',"vibe_score":' || coalesce(final_score, 0) || ',"skipped":' || (status = 'skipped')
+    || ',"skip_reason":' || to_json(coalesce(skip_reason, '')) || CASE WHEN status = 'error' THEN ',"error":' || to_json({q(TOO_DEEP)}) ELSE '' END
+    || CASE WHEN status = 'analyzed' THEN ',"score_label":' || to_json(label) || ',"detector_scores":{{' || {_JSON_SCORES} || '}}' ELSE '' END
+    || CASE WHEN len(findings) > 0 THEN ',"findings":' || to_json(findings) ELSE '' END || '}}'"""
+_JSON_SUMMARY = " || ',' || ".join(
+    f"""'"{shown}":' || {name}"""
+    for shown, name in {
+        **{n: n for n in ("total_files", "analyzed_files", "skipped_files", "error_files")},
+        "repo_vibe_score": "repo_score",
+        **{n: n for n in ("average_score", "high_risk_files", "medium_risk_files")},
+    }.items()
+)
+
+
 @register(
     "json_documents",
-    over("code", "SELECT repo_id, CAST(total_files + 2 AS BIGINT) AS pieces, CAST(total_files - 1 AS BIGINT) AS commas FROM summary"),
+    over(
+        "code",
+        f"""SELECT repo_id, CAST(count(*) AS BIGINT) AS pieces, CAST(sum(('0x' || left(md5(n || ':' || piece), 12))::BIGINT) AS BIGINT) AS digest FROM (
+        SELECT repo_id, 1 AS n, '{{"scan_path":' || to_json(repo_id) || ',"timestamp":"{_TIME}","summary":{{' || {_JSON_SUMMARY} || '}},"files":[' AS piece
+        FROM summary
+        UNION ALL SELECT repo_id, n + 1, CASE WHEN n > 1 THEN ',' ELSE '' END || {_JSON_ENTRY} FROM (
+            SELECT repo_id, path, status, skip_reason, final_score, label, findings, {{rounded}}, row_number() OVER (
+                PARTITION BY repo_id ORDER BY status <> 'analyzed', -coalesce(final_score, 0), path) AS n FROM results)
+        UNION ALL SELECT repo_id, total_files + 2, ']}}' FROM summary) GROUP BY repo_id""".replace("{rounded}", _ROUNDED),
+    ),
 )
 def _(spark, sf_dir):
-    stored = reports.store(_results(spark, sf_dir), _scratch(spark))
-    pieces = reports.json_documents(stored)
-    return pieces.groupBy("repo_id").agg(
-        F.count(F.lit(1)).alias("pieces"), F.count_if(F.startswith("piece", F.lit(","))).alias("commas")
-    )
+    folder = _scratch(spark)
+    stored = reports.store(_results(spark, sf_dir), f"{folder}/results")
+    pieces = reports.json_documents(stored, f"{folder}/pieces", F.lit(_TIME))
+    mark = F.conv(F.left(F.md5(F.concat_ws(":", "piece_no", "piece")), F.lit(12)), 16, 10).cast("long")
+    return pieces.groupBy("repo_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum(mark).alias("digest"))
 
 
 @register(
@@ -790,6 +815,40 @@ def _(spark, sf_dir):
     return spark.read.json(f"{folder}/report/summary").select("repo_id", "repo_score", "high_risk_files").join(files, "repo_id")
 
 
+_REPLACED = "repo_id IN ('src1', 'src2', 'src3')"
+_KEPT = f"NOT {_REPLACED} OR status <> 'analyzed' OR final_score >= 30"
+
+
+def _replaced(spark, sf_dir) -> str:
+    """Reports of all repositories, then three of them put in again from higher scores alone; the folder."""
+    folder = _scratch(spark)
+    stored = reports.store(_results(spark, sf_dir), f"{folder}/results")
+    reports.replace_repositories(stored, f"{folder}/report")
+    reports.replace_repositories(plan.at_least(stored, 30).where(_REPLACED), f"{folder}/report")
+    return f"{folder}/report"
+
+
+@register(
+    "replaced_report_files",
+    over(
+        "code",
+        f"""SELECT repo_id, path, coalesce(final_score, 0) AS vibe_score, status = 'skipped' AS skipped, coalesce(skip_reason, '') AS skip_reason,
+        label AS score_label, CASE WHEN len(findings) > 0 THEN array_to_string(findings, chr(10)) END AS findings,
+        CASE WHEN status = 'error' THEN '{TOO_DEEP}' END AS error, {_ROUNDED} FROM results WHERE {_KEPT}""",
+    ),
+)
+def _(spark, sf_dir):
+    rows = reports.read_files(spark, _replaced(spark, sf_dir), list(fixed.DETECTORS))
+    return rows.select(*rows.columns).withColumn("findings", F.array_join("findings", "\n")).select(
+        *(c for c in rows.columns if c != "detector_scores"), "detector_scores.*"
+    )
+
+
+@register("replaced_report_summary", over("code", f"SELECT *, CASE {_REPO_LABELS} END AS repo_label FROM summary").replace("FROM results GROUP BY repo_id", f"FROM results WHERE {_KEPT} GROUP BY repo_id"))
+def _(spark, sf_dir):
+    return spark.read.parquet(f"{_replaced(spark, sf_dir)}/summary")
+
+
 # Extension --------------------------------------------------------------------
 
 
@@ -830,3 +889,56 @@ def _(spark, sf_dir):
     )
     results = plan.score_files(cp.files(spark, sf_dir, "code"), [*builtin_detectors(), length])
     return results.where("status = 'analyzed'").select("path", "final_score")
+
+
+_FRAME_SCORED = """SELECT repo_id, path, CAST(round_even((0::DOUBLE + {six} + coalesce(common, 0::DOUBLE) * 0.05::DOUBLE)
+        / (1.0::DOUBLE + 0.05::DOUBLE) * 100, 0) AS INT) AS final_score, coalesce(common, 0::DOUBLE) AS common, said
+        FROM results LEFT JOIN (SELECT path, count(*) FILTER (n >= 10)::DOUBLE / count(*)::DOUBLE AS common,
+            CASE WHEN count(*) FILTER (n >= 10) > 0 THEN 'common imports: ' || string_agg(module, ', ' ORDER BY module) FILTER (n >= 10) END AS said
+            FROM (SELECT path, module, count(*) OVER (PARTITION BY module) AS n FROM imp_d) GROUP BY path) USING (path)
+        WHERE status = 'analyzed'"""
+
+
+def _common_imports(files: DataFrame) -> DataFrame:
+    """Share of a file's imports that ten or more files have: needs all files at once, so it is a frame detector."""
+    rows = files.where("is_py").select(*corpus.KEYS, F.explode(F.array_distinct("imports")).alias("module"))
+    often = rows.groupBy("module").agg(F.count("*").alias("n"))
+    met = rows.join(often, "module").groupBy(*corpus.KEYS).agg(
+        (F.count_if(F.col("n") >= 10) / F.count("*")).alias("score"),
+        F.array_sort(F.collect_list(F.expr("CASE WHEN n >= 10 THEN module END"))).alias("common"),
+    )
+    said = F.when(F.size("common") > 0, F.array(F.concat(F.lit("common imports: "), F.array_join("common", ", "))))
+    return met.select(*corpus.KEYS, "score", said.alias("findings"))
+
+
+@register("frame_detector", over("code", _FRAME_SCORED.format(six=_SIX)))
+def _(spark, sf_dir):
+    shared = FrameDetector("common", _common_imports)
+    results = plan.score_files(cp.files(spark, sf_dir, "code"), [*builtin_detectors(), shared])
+    own = F.filter("findings", lambda f: F.startswith(f, F.lit("common imports: ")))
+    return results.where("status = 'analyzed'").select(*corpus.KEYS, "final_score", F.col("raw.common").alias("common"), F.get(own, F.lit(0)).alias("said"))
+
+
+_HAS_LOCAL = "repo_id IN ('src1', 'src3', 'src5', 'src7')"
+
+
+@register(
+    "imports_score_tables",
+    over(
+        "code",
+        f"""SELECT repo_id, path, CASE WHEN n = 0 THEN 0::DOUBLE ELSE least(1::DOUBLE, suspicious::DOUBLE / n::DOUBLE * 0.8::DOUBLE
+            + unresolvable::DOUBLE / n::DOUBLE * 0.3::DOUBLE) END AS score, coalesce(said, '') AS said
+        FROM (SELECT repo_id, path, (SELECT count(*) FROM imp_d d WHERE d.path = f.path) AS n,
+            (SELECT count(*) FROM unknown d WHERE d.path = f.path AND invented) AS suspicious,
+            (SELECT count(*) FROM unknown d WHERE d.path = f.path AND NOT invented AND NOT (module = 'zzlocal' AND {_HAS_LOCAL})) AS unresolvable,
+            (SELECT string_agg(module, ' ' ORDER BY invented DESC, module) FROM unknown d
+                WHERE d.path = f.path AND (invented OR NOT (module = 'zzlocal' AND {_HAS_LOCAL}))) AS said
+            FROM f WHERE status = 'analyzed')""",
+    ),
+)
+def _(spark, sf_dir):
+    known = imports.known_table(spark, "pinned").unionByName(spark.createDataFrame([("other", "zzlocal")], "version string, module string"))
+    installed = _documents(spark, sf_dir).selectExpr("source AS repo_id", "'zzlocal' AS module").where(_HAS_LOCAL).distinct()
+    found = plan.detect(cp.files(spark, sf_dir, "code"), [imports_from_tables(known, installed, "pinned")]).where("status = 'analyzed'")
+    names = F.flatten(F.transform("imports_findings", lambda f: F.split(F.element_at(F.split(f, ": "), -1), ", ")))
+    return found.select(*corpus.KEYS, F.col("imports_score").alias("score"), F.array_join(names, " ").alias("said"))
