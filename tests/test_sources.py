@@ -68,3 +68,68 @@ def test_folders_that_cannot_be_listed_are_reported(spark, folder, monkeypatch):
     found = [row for part in rows.partitions() for row in rows.read(part)]
     assert [(r[0], r[2]) for r in found if r[4] is None] == [("r", "a/x.py")]
     assert [(r[0], r[2]) for r in found if r[4] is not None] == [("s", "/")]
+
+
+def names(frame):
+    return sorted((r.repo_id, r.path) for r in frame.collect())
+
+
+def test_listing_goes_on_in_rounds(spark, folder, monkeypatch):
+    monkeypatch.setattr(tree, "_ENTRIES", 3)
+    files = {f"{a}/{b}/f{k}.py": b"x" * k for a in "abc" for b in "de" for k in range(3)}
+    fill(folder, {**files, "top.py": b"x", "out/no.py": b"x", "a/d/deep/er/still/z.py": b"x"})
+    rules = [(r"out/.*", True)]
+    listed = tree.list_names(spark.createDataFrame([("r", folder, [{"regex": x, "ignores": y} for x, y in rules])], tree._ROOTS.replace("patterns array<string>, ", "")), f"{folder}-tables")
+    assert names(listed) == sorted(("r", p) for p in {**files, "top.py": b"", "a/d/deep/er/still/z.py": b""})
+    assert len(os.listdir(f"{folder}-tables")) > 2
+    sizes = {r.path: r.size_bytes for r in tree.with_sizes(listed).collect()}
+    assert all(sizes[p] == len(raw) for p, raw in files.items())
+
+
+def test_one_flat_folder_of_many_names(spark, folder, monkeypatch):
+    for k in range(100_000):
+        os.close(os.open(f"{folder}/n{k}.py", os.O_CREAT))
+    opened, scandir = [], os.scandir
+    monkeypatch.setattr(os, "scandir", lambda path: opened.append(path) or scandir(path))
+    corpus_rows = tree.read_code_tree(spark, folder)
+    assert corpus_rows.where("size_bytes = 0 AND ext = '.py'").count() == 100_000 and corpus_rows.rdd.getNumPartitions() > 1
+    assert opened == []
+
+
+def test_roots_from_a_table_with_ignore_files_read_in_tasks(spark, folder):
+    fill(folder, {"a/.gitignore": b"*.js\n", "a/x.js": b"1", "a/y.py": b"1", "b/x.js": b"1", "b/.gitignore": b"[bad\n", "c/gen/x.py": b"1", "c/.gitignore": b"gen/\n!gen/x.py\n"})
+    roots = spark.createDataFrame([(r, f"{folder}/{r}") for r in "abc"] + [("gone", f"{folder}/gone")], "repo_id string, root string")
+    assert names(tree.read_code_tree(spark, roots)) == [("a", "y.py"), ("b", "x.js")]
+    assert names(tree.read_code_tree(spark, roots, use_gitignore=False)) == [("a", "x.js"), ("a", "y.py"), ("b", "x.js"), ("c", "gen/x.py")]
+    assert [(r.repo_id, r.path) for r in tree.unreadable_folders(spark, roots).collect()] == [("gone", "/")]
+
+
+def test_filters_reach_the_source(spark, folder):
+    fill(folder, {"a/x.py": b"12345", "a/y.PY": b"1", "a/z.md": b"12345", "b/x.py": b"12345"})
+    os.symlink("/nonexistent", f"{folder}/a/dangling.py")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        # a root that is opened although a filter excludes it would give an error row
+        rows = tree.small_trees(spark, {"a": f"{folder}/a", "b": f"{folder}/b", "gone": f"{folder}/gone"})
+        assert ("gone", "/") in names(rows) and ("a", "dangling.py") in names(rows)
+        for test, want in {
+            "repo_id = 'b'": [("b", "x.py")],
+            "repo_id IN ('a', 'b') AND ext = '.py' AND size_bytes > 0": [("a", "x.py"), ("a", "y.PY"), ("b", "x.py")],
+            "path LIKE '%.py' AND size_bytes >= 5 AND size_bytes <= 5": [("a", "x.py"), ("b", "x.py")],
+            "repo_id = 'a' AND size_bytes < 5": [("a", "y.PY")],
+            "repo_id = 'a' AND read_error IS NOT NULL": [("a", "dangling.py")],
+            "repo_id = 'a' AND (ext = '.md' OR size_bytes = 1)": [("a", "y.PY"), ("a", "z.md")],
+        }.items():
+            found = rows.where(test)
+            text = found._jdf.queryExecution().executedPlan().toString()
+            assert names(found) == want, test
+            # what the source has taken, Spark does not test again
+            left = text.replace("RuntimeFilters", "")
+            assert ("Filter" in left) == ("OR" in test or "read_error" in test) and "repo_id#" not in left.split("BatchScan")[0].partition("Filter")[2].partition("\n")[0]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = tree._ListingReader({"a": "/x", "b": "/y"}, {"a": [], "b": []})
+    from pyspark.sql import datasource as ds
+
+    left = list(reader.pushFilters([ds.EqualTo(("repo_id",), "b"), ds.StringContains(("path",), "q")]))
+    assert [type(f) for f in left] == [ds.StringContains] and [p.repo_id for p in reader.partitions()] == ["b"]

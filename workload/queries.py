@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +11,7 @@ from grainscore import fixed_values as fixed
 from grainscore.functions import scoring as sc
 from grainscore.functions import text as tx
 from grainscore.functions.patterns import literal
+from grainscore.functions.storage import scratch
 from grainscore.operators import comments, imports, lines, naming, placeholders, ratio, repetitive, security, syntax
 from grainscore.operators.registry import Detector, FrameDetector, builtin_detectors, imports_from_tables
 from grainscore.plans import reports, rollup
@@ -65,16 +64,6 @@ def _results(spark: SparkSession, sf_dir: str, name: str = "code") -> DataFrame:
     return plan.score_files(cp.files(spark, sf_dir, name))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder the session names; a session on one machine may do without one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp()
-    return f"{shared.rstrip('/')}/grainscore-{uuid.uuid4().hex}"
-
-
 def _long(column: str) -> Column:
     return F.col(column).cast("long")
 
@@ -652,7 +641,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    folder = _scratch(spark)
+    folder = scratch(spark)
     stored = reports.store(_results(spark, sf_dir), f"{folder}/results")
     return plan.numbered(stored, f"{folder}/ranked").select("file_rank", "repo_id", "path")
 
@@ -790,7 +779,7 @@ _JSON_SUMMARY = " || ',' || ".join(
     ),
 )
 def _(spark, sf_dir):
-    folder = _scratch(spark)
+    folder = scratch(spark)
     stored = reports.store(_results(spark, sf_dir), f"{folder}/results")
     pieces = reports.json_documents(stored, f"{folder}/pieces", F.lit(_TIME))
     mark = F.conv(F.left(F.md5(F.concat_ws(":", "piece_no", "piece")), F.lit(12)), 16, 10).cast("long")
@@ -806,7 +795,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    folder = _scratch(spark)
+    folder = scratch(spark)
     stored = reports.store(_results(spark, sf_dir), f"{folder}/results")
     reports.write_reports(stored, f"{folder}/report")
     files = spark.read.json(f"{folder}/report/files").groupBy("repo_id").agg(
@@ -821,7 +810,7 @@ _KEPT = f"NOT {_REPLACED} OR status <> 'analyzed' OR final_score >= 30"
 
 def _replaced(spark, sf_dir) -> str:
     """Reports of all repositories, then three of them put in again from higher scores alone; the folder."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     stored = reports.store(_results(spark, sf_dir), f"{folder}/results")
     reports.replace_repositories(stored, f"{folder}/report")
     reports.replace_repositories(plan.at_least(stored, 30).where(_REPLACED), f"{folder}/report")
