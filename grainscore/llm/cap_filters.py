@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainscore.llm.components import components
-from grainscore.llm.shared import cut
+from grainscore.llm.shared import cut, temporary
 
 SIMILARITY = 0.95
 MEMBERS = 128
@@ -159,11 +159,8 @@ def forest(links: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[label[moved]]
 
 
-def near(rows: DataFrame, vec: str = "vec_id", embedding: str = "embedding", similarity: float = SIMILARITY) -> DataFrame:
-    """vec_id, n_links, component_id of every row."""
-    read = rows.select(F.col(vec).alias("vec_id"), F.col(embedding).alias("v"))
-    dtype = "float32" if "float" in read.schema["v"].dataType.simpleString() else "float64"
-    keyed = read.select("vec_id", "v", F.xxhash64("v", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"))
+def _linked(keyed: DataFrame, dtype: str, similarity: float) -> DataFrame:
+    """h1, h2, n_links, component_id of every distinct vector that can be linked, a written table."""
     classes = _valid(keyed).groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("v").alias("v"))
     classes = cut(cut(classes).withColumn("cid", F.monotonically_increasing_id()))
     decoded = cut(_decoded(classes, classes.count(), dtype))
@@ -212,7 +209,16 @@ def near(rows: DataFrame, vec: str = "vec_id", embedding: str = "embedding", sim
     )
     named = cut(named)
     smallest = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    of_class = cut(named.join(smallest, "component").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"))
+    return cut(named.join(smallest, "component").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"))
+
+
+def near(rows: DataFrame, vec: str = "vec_id", embedding: str = "embedding", similarity: float = SIMILARITY) -> DataFrame:
+    """vec_id, n_links, component_id of every row."""
+    read = rows.select(F.col(vec).alias("vec_id"), F.col(embedding).alias("v"))
+    dtype = "float32" if "float" in read.schema["v"].dataType.simpleString() else "float64"
+    keyed = read.select("vec_id", "v", F.xxhash64("v", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"))
+    with temporary(rows.sparkSession) as keep:
+        of_class = keep(_linked(keyed, dtype, similarity))
     return keyed.join(of_class, ["h1", "h2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainscore.llm.shared import cut
+from grainscore.llm.shared import cut, temporary
 
 ROLL = 2
 LEAST = 2
@@ -208,11 +208,12 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", carry: Seque
         body.alias("text"),
         F.struct(*(F.col(c) for c in carry), F.lit(None).cast("boolean").alias("_")).alias("carried"),
     )
-    found = cut(_occurrences(keyed))
     first = F.min(F.struct("doc_id", "k1", "k2", "place")).alias("first")
-    # read back, so that Spark can split a digest that many chunks share in the join below
-    digests = cut(found.groupBy("d1", "d2").agg(F.count("*").alias("n"), first).where("n > 1").drop("n"))
-    repeated = cut(found.join(digests, ["d1", "d2"]))
+    with temporary(docs.sparkSession) as keep:
+        found = cut(_occurrences(keyed))
+        # read back, so that Spark can split a digest that many chunks share in the join below
+        digests = cut(found.groupBy("d1", "d2").agg(F.count("*").alias("n"), first).where("n > 1").drop("n"))
+        repeated = keep(cut(found.join(digests, ["d1", "d2"])))
 
     def with_places(rows: DataFrame) -> DataFrame:
         # both uses exchange the same columns of the texts by the same keys, so Spark moves the texts once;
