@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SPACE = re.compile(rb"[ \t-\r]")
 _IS_SPACE = np.zeros(256, bool)
