@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainscore.llm.shared import cut
+from grainscore.llm.shared import cut, temporary
 from grainscore.llm.words import BASES, hashed_words, sequences, signed
 
 WINDOW = 35
@@ -158,8 +158,10 @@ def _with_partner(rows: DataFrame, same: list[str], other: list[str]) -> DataFra
 def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, kept, n_words, n_removed of every row."""
     keyed = _keyed(docs, doc, text)
-    found = _seeds(keyed, window, seed).withColumn("uid", F.monotonically_increasing_id())
-    repeated = cut(_with_partner(found, ["anchor"], ["uid"]).drop("uid"))
+    with temporary(docs.sparkSession) as keep:
+        # both sides of the join read one written table: seeds are found once, and their numbers stay as they are
+        found = cut(_seeds(keyed, window, seed).withColumn("uid", F.monotonically_increasing_id()))
+        repeated = keep(cut(_with_partner(found, ["anchor"], ["uid"]).drop("uid")))
     classes = cut(
         repeated.groupBy("anchor", "e1", "e2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "runs")).alias("one"))
     )
