@@ -7,9 +7,12 @@ rarest by its count over all texts.  Occurrences of prefix shingles in the
 texts are joined to the windows; a place is dropped when the window would begin
 before the text or end behind it; what is left is compared word by word.
 
-Texts are read twice, once to count the item shingles and once to join; words
-are exploded within one stage that keeps only what matches, and what is
-shuffled are counts and hits, never texts.  Windows are broadcast in parts of
+Texts are split into words twice for each shingle width in use (``SHINGLE``, and one
+for items of fewer words) and each part of the windows, once to count the item
+shingles and once to join, and read once more to give every row its result.
+Words are exploded within one stage that keeps only what matches.  What is
+shuffled are counts, hits and identifiers, never texts; rows go by two hashes of
+identifier and text, 128 bits, so nothing depends on the order rows come in.  Windows are broadcast in parts of
 at most ``PART_ROWS`` rows, as many parts as a benchmark needs, so the size of
 a broadcast is bounded and nothing depends on the benchmark being small.
 
@@ -52,10 +55,16 @@ def windows(items: DataFrame, item: str, text: str, length: int) -> DataFrame:
     return found.select(F.xxhash64("words", F.lit(1)).alias("window_id"), "words", F.size("words").alias("n"), "item_ids")
 
 
-def _texts(docs: DataFrame, doc: str, text: str) -> DataFrame:
+def _keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
     body = F.col(text).cast("string")
-    key = F.xxhash64(F.col(doc), body)
-    read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc).alias("doc_id"), key.alias("key"), split_words(body).alias("words"))
+    return docs.select(
+        F.col(doc).alias("doc_id"), F.xxhash64(F.col(doc), body).alias("key"), F.xxhash64(F.lit(2), body, F.col(doc)).alias("again"), body.alias("body")
+    )
+
+
+def _texts(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """doc_id, key, again, words and n_words of every row; equal rows have equal hashes ``key`` and ``again``."""
+    read = _keyed(docs, doc, text).select("doc_id", "key", "again", split_words(F.col("body")).alias("words"))
     blank_first = (F.get("words", F.lit(0)) == "").cast("int")
     blank_last = F.when(F.size("words") > 1, (F.element_at("words", -1) == "").cast("int")).otherwise(0)
     return read.withColumn("n_words", F.size("words") - blank_first - blank_last)
@@ -98,8 +107,8 @@ def prefixes(docs: DataFrame, found: DataFrame, text: str, width: int = SHINGLE)
 
 
 def occurrences(texts: DataFrame, windows_of: DataFrame, width: int) -> DataFrame:
-    """Verified occurrences, and one row with null ``hit`` per text: row_id, doc_id, key, n_words, hit."""
-    places = texts.select("row_id", "doc_id", "key", "n_words", "words", F.posexplode("words").alias("at", "word"))
+    """Verified occurrences, and one row with null ``hit`` per text: doc_id, key, again, n_words, hit."""
+    places = texts.select("doc_id", "key", "again", "n_words", "words", F.posexplode("words").alias("at", "word"))
     places = places.withColumn("token", shingle(F.col("words"), F.col("at"), width))
     found = windows_of.select(F.col("token").alias("prefix"), "offset", "n", F.col("words").alias("said"), "window_id")
     start = F.col("at") - F.col("offset")
@@ -108,7 +117,7 @@ def occurrences(texts: DataFrame, windows_of: DataFrame, width: int) -> DataFram
     same = F.slice(F.col("words"), F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("said")
     joined = places.join(F.broadcast(found), (F.col("token") == F.col("prefix")) & inside & same, "left")
     hit = F.when(F.col("window_id").isNotNull(), F.struct(start.alias("start"), "n", "window_id"))
-    return joined.where((F.col("at") == 0) | F.col("window_id").isNotNull()).select("row_id", "doc_id", "key", "n_words", hit.alias("hit"))
+    return joined.where((F.col("at") == 0) | F.col("window_id").isNotNull()).select("doc_id", "key", "again", "n_words", hit.alias("hit"))
 
 
 def hit_words(spans: Column) -> Column:
@@ -124,10 +133,8 @@ def hit_words(spans: Column) -> Column:
     )
 
 
-def decontaminate(
-    docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW
-) -> DataFrame:
-    """doc_id, key (hash of identifier and text), n_words, n_hit, item_ids (sorted strings), contaminated of every row."""
+def _judged(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str, item_text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key, again, n_words, n_hit, window_ids, contaminated of every distinct row, and the windows: written tables."""
     found = cut(windows(items, item, item_text, window))
     by_width = prefixes(docs, found, text)
     texts = _texts(docs, doc, text)
@@ -137,40 +144,46 @@ def decontaminate(
         for part in _parts(all_windows, all_windows.count())
     ]
     if not parts:
-        parts = [texts.select("row_id", "doc_id", "key", "n_words", F.lit(None).cast("struct<start:int,n:int,window_id:bigint>").alias("hit"))]
+        parts = [texts.select("doc_id", "key", "again", "n_words", F.lit(None).cast("struct<start:int,n:int,window_id:bigint>").alias("hit"))]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    per_text = rows.groupBy("row_id").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("key").alias("key"),
+    per_text = rows.groupBy("key", "again").agg(
+        F.min("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.collect_set(F.when(F.col("hit").isNotNull(), F.struct("hit.start", "hit.n"))).alias("spans"),
         F.collect_set("hit.window_id").alias("window_ids"),
     )
-    # used twice below, and reading the texts once more would cost as much as all that went before
-    per_text = cut(per_text.select("row_id", "doc_id", "key", "n_words", hit_words(F.sort_array("spans")).alias("n_hit"), "window_ids"))
+    hit = hit_words(F.sort_array("spans"))
+    per_text = per_text.select("doc_id", "key", "again", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), "window_ids")
+    over = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return cut(per_text.withColumn("contaminated", over)), found
+
+
+def decontaminate(
+    docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW
+) -> DataFrame:
+    """doc_id, key (hash of identifier and text), n_words, n_hit, item_ids (sorted strings), contaminated of every row."""
+    per_text, found = _judged(docs, items, doc, text, item, item_text, window)
     named = (
-        per_text.select("row_id", F.explode("window_ids").alias("window_id"))
+        per_text.select("key", "again", F.explode("window_ids").alias("window_id"))
         .join(found.select("window_id", F.explode("item_ids").alias("item_id")), "window_id")
-        .groupBy("row_id")
+        .groupBy("key", "again")
         .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     )
+    results = per_text.drop("doc_id").join(named, ["key", "again"], "left")
     none = F.array().cast("array<string>")
-    return per_text.join(named, "row_id", "left").select(
-        "doc_id",
-        "key",
-        F.col("n_words").cast("long").alias("n_words"),
-        F.col("n_hit").cast("long").alias("n_hit"),
-        F.coalesce("item_ids", none).alias("item_ids"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit").cast("long") >= F.col("n_words"))).alias("contaminated"),
+    return _keyed(docs, doc, text).join(results, ["key", "again"]).select(
+        "doc_id", "key", "n_words", "n_hit", F.coalesce("item_ids", none).alias("item_ids"), "contaminated"
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", **named: object) -> DataFrame:
+def clean(
+    docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW
+) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, with all their columns."""
-    found = decontaminate(docs, items, doc, text, **named).where("contaminated")
-    dropped = cut(found.select(F.col("doc_id").alias("id"), "key").distinct())
+    found, _ = _judged(docs, items, doc, text, item, item_text, window)
+    dropped = found.where("contaminated").select(F.col("doc_id").alias("id"), "key")
     whole = docs.select(F.struct("*").alias("row"), F.col(doc).alias("id"), F.xxhash64(F.col(doc), F.col(text).cast("string")).alias("key"))
     same = (F.col("a.key") == F.col("b.key")) & F.col("a.id").eqNullSafe(F.col("b.id"))
     return whole.alias("a").join(dropped.alias("b"), same, "left_anti").select("row.*")
