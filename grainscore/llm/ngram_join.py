@@ -17,7 +17,9 @@ size: the block's sets, in the block's order of rarity, make up a trie; each
 set runs through it and shares the overlap so far with all sets below a node; a
 subtree is left as soon as what remains of the set or of the longest branch
 cannot reach the overlap that its smallest set needs.  Sets that are already
-known to be connected are not compared again.
+known to be connected are not compared again.  A cluster of more than
+``WHOLE_BLOCKS`` blocks is no group of its own: its sets meet under their prefix
+tokens, so what is sent grows with the sets and not with the cluster's square.
 
 To keep a group of very many near copies linear, in hopes as in links, two
 rounds first join one set per component and token, each set under one token
@@ -60,7 +62,10 @@ ROWS = 256
 FREQUENT_SHARE = 0.005
 FREQUENT_LEAST = 50
 SEEN_CLASSES = 100_000
-MAX_FILTER_BITS = 1 << 27
+# Keys of the texts whose sets are wanted that are broadcast; more are joined by exchange.
+BROADCAST_KEYS = 1 << 20
+# A cluster of more blocks than this is joined under its prefix tokens, not as a whole.
+WHOLE_BLOCKS = 64
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -203,52 +208,34 @@ def _prefixes(tokens: DataFrame, classes: DataFrame, measure: Measure) -> tuple[
     return found.select("cid", F.explode("prefix").alias("token")), found.select("cid", "n", "low", "shared")
 
 
-def _key_filter(keys: DataFrame, n: int) -> np.ndarray:
-    """Bit filter of bounded size over a frame of keys, built by a grouped bit_or."""
-    bits = 1 << 16
-    while bits < min(16 * n, MAX_FILTER_BITS):
-        bits <<= 1
-    places = keys.select(F.explode(F.array(F.pmod("key", F.lit(bits)), F.pmod(F.xxhash64("key"), F.lit(bits)))).alias("at"))
-    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits"))
-    # at most MAX_FILTER_BITS / 64 rows
-    found = words.toArrow()
-    out = np.zeros(bits >> 6, np.int64)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
 def _sets(keyed: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """Sets of the texts that stand for the classes in ``reps`` (cid, key), one row each: cid, n, tokens as bytes."""
-    found = _key_filter(reps, reps.count())
-    shared = keyed.sparkSession.sparkContext.broadcast(found)
-    bits = len(found) << 6
+    """Sets of the texts that stand for the classes in ``reps`` (cid, key), one row each: cid, n, tokens as bytes.
+
+    Texts are found by a semi join; up to ``BROADCAST_KEYS`` keys go to the texts, beyond that Spark joins by exchange.
+    """
+    keys = reps.select("key")
+    if reps.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, met = shared.value, {}
+        met = {}
         for batch in stream:
-            wanted = np.ones(batch.num_rows, bool)
-            for column in (0, 1):
-                at = np.mod(batch.column(column).to_numpy(), bits)
-                wanted &= (known[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)) == 1
-            part = batch.filter(pa.array(wanted))
-            for at in range(0, part.num_rows, ROWS):
-                piece = part.slice(at, ROWS)
+            for at in range(0, batch.num_rows, ROWS):
                 once = {}
-                for key, tokens in zip(piece.column(0).to_pylist(), shingle_sets(piece.column(2).to_pylist(), width)):
-                    # rows repeated with equal id and text; the few that other tasks have too go after the join
-                    name = key, class_of(tokens)
-                    if name in met:
+                for tokens in shingle_sets(batch.column(0).slice(at, ROWS).to_pylist(), width):
+                    # rows repeated with equal id and text; the few that other tasks have too go below
+                    cid = class_of(tokens)
+                    if cid in met:
                         continue
                     if len(met) >= SEEN_CLASSES:
                         met.clear()
-                    met[name] = True
-                    once[name] = tokens
-                keys, cids, sets = [k for k, _ in once], [c for _, c in once], list(once.values())
-                arrays = [pa.array(keys, pa.int64()), pa.array(cids, pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "cid", "n", "tokens"])
+                    met[cid] = True
+                    once[cid] = tokens
+                arrays = [pa.array(list(once), pa.int64()), pa.array([len(s) for s in once.values()], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tobytes() for s in once.values()], pa.binary())], names=["cid", "n", "tokens"])
 
-    read = keyed.select("key", F.xxhash64("key").alias("again"), "text").mapInArrow(batches, "key long, cid long, n int, tokens binary")
-    return read.join(reps, ["key", "cid"], "left_semi").dropDuplicates(["key", "cid"]).select("cid", "n", "tokens")
+    read = keyed.join(keys, "key", "left_semi").select("text").mapInArrow(batches, "cid long, n int, tokens binary")
+    return read.dropDuplicates(["cid"])
 
 
 def trie_join(sets: list[np.ndarray], measure: Measure, known: list[int], apart: list[bool] | None = None) -> list[tuple[int, int]]:
@@ -476,8 +463,12 @@ def _classes_in_components(keyed: DataFrame, width: int, measure: Measure, keep:
     hopes = _connected(prefix, lambda rows: _hopes(rows, lists, measure))
     clusters = components(hopes).select(F.col("component").alias("token"), F.col("vertex").alias("cid"))
     sets = cut(_sets(keyed, cut(classes.join(clusters.select("cid"), "cid", "left_semi").select("cid", "key")), width))
-    small = cut(clusters.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") <= BLOCK).select("token"))
-    links = _connected(clusters, lambda rows: _joined(rows, sets, measure), small)
+    sized = cut(clusters.groupBy("token").agg(F.count("*").alias("size")))
+    loose = clusters.join(sized.where(F.col("size") > WHOLE_BLOCKS * BLOCK), "token", "left_semi").select("cid")
+    whole = clusters.join(sized.where(F.col("size") <= WHOLE_BLOCKS * BLOCK), "token", "left_semi")
+    groups = cut(whole.unionByName(prefix.join(loose, "cid", "left_semi").select("token", "cid")))
+    small = sized.where(F.col("size") <= BLOCK).select("token")
+    links = _connected(groups, lambda rows: _joined(rows, sets, measure), small)
     labels = components(links).withColumnRenamed("vertex", "cid")
     named = classes.join(labels, "cid", "left").select("cid", F.coalesce("component", "cid").alias("component"), "least")
     smallest = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
