@@ -96,3 +96,16 @@ def test_a_re_score_of_one_repository_leaves_the_others(spark, stored, folder):
         assert sorted(os.listdir(f"{folder}/files/repo_id={repo}")) == files[repo]
     totals = {r.repo_id: r.total_files for r in spark.read.parquet(f"{folder}/summary").collect()}
     assert totals == {repo: sum(k[0] == repo for k in after) for repo in ("r0", "r1", "r2")}
+
+
+def test_digest_of_a_large_repository(spark):
+    """The sum of 48-bit marks passes a long at 65,536 and more pieces of a repository."""
+    from workload.queries import _digest
+
+    rows = spark.range(200_000).selectExpr("id % 3 = 0 AS repo", "(1L << 48) - 1 - id AS mark")
+    got = {r.repo: r.digest for r in rows.groupBy("repo").agg(_digest(rows.mark).alias("digest")).collect()}
+    marks = lambda repo: sum((1 << 48) - 1 - k for k in range(200_000) if (k % 3 == 0) == repo)
+    assert got == {repo: marks(repo) % (1 << 63) for repo in (True, False)} and marks(False) >= 1 << 63
+    few = spark.range(9).selectExpr("(1L << 48) - 1 - id AS mark")
+    assert few.agg(_digest(few.mark)).first()[0] == sum((1 << 48) - 1 - k for k in range(9))
+    assert few.where("mark < 0").agg(_digest(few.mark)).first()[0] is None
