@@ -37,6 +37,11 @@ def test_security_rules_count_as_written(frame):
     rows = frame.selectExpr("v", f"array({', '.join(counts)}) AS got", f"array({', '.join(plain)}) AS expected").collect()
     assert [r.v for r in rows if r.got != r.expected] == []
     assert all(sum(r.got[k] or 0 for r in rows) for k in range(len(rules)))
+    ended = frame.selectExpr("v", "folded", f"{security.assigned_ends('folded')} AS a", f"{security.called_ends('folded')} AS c")
+    by_end = security.secret_counts("v", "folded", "a") + security.sql_counts("v", "folded", "c")
+    rows = ended.selectExpr("v", f"array({', '.join(by_end)}) AS got", f"array({', '.join(plain)}) AS expected").collect()
+    assert [r.v for r in rows if r.got != r.expected] == []
+    assert sum("contains(" in c for c in by_end) == 5  # one split finds the words of all other rules
     assert not any("(?i" in c for c in counts)  # letters of either case are many times slower
 
 
@@ -47,6 +52,8 @@ def test_naming_words_are_those_of_the_patterns(frame):
     assert [r.v for r in rows if r.got != r.expected] == []
     assert all(any(r.got[k] for r in rows) for k in range(len(plain)))
     assert "regexp_extract_all" not in got[0]
+    shared = frame.selectExpr("v", f"array({', '.join(naming.text_matches('v', 'folded'))}) AS got", f"array({', '.join(got)}) AS expected").collect()
+    assert [r.v for r in shared if r.got != r.expected] == []
 
 
 def test_only_windows_that_may_repeat_are_digested(spark):
@@ -104,3 +111,55 @@ def test_parsed_corpora_are_dealt_over_small_tasks(spark, folder, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     assert len(sizes) >= 12 and max(sizes) < 3 * sum(sizes) / len(sizes)
     assert found == sorted(map(str, corpora.files(spark, folder, "annotated").collect()))
+
+
+def test_texts_are_folded_once_for_all_detectors(spark):
+    from grainscore import files_from_table, score_files
+
+    files = files_from_table(spark.createDataFrame([("r", "a.py", "x = 1")], "repo_id string, path string, content string"))
+    plan = score_files(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(chr(0x17F)) == 2  # looked for and, if there, replaced
+
+
+def test_words_are_looked_for_from_their_rarest_character_on(spark):
+    words = sorted({w for group in security.SECRET_WORDS + security.SQL_WORDS for w in group}) + ["processdata", "function", "def", "ab"]
+    texts = ["", None, "def", *(t for w in words for t in (w, w[1:], w[:-1], w[1:] + w, f"é{w}é", w[:2] + w[3:]))]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    found = rows.selectExpr(f"array({', '.join(tx.contains_word('v', w) for w in words)}) AS got", f"array({', '.join(f'contains(v, {literal(w)})' for w in words)}) AS expected")
+    assert all(r.got == r.expected for r in found.collect())
+    assert "'xecute'" in tx.contains_word("v", "execute")
+
+
+def test_the_end_of_a_long_text_is_enough(spark):
+    texts = ["", " ", None, "ab", "x" * 50 + "ab", "ab" + " " * 40, "xab" + "\u2003\n" * 9, "é" * 40 + "ab ", " " * 90, "ab" + " " * 15, "abc" + " " * 16]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    for n in (1, 3, 20):
+        got = rows.selectExpr("v", f"{tx.last_stripped('v', n)} AS got", f"right({tx.strip_end('v')}, {n}) AS expected").collect()
+        assert [r.v for r in got if r.got != r.expected] == []
+
+
+def test_replaced_literals_are_those_of_replace(spark):
+    texts = ["", None, "a\r\nb\rc\r", "\r\r\n\n", "plain\n", "İxıſſ", "KELVIN \u212a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    plain = f"lower(replace(replace(replace(v, {literal(chr(0x130))}, 'i'), {literal(chr(0x131))}, 'i'), {literal(chr(0x17F))}, 's'))"
+    newlines = r"replace(replace(v, '\r\n', '\n'), '\r', '\n')"
+    for r in rows.selectExpr(f"{tx.fold_case('v')} AS a", f"{plain} AS b", f"{tx.unify_newlines('v')} AS c", f"{newlines} AS d").collect():
+        assert (r.a, r.c) == (r.b, r.d)
+
+
+def test_patterns_that_share_a_letter_match_as_written(spark):
+    from grainscore.functions.patterns import any_by_letter, any_of, matches
+
+    kinds = [[p for p, _ in fixed.OBVIOUS_COMMENT_PATTERNS], fixed.NARRATIVE_COMMENT_PATTERNS, [p for p, _ in fixed.MARKER_PATTERNS]]
+    kinds += [["ab", "a|cd", "a*c", "b[|]", r"b\|", "(a|b)c", "bc"]]
+    rng = random.Random(5)
+    seeds = "increment x|return the result|set x to y|set the x|step 1|TODO: x|todo|tbd|tbds|ſtub|type: ignore|to be implemented|add x to list|add your x"
+    seeds += "|now we go|then we go|first, x|check if x is not none|a|b|c|cd|ac|aac|b||bc|ab"
+    lines = [f"{h}{s}" for s in seeds.split("|") for h in ("#", "# ", "x #\t", "")]
+    lines += ["".join(rng.choice([c, c, c, c.upper(), " ", "|"]) for c in line) for line in lines for _ in range(3)]
+    rows = spark.createDataFrame([(x,) for x in lines], "v string")
+    for k, patterns in enumerate(kinds):
+        got = rows.selectExpr("v", f"{matches('v', any_by_letter(patterns), True)} AS got", f"{matches('v', any_of(patterns), True)} AS expected").collect()
+        assert [r.v for r in got if r.got != r.expected] == [] and {r.got for r in got} == {True, False}
+        assert len(any_by_letter(patterns)) < len(any_of(patterns)) + 8 * len(patterns), k
+    assert any_by_letter(["#\\s*ab", "#\\s*ac"]) == "#\\s*(?:a(?:b|c))"
